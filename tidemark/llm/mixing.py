@@ -90,6 +90,7 @@ def mix(
     text: str = "text",
     source: str = "source",
     key: str = "doc_id",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """How often each document is taken, so that each source comes near its target of words.
 
@@ -100,7 +101,8 @@ def mix(
 
     Null text has size 0; a null source is a source of its own, after all others; documents of equal key
     (repeated rows) and size are taken or left together; an empty table gives no rows.  Reruns agree, as nothing depends on
-    the order or the partitions of the rows.  Other columns are not read.
+    the order or the partitions of the rows.  Columns named in ``keep`` come along, read once more rather than moved;
+    others are not read.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     base = cut(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size"), place(key).alias("h")))
@@ -108,7 +110,8 @@ def mix(
     goal = cut(targets(sums, weights, max_repeats))
     small = goal.count() <= broadcast_sources
     side = F.broadcast if small else (lambda x: x)
-    base = base.join(side(goal.select("sid", F.col("source").alias("_s"))), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    ids = side(goal.select("sid", F.col("source").alias("_s")))
+    base = base.join(ids, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(0).cast("long")
     goal = goal.withColumn("whole", whole).withColumn("budget", F.col("goal") - F.col("whole") * F.col("source_size"))
 
@@ -124,5 +127,10 @@ def mix(
         lambda a, b: a | b,
         [F.col("h") < F.col("t0"), *[(F.col("h") >= F.col(f"t{k - 1}")) & (F.col("h") < F.col(f"t{k}")) & (F.col("size") <= F.col(f"r{k - 1}")) for k in range(1, rounds)]],
     )
-    out = base.drop("source").join(side(plan), "sid").withColumn("copies", F.col("whole") + once.cast("long"))
-    return out.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    names = {c: f"_keep_{i}" for i, c in enumerate(keep) if c not in (key, source)}
+    if names:
+        base = docs.select(F.col(key).alias("key"), F.col(source).alias("_of"), size.alias("size"), place(key).alias("h"), *[F.col(c).alias(n) for c, n in names.items()])
+        base = base.join(ids, F.col("_of").eqNullSafe(F.col("_s"))).drop("_s", "_of")
+    out = base.join(side(plan), "sid").withColumn("copies", F.col("whole") + once.cast("long"))
+    more = [F.col(n).alias(c) for c, n in names.items()]
+    return out.select(F.col("key").alias(key), F.col("source").alias(source), *more, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))

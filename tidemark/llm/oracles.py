@@ -33,6 +33,54 @@ SELECT doc_id, size, source_size, target, size * (whole + (in0 OR in1 OR in2)::B
 """
 
 
+DECONTAM = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r,
+                  coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item,
+             regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+s AS (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM s),
+lens AS (SELECT DISTINCT n FROM win),
+p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+g AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM p, lens WHERE i + n - 1 <= len(w)),
+h AS (SELECT r, i, n, item FROM g JOIN win USING (n, win)),
+x AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS q FROM h) GROUP BY r),
+y AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN x USING (r) LEFT JOIN y USING (r)
+"""
+
+SECRETS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k(kind, re, grp, least, ent) AS (VALUES
+  (0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12, false),
+  (1, '(AKIA[A-Z0-9]+)()', 0, 18, false), (2, '([0-9a-f]+)()', 0, 16, false),
+  (3, '([0-9A-Fa-f]{24,})()', 0, 24, true), (4, '([A-Za-z0-9+/_=-]{24,})()', 0, 24, true)),
+m AS (SELECT r, kind, least, ent, regexp_extract_all(t, re, 0) AS whole, CASE grp WHEN 2 THEN regexp_extract_all(t, re, 2) ELSE regexp_extract_all(t, re, 0) END AS part,
+             string_split_regex(t, re) AS pieces FROM d, k WHERE regexp_matches(t, re)),
+e AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM m),
+f AS (SELECT r, kind, ent, whole[i] AS s, len(part[i]) >= least AS ok,
+             (list_sum(list_transform(pieces[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: len(x))), 0))::BIGINT AS a FROM e),
+base AS (SELECT r, kind, a, a + len(s) AS z FROM f WHERE ok AND NOT ent),
+c AS (SELECT * FROM f WHERE ok AND ent AND regexp_matches(s, '[0-9]') AND regexp_matches(s, CASE kind WHEN 3 THEN '[A-Fa-f]' ELSE '[A-Za-z]' END)
+        AND NOT regexp_matches(s, '^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$|^/?[a-z0-9_-]+(/[a-z0-9_-]+){2,}/?$')
+        AND NOT regexp_matches(s, '(?i)example|sample|dummy|placeholder|changeme|redacted|xxxxxx|000000|abcdefgh|01234567|12345678')),
+w AS (SELECT r, kind, a, s, unnest(range(0, len(s) - 23)) AS o FROM c),
+l AS (SELECT r, kind, a, o, unnest(string_split(s[o + 1:o + 24], '')) AS ch FROM w),
+n AS (SELECT r, kind, a, o, ch, count(*) AS n FROM l GROUP BY ALL),
+h AS (SELECT r, kind, a, o FROM n GROUP BY ALL HAVING round(sum(n * log2(n)), 9) <= round(24 * (log2(24) - CASE kind WHEN 3 THEN 3.1 ELSE 4.05 END), 9)),
+g AS (SELECT *, CASE WHEN o - lag(o) OVER (PARTITION BY r, kind, a ORDER BY o) <= 24 THEN 0 ELSE 1 END AS fresh FROM h),
+q AS (SELECT *, sum(fresh) OVER (PARTITION BY r, kind, a ORDER BY o) AS run FROM g),
+high AS (SELECT r, kind, a + min(o) AS a, a + max(o) + 24 AS z FROM q GROUP BY r, kind, q.a, run),
+named(kind, name) AS (VALUES (0, 'assign'), (1, 'access'), (2, 'hex'), (3, 'entropy_hex'), (4, 'entropy_base64')),
+b AS (SELECT r, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
+             string_agg(name || ':' || a || ':' || z, ',' ORDER BY a, kind) AS listed FROM base JOIN named USING (kind) GROUP BY r),
+v AS (SELECT r, string_agg(name || ':' || a || ':' || z, ',' ORDER BY a, kind) AS listed FROM (FROM base UNION ALL FROM high) JOIN named USING (kind) GROUP BY r)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(b.listed, '')) AS base_sha256, coalesce(v.listed, '') AS spans
+FROM d LEFT JOIN b USING (r) LEFT JOIN v USING (r)
+"""
+
 CHAT = r"""
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -49,6 +97,19 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+SUBSTRING = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+g AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS g FROM p),
+x AS (SELECT r, i FROM g WHERE g IN (SELECT g FROM g GROUP BY g HAVING count(*) > 1)),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM x),
+a AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM a ANTI JOIN c USING (r, i) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM c GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r) LEFT JOIN n USING (r)
+"""
+
 WARC = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 q AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
@@ -59,4 +120,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": MIX, "op6_chat": CHAT, "op9_warc": WARC}
+    return {"op2_mix": MIX, "op3_decontam": DECONTAM, "op5_secrets": SECRETS, "op6_chat": CHAT, "op8_substring": SUBSTRING, "op9_warc": WARC}

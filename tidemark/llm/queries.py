@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, media, mixing, quality, simhash, tokencount, warc
+from tidemark.llm import chat, decontam, media, mixing, quality, secret_scan, simhash, substring, tokencount, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +23,25 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
     import public_tokenizers
 
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(model))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = [x.kind for x in (*secret_scan.PATTERNS, *secret_scan.ENTROPY)]
+    counts = [secret_scan.count_kind("base", k).alias(f"n_{p.kind}") for k, p in enumerate(secret_scan.PATTERNS)]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.listed(F.col("base"), kinds), 256).alias("base_sha256"), secret_scan.listed(F.col("spans"), kinds).alias("spans"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(said).alias("prompt"), F.lit(said).alias("completion"))
@@ -43,6 +56,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(quality.held_out("doc_id"), F.lit(True)).alias("held_out"), "score", "predicted")
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.without_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive(_table(spark, sf_dir, "pages"))
     number = lambda c: F.expr(f"try_cast({c} AS bigint)").alias(c)
@@ -54,4 +71,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_mix, op4_token_counts, op6_chat, op7_quality, op9_warc, op10_media)}
+    return {f.__name__: f for f in (op1_simhash, op2_mix, op3_decontam, op4_token_counts, op5_secrets, op6_chat, op7_quality, op8_substring, op9_warc, op10_media)}

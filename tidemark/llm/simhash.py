@@ -13,10 +13,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import FOLD, cut
+from tidemark.llm.shared import FOLD, cut, join_hot
 
 SEED = 42
 
@@ -120,8 +121,6 @@ def links(fps: DataFrame, distance: int = 4, crowd: int = 512, chosen: list[int]
     """
     fps = cut(fps)
     chosen = chosen or masks(fps.count(), distance)
-    from pyspark.sql import Window as W
-
     values = variants(fps, chosen).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("tag", "value"))).where("n > 1")
     values = cut(values)
     few = values.where(F.col("n") <= crowd).select("tag", "value", "fp")
@@ -148,11 +147,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, crowd: i
     named = least.join(root, least["fp"] == root["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(ids, "root").select("fp", "n", "component_id")
-    from tidemark.llm.shared import join_hot
-
     return join_hot(own, of, "fp", "n", own.count()).select(key, "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, width: int = 4, distance: int = 4, crowd: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows and columns of ``docs``, with one row of every component: that of the smallest key (nulls last), then of
+    the smallest hash of its text; of rows alike in all columns but one stays."""
+    row = F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.xxhash64(key, text).alias("h"))
+    found = cut(near_duplicates(docs.withColumn("_row", row), width, distance, crowd, text, "_row").where("_row = component_id").select("_row"))
+    stay = found.select(F.col("_row.h").alias("_h")).distinct()
+    out = docs.withColumn("_h", F.xxhash64(key, text)).join(stay.hint("shuffle_hash"), "_h", "left_semi").drop("_h")
+    return out if found.count() == stay.count() else out.dropDuplicates([key, text])
+
+
 def hexadecimal(fp: Column) -> Column:
     """16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
