@@ -52,7 +52,7 @@ def read_member(fs, path: str, offset: int, packed: int, crc: int, tries: int =
         try:
             with fs.open_input_file(path) as f:
                 head = f.read_at(30, offset)
-                if head[:4] != b"PK\x03\x04":
+                if len(head) != 30 or head[:4] != b"PK\x03\x04":
                     raise ValueError("no member's head")
                 name, extra = struct.unpack("<HH", head[26:30])
                 data = f.read_at(packed, offset + 30 + name + extra)

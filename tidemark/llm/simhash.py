@@ -108,7 +108,7 @@ def ball_links(fps: DataFrame, radius: int) -> DataFrame:
     ``radius`` of both, and all that lie about a point are linked, so each is linked to the least of them."""
     flips = [sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(range(64), k)]
     flip = F.array(*[F.lit(_signed(x)) for x in flips])
-    points = fps.select("fp", F.explode(flip).alias("x")).select("fp", F.col("fp").bitwiseXOR("x").alias("point"))
+    points = fps.select("fp", F.explode(flip).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return points.join(least.select("point", "least"), "point").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
