@@ -79,6 +79,16 @@ def threshold(docs: DataFrame, budgets: DataFrame, bits: int, levels: int, small
     return bound.select("sid", F.shiftleft("prefix", HASH_BITS - bits * levels).alias("upto"), "used")
 
 
+def nearest(left: DataFrame, gap: str) -> DataFrame:
+    """(sid, last): the place of one document more, of those left, that brings its source nearer to its budget.
+
+    It is larger than the ``gap`` and smaller than twice the gap; the nearest to the gap is taken, then the first place.
+    """
+    near = left.where((F.col("size") > 0) & (F.col("size") < 2 * F.col(gap))).groupBy("sid", "h").agg(F.sum("size").alias("words"), F.first(gap).alias("gap"))
+    off = F.struct(F.abs(F.col("words") - F.col("gap")).alias("off"), "h")
+    return near.where(F.col("words") < 2 * F.col("gap")).groupBy("sid").agg(F.min(off)["h"].alias("last"))
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[int] = (5, 2, 1),
@@ -97,7 +107,7 @@ def mix(
     Returns ``key, source, size, source_size, target, copies, taken``, one row a document.  Every source is taken
     whole as often as its target allows, and once more up to a threshold of the hash.  What the threshold leaves open
     (less than the next document) is filled from documents that still fit, by further thresholds, each past the last:
-    ``rounds`` in all.  So copies are nested: more budget only adds documents.
+    ``rounds`` in all.  At the end one document more is taken where that comes nearer than leaving it.
 
     Null text has size 0; a null source is a source of its own, after all others; documents of equal key
     (repeated rows) and size are taken or left together; an empty table gives no rows.  Reruns agree, as nothing depends on
@@ -122,11 +132,13 @@ def mix(
         step = threshold(open_docs.select("sid", "h", "size"), plan.select("sid", F.col(f"r{k - 1}").alias("budget")), bits, levels, small)
         plan = plan.join(step.select("sid", F.col("upto").alias(f"t{k}"), "used"), "sid").withColumn(f"r{k}", F.col(f"r{k - 1}") - F.col("used")).drop("used")
     plan = cut(plan)
-
     once = reduce(
         lambda a, b: a | b,
         [F.col("h") < F.col("t0"), *[(F.col("h") >= F.col(f"t{k - 1}")) & (F.col("h") < F.col(f"t{k}")) & (F.col("size") <= F.col(f"r{k - 1}")) for k in range(1, rounds)]],
     )
+    plan = cut(plan.join(nearest(base.join(side(plan), "sid").where(~once), f"r{rounds - 1}"), "sid", "left"))
+    once = once | F.coalesce(F.col("h") == F.col("last"), F.lit(False))
+
     names = {c: f"_keep_{i}" for i, c in enumerate(keep) if c not in (key, source)}
     if names:
         base = docs.select(F.col(key).alias("key"), F.col(source).alias("_of"), size.alias("size"), place(key).alias("h"), *[F.col(c).alias(n) for c, n in names.items()])

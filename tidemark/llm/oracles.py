@@ -28,8 +28,12 @@ c1 AS (SELECT *, open1 AND c1 <= r0 AS in1 FROM c),
 e AS (SELECT *, r0 - coalesce(max(CASE WHEN in1 THEN c1 END) OVER (PARTITION BY sid), 0) AS r1,
              coalesce(min(CASE WHEN open1 AND NOT in1 THEN h END) OVER (PARTITION BY sid), 1152921504606846976) AS t1 FROM c1),
 e1 AS (SELECT *, NOT in0 AND NOT in1 AND h >= t1 AND size <= r1 AS open2 FROM e),
-x AS (SELECT *, open2 AND sum(CASE WHEN open2 THEN size ELSE 0 END) OVER (PARTITION BY sid ORDER BY h) <= r1 AS in2 FROM e1)
-SELECT doc_id, size, source_size, target, size * (whole + (in0 OR in1 OR in2)::BIGINT) AS taken FROM x
+x AS (SELECT *, sum(CASE WHEN open2 THEN size ELSE 0 END) OVER (PARTITION BY sid ORDER BY h) AS c2 FROM e1),
+y AS (SELECT *, open2 AND c2 <= r1 AS in2 FROM x),
+z AS (SELECT *, r1 - coalesce(max(CASE WHEN in2 THEN c2 END) OVER (PARTITION BY sid), 0) AS r2 FROM y),
+q AS (SELECT sid, h, sum(size)::BIGINT AS words, any_value(r2) AS r2 FROM z WHERE NOT (in0 OR in1 OR in2) AND size > 0 AND size < 2 * r2 GROUP BY sid, h),
+n AS (SELECT sid, arg_min(h, (abs(words - r2), h)) AS final FROM q WHERE words < 2 * r2 GROUP BY sid)
+SELECT doc_id, size, source_size, target, size * (whole + (in0 OR in1 OR in2 OR coalesce(h = final, false))::BIGINT) AS taken FROM z LEFT JOIN n USING (sid)
 """
 
 
