@@ -47,7 +47,8 @@ class ExtractorUnavailable(RuntimeError):
 def extract_documents(spark: SparkSession, path: str, extractor: Callable[[bytes], str] | None, glob: str = "*.pdf") -> DataFrame:
     """(path, text, error) of laid-out documents under a path, by a pluggable ``extractor`` of one document's bytes.
 
-    One document is one unit of work; one that fails has its error and null text.
+    One document is one unit of work; one that fails has its error and null text.  Files of no bytes have no rows, as
+    Spark's reader leaves them out.
     """
     if extractor is None:
         raise ExtractorUnavailable("no extractor for laid-out documents was given")
