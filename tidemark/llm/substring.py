@@ -89,23 +89,40 @@ def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
     return slim.select(F.xxhash64("key", "text").alias("d1"), F.xxhash64("text", F.lit(7), "key").alias("d2"), "key", "text")
 
 
+#: A segment's place: its first window times this, plus how many more windows it has.
+_SPAN = 1 << 12
+
+
 def _segments(rows: DataFrame, width: int, run: int) -> DataFrame:
-    """(anchor, whole, d1, d2, first, last) of every segment of every text."""
-    names = ["anchor", "whole", "d1", "d2", "first", "last"]
+    """(anchor, whole, d1, d2, place, more): the segments of every text, equal ones of one text in one row.
+
+    ``more`` has the first windows of all but the first of them; a line that a text repeats a thousand times is a row.
+    """
+    names = ["anchor", "whole", "d1", "d2", "place", "more"]
+
+    def of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        anchor, whole, first, last = anchors(word_hashes(*bounds(text)), width, run)
+        both, at = np.unique(anchor ^ (whole * np.uint64(_BYTE)), return_index=True)
+        more: list = [None] * at.size
+        if at.size < anchor.size:
+            order = np.argsort(anchor ^ (whole * np.uint64(_BYTE)), kind="stable")
+            edges = np.concatenate((np.searchsorted(anchor[order] ^ (whole[order] * np.uint64(_BYTE)), both), [order.size]))
+            for i in np.flatnonzero(np.diff(edges) > 1).tolist():
+                more[i] = first[order[edges[i] + 1 : edges[i + 1]]].astype("<i4").tobytes()
+        return anchor[at], whole[at], first[at] * _SPAN + (last[at] - first[at]), more
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                found, n = [], []
-                for t in part.column(2):
-                    found.append(anchors(word_hashes(*bounds(t.as_py().encode())), width, run))
-                    n.append(found[-1][0].size)
-                whole = [np.concatenate(x) for x in zip(*found, strict=True)]
+                found = [of(t.as_py().encode()) for t in part.column(2)]
+                n = [x[0].size for x in found]
+                anchor, whole, place = (np.concatenate([x[i] for x in found]) for i in range(3))
                 d = [np.repeat(part.column(i).to_numpy(), n) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (whole[0].view(np.int64), whole[1].view(np.int64), *d, whole[2].astype(np.int32), whole[3].astype(np.int32))], names)
+                more = pa.array([m for x in found for m in x[3]], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (anchor.view(np.int64), whole.view(np.int64), *d, place)), more], names)
 
-    return rows.select("d1", "d2", "text").mapInArrow(find, "anchor long, whole long, d1 long, d2 long, first int, last int")
+    return rows.select("d1", "d2", "text").mapInArrow(find, "anchor long, whole long, d1 long, d2 long, place long, more binary")
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -184,27 +201,31 @@ def _count_windows(segments: DataFrame, width: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words: int = 1_500_000, crowd: int = 5000, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(rows, stretches): the documents as (d1, d2, key, text), and (d1, d2, a, b), word ranges that repeats cover.
+    """(rows, stretches): the documents as (d1, d2, key, text), and (d1, d2, a, b, more), word ranges that repeats cover;
+    ``more`` has the beginnings of further ranges of the same length.
 
     An anchor with more than ``crowd`` open segments is counted window by window and not indexed, so a shard stays
     near ``shard_words`` words whatever the data.
     """
     rows = _rows(docs, text, key)
     of = W.partitionBy("anchor")
-    found = _segments(rows, width, run)
+    times = F.coalesce(F.octet_length("more") / 4, F.lit(0)).cast("long") + 1
+    found = _segments(rows, width, run).withColumn("times", times)
     # Counted by anchor first: the rows then lie as the counts by anchor and segment need them.
-    found = found.withColumn("n", F.count(F.lit(1)).over(of)).withColumn("m", F.count(F.lit(1)).over(W.partitionBy("anchor", "whole")))
-    found = found.where("n > 1").withColumn("k", F.row_number().over(W.partitionBy("anchor", "whole").orderBy("d1", "d2", "first")))
+    found = found.withColumn("n", F.sum("times").over(of)).withColumn("m", F.sum("times").over(W.partitionBy("anchor", "whole")))
+    found = found.where("n > 1").withColumn("k", F.row_number().over(W.partitionBy("anchor", "whole").orderBy("d1", "d2", "place")))
+    first, last = F.floor(F.col("place") / _SPAN).cast("int"), F.floor(F.col("place") / _SPAN).cast("int") + F.pmod("place", F.lit(_SPAN)).cast("int")
+    found = cut(found.withColumn("first", first).withColumn("last", last).drop("place"))
     # Equal segments are repeats as they stand; one of them stays to be found by others of its anchor.
-    found = cut(found)
-    same = found.where("m > 1").select("d1", "d2", F.col("first").alias("a"), (F.col("last") + width).alias("b"))
+    same = found.where("m > 1").select("d1", "d2", F.col("first").alias("a"), (F.col("last") + width).alias("b"), "more")
     open_ = found.where("m = 1 or (k = 1 and n > m)").withColumn("query", F.col("m") == 1).withColumn("c", F.count(F.lit(1)).over(of)).where("c > 1")
     open_ = cut(open_.select("anchor", "query", "d1", "d2", "first", "last", "c"))
     sums = open_.agg(F.sum(F.when(F.col("c") <= crowd, F.col("last") - F.col("first") + width)), F.max("c")).first()
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sums[0] or 0) // shard_words))
-    out = same.unionByName(_search(_texts(rows, open_.where(F.col("c") <= crowd), width), width, shards))
+    none = F.lit(None).cast("binary").alias("more")
+    out = same.unionByName(_search(_texts(rows, open_.where(F.col("c") <= crowd), width), width, shards).select("*", none))
     if (sums[1] or 0) > crowd:
-        out = out.unionByName(_count_windows(_texts(rows, open_.where(F.col("c") > crowd), width), width))
+        out = out.unionByName(_count_windows(_texts(rows, open_.where(F.col("c") > crowd), width), width).select("*", none))
     return rows, out
 
 
@@ -218,7 +239,7 @@ def without_repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words:
     hashes within an anchor's 64 bits.  Other columns are not read.
     """
     rows, found = repeats(docs, width, run, shard_words, crowd, text, key)
-    listed = found.groupBy("d1", "d2").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    listed = found.groupBy("d1", "d2").agg(F.collect_list(F.struct("a", "b", "more")).alias("gone"))
     both = rows.join(listed.hint("shuffle_hash"), ["d1", "d2"], "left").select("key", "text", "gone")
     kind = docs.schema[key].dataType.simpleString()
     kinds = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())][: 4 if keep_text else 3])
@@ -234,6 +255,11 @@ def without_repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words:
                         marks = np.zeros(whole + 1, np.int64)
                         np.add.at(marks, [g["a"] for g in gone], 1)
                         np.add.at(marks, [g["b"] for g in gone], -1)
+                        for g in gone:
+                            if g["more"]:
+                                begin = np.frombuffer(g["more"], "<i4")
+                                np.add.at(marks, begin, 1)
+                                np.add.at(marks, begin + (g["b"] - g["a"]), -1)
                         left = np.flatnonzero(np.cumsum(marks[:-1]) == 0)
                         words = [words[i] for i in left.tolist()]
                         n = whole - len(words)
