@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.places import COUNTIES, dimension
 from tidemark.operators import filings, ledger
 from tidemark.plans import report
-from tidemark.plans.weekly import NO_UPDATE, run
+from tidemark.plans.weekly import NO_UPDATE, Outcome, deliver, run, wanted_links
 from tidemark.sources import landing
 from tidemark.sources.state import StateStore
-from tidemark.streaming.ledger_stream import run_ledger
+from tidemark.streaming.ledger_stream import distinct_stream, run_ledger
 
 RANKED = [{"county": "Cook", "now": 900, "then": 1000, "change": -100, "pct": -10.0}, {"county": "Will", "now": 5, "then": 5, "change": 0, "pct": 0.0}, {"county": "StClair", "now": 520, "then": 500, "change": 20, "pct": 4.0}]
 
@@ -125,3 +125,30 @@ def test_caps(spark):
     top = ledger.top_with_rest(rows, 15, [F.col("id")], "g").collect()
     assert len(top) == 16 and [r.n_more for r in top if r["rank"] is None] == [5]
     assert ledger.capped(rows, 15, [F.col("id")]).where("include_next_run").count() == 5
+
+
+def test_delivery_leaves_no_stale_body(tmp_path):
+    assert deliver(Outcome("S", "body", "<p>"), str(tmp_path)) == "S\n\nbody" and (tmp_path / "report.html").read_text() == "<p>"
+    assert deliver(Outcome(NO_UPDATE), str(tmp_path)) == NO_UPDATE and not (tmp_path / "report.html").exists()
+
+
+def test_known_months_are_not_wanted_again(spark):
+    found = spark.createDataFrame([("/a/x.pdf", "Enrollment as of July 1, 2026"), ("/a/082026.pdf", "Enrollment"), ("/a/y.pdf", "Enrollment")], "url string, label string")
+    months = spark.createDataFrame([("p", "2026-07"), ("q", "2026-08")], "program string, month string")
+    assert {r.url: r.month for r in wanted_links(found, months, "p").collect()} == {"/a/082026.pdf": "2026-08", "/a/y.pdf": None}
+
+
+def test_baselines_and_open_calls(spark):
+    items = spark.createDataFrame([("a", 1), ("b", 2)], "state string, n int")
+    assert {r.state: r.is_baseline for r in ledger.with_baseline(items, items.where("n = 1"), "state").collect()} == {"a": False, "b": True}
+    calls = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-02-01"), (3, None)], "n int, due string")
+    assert [r.n for r in ledger.still_open(calls, "due", F.lit("2024-01-15")).collect()] == [2, 3]
+
+
+def test_distinct_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:05:00"), (2, "2024-01-01 00:01:00")], "k int, t string").withColumn("t", F.col("t").cast("timestamp"))
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = distinct_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), ["k"], "t", "1 hour")
+    query = stream.writeStream.format("memory").queryName("seen").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.k for r in spark.table("seen").collect()) == [1, 2]

@@ -94,3 +94,17 @@ def apply_items(ledger: DataFrame, matched: DataFrame, today: Column, material:
     fresh = matched.where("status = 'NEW'").withColumn("first_seen", today).withColumn("last_updated", today)
     have = [c for c in ledger.columns if c in fresh.columns]
     return kept.unionByName(fresh.select(*have), allowMissingColumns=True)
+
+
+def with_baseline(items: DataFrame, ledger: DataFrame, by: str) -> DataFrame:
+    """Adds ``is_baseline``: items of a key (a state, a source) of which the ledger has nothing yet.
+
+    Such items set the key's baseline and are not news, whether the whole ledger is new or only that key.
+    """
+    known = ledger.select(by).distinct().withColumn("_known", F.lit(True))
+    return items.join(known, by, "left").withColumn("is_baseline", F.col("_known").isNull()).drop("_known")
+
+
+def still_open(rows: DataFrame, due: str, today: Column) -> DataFrame:
+    """Calls whose due date is not past; those without one are kept."""
+    return rows.where(F.col(due).isNull() | (F.col(due) >= today))

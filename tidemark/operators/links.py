@@ -69,3 +69,13 @@ def latest_of(rows: DataFrame, keys: list[str], order: list[str], n: int) -> Dat
     """The last ``n`` rows of each group, newest first."""
     by = W.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
+
+
+def discovery_audit(found: DataFrame, month: str = "month", url: str = "url", order: str = "pos") -> DataFrame:
+    """(year, n_months, n_links, first_url) of dated links, each month by its first link; undated ones under a null year.
+
+    ``first_url`` is the first link of the year's first month (of all, for undated ones).
+    """
+    first = found.groupBy(month).agg(F.min_by(url, order).alias("_url"), F.count(F.lit(1)).alias("_n"))
+    year = F.substring(month, 1, 4).alias("year")
+    return first.groupBy(year).agg(F.count(month).alias("n_months"), F.sum("_n").alias("n_links"), F.min_by("_url", F.coalesce(month, F.lit(""))).alias("first_url"))

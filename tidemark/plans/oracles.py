@@ -119,6 +119,11 @@ ORACLES = {
     "new_period_keys": f"WITH {_PANEL} SELECT DISTINCT program, month FROM p WHERE month >= '2000-01'",
     "run_summary": f"""WITH {_DAILY}, f AS (SELECT first_day AS day, count(*) AS n_new FROM (SELECT user_id, min(day) AS first_day FROM d GROUP BY user_id) GROUP BY 1)
         SELECT d.day, count(DISTINCT user_id) AS checked, count(*) FILTER (value < 1) AS failed, coalesce(any_value(n_new), 0) AS n_new FROM d LEFT JOIN f USING (day) GROUP BY d.day""",
+    "baseline_flags": f"""WITH {_DAILY}, s AS (SELECT *, event_type || '/' || user_id AS source FROM d)
+        SELECT event_id, source, source NOT IN (SELECT source FROM s WHERE day < '2024-01-10') AS is_baseline FROM s WHERE day >= '2024-01-10'""",
+    "still_open": "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0 OR o_orderdate >= DATE '2001-05-01'",
+    "discovery_audit": """WITH r AS (SELECT CASE WHEN o_orderkey % 11 > 0 THEN strftime(o_orderdate, '%Y-%m') END AS month, '/r' || o_orderkey AS url, o_orderkey AS pos FROM orders)
+        SELECT substr(month, 1, 4) AS year, count(DISTINCT month) AS n_months, count(*) AS n_links, arg_min(url, (coalesce(month, ''), pos)) AS first_url FROM r GROUP BY 1""",
     "extract_links": f"WITH {_LINKS} SELECT * FROM l",
     "dedupe_links_first": f"""WITH {_LINKS}, u AS (SELECT CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://site.example' || href END AS url, label, page_id, pos FROM l WHERE label <> '')
         SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, pos) = 1""",

@@ -222,6 +222,19 @@ def run_summary(spark, d):
     return out.join(first.groupBy(F.col("first_day").alias("day")).agg(F.count(F.lit(1)).alias("n_new")), "day", "left").select("day", "checked", "failed", F.coalesce("n_new", F.lit(0)).alias("n_new"))
 
 
+@query
+def baseline_flags(spark, d):
+    rows = _daily(spark, d).withColumn("source", F.concat("event_type", F.lit("/"), F.col("user_id").cast("string")))
+    found = ledger.with_baseline(rows.where("day >= '2024-01-10'"), rows.where("day < '2024-01-10'"), "source")
+    return found.select("event_id", "source", "is_baseline")
+
+
+@query
+def still_open(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.when(F.pmod("o_orderkey", F.lit(10)) > 0, F.col("o_orderdate").cast("date")).alias("due"))
+    return ledger.still_open(rows, "due", F.lit("2001-05-01").cast("date")).select("o_orderkey")
+
+
 # --- links and pages
 
 
@@ -247,6 +260,13 @@ def report_links(spark, d):
     return links.report_links(table(spark, d, "pages"), "https://site.example", "(?i)th", href='[^"]+')
 
 
+@query
+def discovery_audit(spark, d):
+    month = F.when(F.pmod("o_orderkey", F.lit(11)) > 0, F.date_format("o_orderdate", "yyyy-MM"))
+    rows = table(spark, d, "orders").select(month.alias("month"), F.concat(F.lit("/r"), F.col("o_orderkey").cast("string")).alias("url"), F.col("o_orderkey").alias("pos"))
+    return links.discovery_audit(rows)
+
+
 @query
 def link_fingerprint(spark, d):
     return links.fingerprint(table(spark, d, "pages"))

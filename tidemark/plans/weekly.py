@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,3 +117,16 @@ def run(
         problems.append("First run: the watched pages are the baseline; their changes are told from the next run on.")
     figures = Figures(month, totals[month] or 0, mom, [r.asDict() for r in ranked], alerts, problems, base)
     return Outcome(subject(figures, words), text(figures, words), page(figures, words), new_months)
+
+
+def deliver(outcome: Outcome, folder: str) -> str:
+    """What a run prints, with the mail's body in ``report.html``; a body of an earlier run is removed first.
+
+    This runs on the driver, for a mail job on the same machine.
+    """
+    body = Path(folder) / "report.html"
+    body.unlink(missing_ok=True)
+    if not outcome.html:
+        return "\n".join(x for x in (outcome.subject, outcome.text) if x)
+    body.write_text(outcome.html, encoding="utf-8")
+    return f"{outcome.subject}\n\n{outcome.text}"
