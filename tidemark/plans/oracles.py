@@ -84,7 +84,16 @@ y AS (SELECT *, CASE WHEN county = first_county AND k % 3 = 0 THEN value + 1 ELS
 
 _HTML_CLEAN = r"""trim(regexp_replace(replace(replace(regexp_replace(replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[\x{200B}\x{00A0}]', ' ', 'g'), '&amp;', '&'), '&#0?39;|&apos;|&rsquo;', '''', 'g'), '&quot;', '"'), '&nbsp;', ' '), '\s+', ' ', 'g'))"""
 
+_CATALOG = """c(state, name, url, kind, terms, unverified) AS (VALUES
+  ('AA', 'First State', 'https://aa.example/news', 'news', '', false),
+  ('AA', 'First State', 'https://aa.example/grants', 'grants', 'rural health|award', false),
+  ('AA', 'First State', 'https://aa.example/board', 'minutes', '', true),
+  ('BB', 'Second State', 'https://bb.example/rfp', 'grants', '', false),
+  ('BB', 'Second State', 'https://bb.example/press', 'news', 'transformation', true))"""
+
 ORACLES = {
+    "explode_catalog": f"WITH {_CATALOG} SELECT * FROM c",
+    "sources_by_kind": f"WITH {_CATALOG} SELECT kind, count(*) AS n, count(*) FILTER (unverified) AS n_unverified FROM c GROUP BY kind",
     "mom_rank": f"WITH {_PANEL}, {_RANKED.format(months='m')} SELECT * FROM r",
     "mom_latest_decline_top15": f"{_LATEST} SELECT *, row_number() OVER (PARTITION BY program ORDER BY change, pct, county)::INT AS rank FROM r WHERE change < 0 QUALIFY rank <= 15",
     "mom_gainers_top5": f"{_LATEST} SELECT *, row_number() OVER (PARTITION BY program ORDER BY change DESC, pct, county)::INT AS rank FROM r WHERE change > 0 QUALIFY rank <= 5",
