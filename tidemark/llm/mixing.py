@@ -93,8 +93,8 @@ def mix(
     docs: DataFrame,
     weights: Sequence[int] = (5, 2, 1),
     max_repeats: int = 3,
-    bits: int = 12,
-    levels: int = 3,
+    bits: int = 16,
+    levels: int = 2,
     rounds: int = 3,
     broadcast_sources: int = 50_000,
     text: str = "text",

@@ -181,6 +181,7 @@ def _count_windows(segments: DataFrame, width: int) -> DataFrame:
     kinds = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("a", pa.int32())])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list = []
         for batch in batches:
             for anchor, _, d1, d2, first, raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 words = raw.split()
@@ -194,7 +195,6 @@ def _count_windows(segments: DataFrame, width: int) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.types)], schema=kinds)
 
-    rows: list = []
     own = segments.mapInArrow(windows, "w1 long, w2 long, d1 long, d2 long, a int")
     often = own.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return own.join(often, ["w1", "w2"], "left_semi").select("d1", "d2", "a", (F.col("a") + width).alias("b"))
