@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, mixing, quality, secret_scan, simhash
+from tidemark.llm import decontam, mixing, near_copies, quality, secret_scan
 from tidemark.llm.shared import new_folder
 
 
@@ -16,8 +16,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies."""
-    return simhash.one_of_each(docs)
+    """One document of every group of near copies: those whose sets of five-word runs have a similarity of 0.8 or more."""
+    return near_copies.one_of_each(docs, width=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
