@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", good_quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mask_secrets", mask_secrets), ("mix", mix_sources)]
 
-#: The ranking and the fingerprints are beyond SQL; the tests hold each stage against a brute-force version.
+#: The ranking and the near copies are beyond SQL; the tests hold the stages near_dedup and decontaminate against brute-force versions.
 ORACLE_SQL = None
 
 
