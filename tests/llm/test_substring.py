@@ -28,6 +28,30 @@ def test_matches_brute_force(docs, corpus, width, run, crowd):
     assert sorted(map(tuple, got), key=str) == plain([r[:2] for r in corpus], width)
 
 
+def morse(n):
+    """Thue-Morse words and their complements: equal under any polynomial hash modulo 2^64 from 1,024 letters on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("crowd", [5000, 1])
+def test_words_that_weak_hashes_confuse(spark, crowd):
+    one, two = morse(2048)
+    words = [f"w{i}" for i in range(41)]
+    rows = [(i, " ".join([*words[:20], x, *words[21:]])) for i, x in enumerate((one, two))]
+    got = substring.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect()
+    assert [r.n_removed for r in got] == [0, 0] and sorted(map(tuple, got)) == plain(rows, 35)
+
+
+def test_crowded_passage(spark):
+    """A passage in many documents, between words that some of them share: every level of the split is needed."""
+    r = random.Random(3)
+    passage = [f"p{i}" for i in range(50)]
+    rows = [(i, " ".join([*[f"{r.choice('ab')}{k}" for k in range(6)], *passage[r.randint(0, 9) :], *[f"{r.choice('cd')}{k}" for k in range(6)]])) for i in range(300)]
+    got = substring.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), crowd=3).collect()
+    assert sorted(map(tuple, got), key=str) == plain(rows, 35)
+
+
 def test_kept_text_and_empty(docs, no_docs):
     got = substring.without_repeats(docs, keep_text=True).collect()
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
@@ -62,7 +86,7 @@ def test_equal_windows_have_equal_anchors():
     one, two = np.concatenate((r.integers(0, 2**63, 31).astype(np.uint64), base)), np.concatenate((base, r.integers(0, 2**63, 17).astype(np.uint64)))
     found = []
     for h, shift in ((one, 31), (two, 0)):
-        a, _, first, last = substring.anchors(h, 35, 8)
+        a, first, last, _ = substring.anchors(h, 35, 8)
         assert first[0] == 0 and last[-1] == h.size - 35 and (first[1:] == last[:-1] + 1).all()
         found.append({w - shift: x for x, f, g in zip(a.tolist(), first, last, strict=True) for w in range(f, g + 1)})
     assert all(found[0][w] == found[1][w] for w in range(80 - 35 + 1))

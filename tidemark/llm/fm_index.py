@@ -8,21 +8,30 @@ ONE = np.uint64(1)
 
 
 class Bits:
-    """A bit vector in 64-bit words with a count before each: ``rank(i)`` is the number of ones before ``i``."""
+    """A bit vector in 64-bit words with a count before each: ``rank(i)`` is the number of ones before ``i``.
+
+    Where few different words make it up, as in the runs that repeats leave in a BWT, it is held as numbers of the
+    smallest fitting type into a table of them.
+    """
 
     def __init__(self, bits: np.ndarray):
         n = bits.size
         raw = np.zeros((n // 64 + 1) * 8, np.uint8)
         packed = np.packbits(bits, bitorder="little")
         raw[: packed.size] = packed
-        self.words = raw.view("<u8")
-        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64))).astype(np.int32)
+        words = raw.view("<u8")
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64))).astype(np.int32)
+        self.table, code = np.unique(words, return_inverse=True)
+        self.code = code.astype(np.min_scalar_type(self.table.size))
+        if self.table.nbytes + self.code.nbytes >= words.nbytes:
+            self.table, self.code = words, None
         self.zeros = n - int(self.before[-1])
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         at = i >> 6
         low = (ONE << (i & 63).astype(np.uint64)) - ONE
-        return self.before[at] + np.bitwise_count(self.words[at] & low)
+        word = self.table[at if self.code is None else self.code[at]]
+        return self.before[at] + np.bitwise_count(word & low)
 
 
 class Wavelet:

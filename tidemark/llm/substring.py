@@ -2,8 +2,13 @@
 
 Every window of ``width`` words is anchored at the least-hashed run of ``run`` words inside it, so equal windows have
 equal anchors.  The windows that follow each other with one anchor form a segment.  Anchors that occur once cannot
-hold a repeat and are dropped; segments that are equal as a whole are repeats; all that is left is sharded by anchor.
-A shard builds an FM-index over its segments and streams them through backward search.
+hold a repeat and are dropped; the rest is sharded by anchor.  A shard builds an FM-index over its segments, by their
+very words, and streams them through backward search.  Hashes only bring segments together: what is a repeat is read
+from the index, word by word.
+
+Copies of a segment (equal in a 128-bit BLAKE2b digest of their words) go into the index twice, and what it finds
+for the first holds for all.  An anchor with very many different segments is split by the words that all windows of
+one block of places have in common, then by smaller blocks, until each part fits a shard.
 """
 
 from __future__ import annotations
@@ -13,8 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.fm_index import FMIndex, repeated_windows
@@ -56,7 +61,8 @@ def bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words: polynomials in their bytes, mixed with their lengths."""
+    """64-bit hashes of words: polynomials in their bytes, mixed with their lengths.  Equal words have equal hashes; different
+    words may too, so hashes choose anchors and nothing else."""
     n = data.size
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BYTE, n), out=sums[1:])
@@ -65,10 +71,10 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def anchors(h: np.ndarray, width: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, segment hash, first window, last window) of a text's segments, from its words' hashes."""
+    """(anchor hash, first window, last window, the anchor's place) of a text's segments, from its words' hashes."""
     n = h.size
     if n < width:
-        return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return np.zeros(0, np.int64), *(np.zeros(0, np.int64) for _ in range(3))
     runs = np.zeros(n - run + 1, np.uint64)
     for j in range(run):
         runs = runs * np.uint64(_WORD) + h[j : j + runs.size]
@@ -77,10 +83,11 @@ def anchors(h: np.ndarray, width: int, run: int) -> tuple[np.ndarray, np.ndarray
     place = np.lib.stride_tricks.sliding_window_view(runs, span).argmin(axis=1) + np.arange(n - width + 1)
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     last = np.concatenate((first[1:] - 1, [n - width]))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(h * _power(_WORD, n), out=sums[1:])
-    whole = _mix((sums[last + width] - sums[first]) * _power(_inverse(_WORD), n + 1)[first] + (last - first).astype(np.uint64))
-    return runs[place[first]], whole, first, last
+    return runs[place[first]].view(np.int64), first, last, place[first]
+
+
+def _digest(data: bytes) -> tuple[int, int]:
+    return tuple(np.frombuffer(hashlib.blake2b(data, digest_size=16).digest(), np.int64).tolist())
 
 
 def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -89,144 +96,183 @@ def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
     return slim.select(F.xxhash64("key", "text").alias("d1"), F.xxhash64("text", F.lit(7), "key").alias("d2"), "key", "text")
 
 
-#: A segment's place: its first window times this, plus how many more windows it has.
-_SPAN = 1 << 12
+#: A segment of a row: its anchor, the digest of its words, its first and last window, its anchor's place, and the first
+#: windows of the equal segments that follow in the same text.
+_MEMBER = pa.schema([("anchor", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("pos", pa.int32()), ("more", pa.binary())])
+_MEMBER_SQL = "anchor long, w1 long, w2 long, d1 long, d2 long, first int, last int, pos int, more binary"
 
 
-def _segments(rows: DataFrame, width: int, run: int) -> DataFrame:
-    """(anchor, whole, d1, d2, place, more): the segments of every text, equal ones of one text in one row.
+def _grouped(found: list[tuple], d1: int, d2: int) -> list[tuple]:
+    """(anchor, w1, w2, first, last, pos) of one text to members, equal segments in one row: a line that a text repeats a
+    thousand times is a row."""
+    of: dict = {}
+    for anchor, w1, w2, first, last, pos in found:
+        of.setdefault((anchor, w1, w2, last - first, pos - first), []).append(first)
+    return [(a, w1, w2, d1, d2, f[0], f[0] + n, f[0] + p, np.array(f[1:], "<i4").tobytes() if f[1:] else None) for (a, w1, w2, n, p), f in of.items()]
 
-    ``more`` has the first windows of all but the first of them; a line that a text repeats a thousand times is a row.
-    """
-    names = ["anchor", "whole", "d1", "d2", "place", "more"]
-
-    def of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-        anchor, whole, first, last = anchors(word_hashes(*bounds(text)), width, run)
-        both, at = np.unique(anchor ^ (whole * np.uint64(_BYTE)), return_index=True)
-        more: list = [None] * at.size
-        if at.size < anchor.size:
-            order = np.argsort(anchor ^ (whole * np.uint64(_BYTE)), kind="stable")
-            edges = np.concatenate((np.searchsorted(anchor[order] ^ (whole[order] * np.uint64(_BYTE)), both), [order.size]))
-            for i in np.flatnonzero(np.diff(edges) > 1).tolist():
-                more[i] = first[order[edges[i] + 1 : edges[i + 1]]].astype("<i4").tobytes()
-        return anchor[at], whole[at], first[at] * _SPAN + (last[at] - first[at]), more
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), schema.types)], schema=schema)
+
+
+def _anchor_counts(rows: DataFrame, width: int, run: int) -> DataFrame:
+    """(anchor, n): how many segments have an anchor, counted before they move."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [anchors(word_hashes(*bounds(t.as_py().encode())), width, run)[0] for t in batch.column(0)]
+            anchor, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n.astype(np.int64))], ["anchor", "n"])
+
+    return rows.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+
+
+def _members(rows: DataFrame, width: int, run: int) -> DataFrame:
+    """The segments of every text."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                found = [of(t.as_py().encode()) for t in part.column(2)]
-                n = [x[0].size for x in found]
-                anchor, whole, place = (np.concatenate([x[i] for x in found]) for i in range(3))
-                d = [np.repeat(part.column(i).to_numpy(), n) for i in (0, 1)]
-                more = pa.array([m for x in found for m in x[3]], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (anchor.view(np.int64), whole.view(np.int64), *d, place)), more], names)
+            out: list = []
+            for d1, d2, t in zip(*(batch.column(i) for i in range(3)), strict=True):
+                joined = b" ".join(t.as_py().encode().split())
+                data, begin, end = bounds(joined)
+                cuts = anchors(word_hashes(data, begin, end), width, run)
+                some = zip(*(x.tolist() for x in (*cuts, begin[cuts[1]], end[cuts[2] + width - 1])))
+                out += _grouped([(a, *_digest(joined[b:e]), first, last, pos) for a, first, last, pos, b, e in some], d1.as_py(), d2.as_py())
+                if len(out) > 20_000:
+                    yield _batch(out, _MEMBER)
+                    out = []
+            if out:
+                yield _batch(out, _MEMBER)
+
+    return rows.select("d1", "d2", "text").mapInArrow(find, _MEMBER_SQL)
 
-    return rows.select("d1", "d2", "text").mapInArrow(find, "anchor long, whole long, d1 long, d2 long, place long, more binary")
+
+def _with_texts(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """Rows with what is ``listed`` for them: (d1, d2, text, segments)."""
+    return rows.join(listed.hint("shuffle_hash"), ["d1", "d2"]).select("d1", "d2", "text", "segments")
+
+
+def _split(rows: DataFrame, members: DataFrame, width: int, run: int, level: int) -> DataFrame:
+    """Members taken apart by the place of the anchor in the window, in 2^level blocks of places.
+
+    All windows of a block have the words from the block's lowest to its highest place on in common, so equal windows
+    agree in the digest of those, which is the part's anchor.  A block of one place has whole windows in common.
+    """
+    span = width - run + 1
+    step = -(-span // (1 << level))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list = []
+            for d1, d2, t, segments in zip(*(batch.column(i) for i in range(4)), strict=True):
+                words, found = t.as_py().encode().split(), []
+                for s in segments.as_py():
+                    for first in [s["first"], *np.frombuffer(s["more"] or b"", "<i4").tolist()]:
+                        last, pos = first + s["last"] - s["first"], first + s["pos"] - s["first"]
+                        for low in range(0, span, step):
+                            high = min(low + step, span) - 1
+                            a, b = max(first, pos - high), min(last, pos - low)
+                            if a <= b:
+                                common = b" ".join(words[pos - low : pos - high + width])
+                                key = _digest(b"%d %d %d " % (s["anchor"], level, low) + common)[0]
+                                found.append((key, *_digest(b" ".join(words[a : b + width])), a, b, pos))
+                out += _grouped(found, d1.as_py(), d2.as_py())
+                if len(out) > 20_000:
+                    yield _batch(out, _MEMBER)
+                    out = []
+            if out:
+                yield _batch(out, _MEMBER)
+
+    listed = members.groupBy("d1", "d2").agg(F.collect_list(F.struct("anchor", "first", "last", "pos", "more")).alias("segments"))
+    return _with_texts(rows, listed).mapInArrow(part, _MEMBER_SQL)
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The wanted segments with their words, joined by a space: (anchor, query, d1, d2, first, words)."""
-    listed = wanted.groupBy("d1", "d2").agg(F.collect_list(F.struct("anchor", "query", "first", "last")).alias("segments"))
-    both = rows.join(listed.hint("shuffle_hash"), ["d1", "d2"]).select("d1", "d2", "key", "text", "segments")
-    kinds = pa.schema([("anchor", pa.int64()), ("query", pa.bool_()), ("d1", pa.int64()), ("d2", pa.int64()), ("first", pa.int32()), ("words", pa.binary())])
+    """(anchor, w1, w2, query, words): the wanted segments with their words, joined by a space."""
+    listed = wanted.groupBy("d1", "d2").agg(F.collect_list(F.struct("anchor", "w1", "w2", "query", "first", "last")).alias("segments"))
+    kinds = pa.schema([("anchor", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("query", pa.bool_()), ("words", pa.binary())])
 
     def slice_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part, out = batch.slice(at, 256), []
-                for d1, d2, t, segments in zip(*(part.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
-                    words = t.encode().split()
-                    out += [(s["anchor"], s["query"], d1, d2, s["first"], b" ".join(words[s["first"] : s["last"] + width])) for s in segments]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds.types)], schema=kinds)
+            out: list = []
+            for t, segments in zip(batch.column(2), batch.column(3), strict=True):
+                words = t.as_py().encode().split()
+                out += [(s["anchor"], s["w1"], s["w2"], s["query"], b" ".join(words[s["first"] : s["last"] + width])) for s in segments.as_py()]
+                if len(out) > 5_000:
+                    yield _batch(out, kinds)
+                    out = []
+            if out:
+                yield _batch(out, kinds)
 
-    return both.mapInArrow(slice_out, "anchor long, query boolean, d1 long, d2 long, first int, words binary")
+    return _with_texts(rows, listed).mapInArrow(slice_out, "anchor long, w1 long, w2 long, query boolean, words binary")
 
 
 def _search(segments: DataFrame, width: int, shards: int) -> DataFrame:
-    """(d1, d2, a, b): the repeated stretches of the query segments, each shard by its own FM-index."""
-    kinds = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+    """(anchor, w1, w2, found): for each query segment the stretches (a, b) of its words, counted from its first, that
+    windows with a second occurrence cover; each shard by its own FM-index over the words themselves."""
+    kinds = pa.schema([("anchor", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("found", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if len(b)]
         if not parts:
             return
-        table = pa.Table.from_batches(parts)
-        lines = table.column("words").to_pylist()
-        sizes = np.array([x.count(b" ") + 1 for x in lines])
-        ends = np.cumsum(sizes)
-        begins = ends - sizes
-        hashes = word_hashes(*bounds(b" ".join(lines)))
-        del lines
-        _, words = np.unique(hashes, return_inverse=True)
-        index = FMIndex(words, ends, int(words.max()) + 1)
-        query = table.column("query").to_numpy()
-        held = np.flatnonzero(query)
+        table = pa.Table.from_batches(parts).combine_chunks()
+        split = pc.split_pattern(table.column("words").combine_chunks(), " ")
+        ends = split.offsets.to_numpy()[1:].astype(np.int64)
+        begins = ends - np.diff(split.offsets.to_numpy())
+        coded = split.values.dictionary_encode()
+        words, kinds_of = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        del split, coded
+        index = FMIndex(words, ends, kinds_of)
+        held = np.flatnonzero(table.column("query").to_numpy())
         marks = repeated_windows(index, words, begins[held], ends[held], width)
         # A segment's last words start no window, so stretches never run from one segment into the next.
         edge = np.flatnonzero(np.diff(np.concatenate(([False], marks, [False])).astype(np.int8)))
         a, b = edge[::2], edge[1::2]
         of = np.searchsorted(ends, a, side="right")
-        shift = table.column("first").to_numpy()[of] - begins[of]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(table.column("d1").to_numpy()[of]), pa.array(table.column("d2").to_numpy()[of]), pa.array((a + shift).astype(np.int32)), pa.array((b - 1 + width + shift).astype(np.int32))], schema=kinds
-        )
-
-    return segments.repartition(shards, "anchor").mapInArrow(search, "d1 long, d2 long, a int, b int")
-
-
-def _count_windows(segments: DataFrame, width: int) -> DataFrame:
-    """(d1, d2, a, b) for segments of crowded anchors: each window by two hashes of its own words, counted before it moves."""
-    kinds = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("a", pa.int32())])
+        if not of.size:
+            return
+        hit, at = np.unique(of, return_index=True)
+        pairs = pa.StructArray.from_arrays([pa.array((a - begins[of]).astype(np.int32)), pa.array((b - 1 + width - begins[of]).astype(np.int32))], ["a", "b"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, of.size).astype(np.int32)), pairs)
+        yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks().take(pa.array(hit)) for c in ("anchor", "w1", "w2")), lists.cast(kinds.field("found").type)], schema=kinds)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list = []
-        for batch in batches:
-            for anchor, _, d1, d2, first, raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                words = raw.split()
-                for s in range(len(words) - width + 1):
-                    digest = hashlib.blake2b(b" ".join(words[s : s + width]), digest_size=16).digest()
-                    w1, w2 = np.frombuffer(digest, np.int64).tolist()
-                    rows.append((w1, w2, d1, d2, first + s))
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.types)], schema=kinds)
-                    rows.clear()
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.types)], schema=kinds)
-
-    own = segments.mapInArrow(windows, "w1 long, w2 long, d1 long, d2 long, a int")
-    often = own.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return own.join(often, ["w1", "w2"], "left_semi").select("d1", "d2", "a", (F.col("a") + width).alias("b"))
+    return segments.repartition(shards, "anchor").mapInArrow(search, "anchor long, w1 long, w2 long, found array<struct<a:int,b:int>>")
 
 
 def repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words: int = 1_500_000, crowd: int = 5000, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(rows, stretches): the documents as (d1, d2, key, text), and (d1, d2, a, b, more), word ranges that repeats cover;
-    ``more`` has the beginnings of further ranges of the same length.
+    """(rows, stretches): the documents as (d1, d2, key, text), and (d1, d2, first, more, found): what repeats in them, as
+    stretches ``found`` of word numbers counted from ``first`` and from each place in ``more``.
 
-    An anchor with more than ``crowd`` open segments is counted window by window and not indexed, so a shard stays
-    near ``shard_words`` words whatever the data.
+    A shard holds about ``shard_words`` words, and no more than ``crowd`` segments of one anchor.
     """
     rows = _rows(docs, text, key)
-    of = W.partitionBy("anchor")
+    often = _anchor_counts(rows, width, run).where("n > 1").select("anchor")
+    found = cut(_members(rows, width, run).join(often, "anchor"))
+    of, out, level = ["anchor", "w1", "w2"], None, 0
     times = F.coalesce(F.octet_length("more") / 4, F.lit(0)).cast("long") + 1
-    found = _segments(rows, width, run).withColumn("times", times)
-    # Counted by anchor first: the rows then lie as the counts by anchor and segment need them.
-    found = found.withColumn("n", F.sum("times").over(of)).withColumn("m", F.sum("times").over(W.partitionBy("anchor", "whole")))
-    found = found.where("n > 1").withColumn("k", F.row_number().over(W.partitionBy("anchor", "whole").orderBy("d1", "d2", "place")))
-    first, last = F.floor(F.col("place") / _SPAN).cast("int"), F.floor(F.col("place") / _SPAN).cast("int") + F.pmod("place", F.lit(_SPAN)).cast("int")
-    found = cut(found.withColumn("first", first).withColumn("last", last).drop("place"))
-    # Equal segments are repeats as they stand; one of them stays to be found by others of its anchor.
-    same = found.where("m > 1").select("d1", "d2", F.col("first").alias("a"), (F.col("last") + width).alias("b"), "more")
-    open_ = found.where("m = 1 or (k = 1 and n > m)").withColumn("query", F.col("m") == 1).withColumn("c", F.count(F.lit(1)).over(of)).where("c > 1")
-    open_ = cut(open_.select("anchor", "query", "d1", "d2", "first", "last", "c"))
-    sums = open_.agg(F.sum(F.when(F.col("c") <= crowd, F.col("last") - F.col("first") + width)), F.max("c")).first()
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sums[0] or 0) // shard_words))
-    none = F.lit(None).cast("binary").alias("more")
-    out = same.unionByName(_search(_texts(rows, open_.where(F.col("c") <= crowd), width), width, shards).select("*", none))
-    if (sums[1] or 0) > crowd:
-        out = out.unionByName(_count_windows(_texts(rows, open_.where(F.col("c") > crowd), width), width).select("*", none))
-    return rows, out
+    place = F.struct("d1", "d2", "first", "last")
+    while True:
+        classes = cut(found.groupBy(*of).agg(F.sum(times).alias("m"), F.min(place).alias("low"), F.max(place).alias("high")))
+        twice = F.least("m", F.lit(2))
+        load = classes.groupBy("anchor").agg(F.sum("m").alias("n"), F.sum(twice).alias("c"))
+        load = cut(load.where("n > 1"))
+        # Parts of one place hold equal windows alone: two segments, whatever their number.
+        most = crowd if width - run + 1 > 1 << level else max(crowd, 2)
+        calm = classes.join(load.where(F.col("c") <= most).select("anchor"), "anchor")
+        # The least of a class asks; a copy of its own stands beside it where the class has more than one.
+        asks = F.array(F.struct(F.lit(True).alias("query"), F.col("low").alias("p")), F.struct(F.lit(False).alias("query"), F.col("high").alias("p")))
+        wanted = calm.select(*of, F.explode(F.slice(asks, F.lit(1), twice.cast("int"))).alias("x")).select(*of, "x.query", "x.p.*")
+        words = classes.agg(F.sum((F.col("low.last") - F.col("low.first") + width) * twice)).first()[0] or 0
+        shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // shard_words))
+        hits = found.join(_search(_texts(rows, wanted, width), width, shards), of).select("d1", "d2", "first", "more", "found")
+        out = hits if out is None else out.unionByName(hits)
+        busy = load.where(F.col("c") > most).select("anchor")
+        if busy.isEmpty():
+            return rows, out
+        level += 1
+        found = cut(_split(rows, found.join(busy, "anchor"), width, run, level))
 
 
 def without_repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words: int = 1_500_000, crowd: int = 5000, text: str = "text", key: str = "doc_id", keep_text: bool = False) -> DataFrame:
@@ -235,11 +281,11 @@ def without_repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words:
 
     A window is ``width`` consecutive words of one document; it repeats if its words start anywhere else, in the same
     document or another.  Null and empty texts have no words; texts of fewer words than ``width`` lose none; repeated
-    rows repeat each other.  Windows are judged on the input.  Words, runs and segments are told apart by 64-bit
-    hashes within an anchor's 64 bits.  Other columns are not read.
+    rows repeat each other; an empty table gives no rows.  Windows are judged on the input.  Words are compared as
+    such, in the index; copies of a segment are told by 128-bit BLAKE2b digests.  Other columns are not read.
     """
     rows, found = repeats(docs, width, run, shard_words, crowd, text, key)
-    listed = found.groupBy("d1", "d2").agg(F.collect_list(F.struct("a", "b", "more")).alias("gone"))
+    listed = found.groupBy("d1", "d2").agg(F.collect_list(F.struct("first", "more", "found")).alias("gone"))
     both = rows.join(listed.hint("shuffle_hash"), ["d1", "d2"], "left").select("key", "text", "gone")
     kind = docs.schema[key].dataType.simpleString()
     kinds = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())][: 4 if keep_text else 3])
@@ -253,13 +299,11 @@ def without_repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words:
                     whole = len(words)
                     if gone:
                         marks = np.zeros(whole + 1, np.int64)
-                        np.add.at(marks, [g["a"] for g in gone], 1)
-                        np.add.at(marks, [g["b"] for g in gone], -1)
                         for g in gone:
-                            if g["more"]:
-                                begin = np.frombuffer(g["more"], "<i4")
-                                np.add.at(marks, begin, 1)
-                                np.add.at(marks, begin + (g["b"] - g["a"]), -1)
+                            begin = np.append(np.frombuffer(g["more"] or b"", "<i4"), g["first"]).astype(np.int64)
+                            for s in g["found"]:
+                                np.add.at(marks, begin + s["a"], 1)
+                                np.add.at(marks, begin + s["b"], -1)
                         left = np.flatnonzero(np.cumsum(marks[:-1]) == 0)
                         words = [words[i] for i in left.tolist()]
                         n = whole - len(words)
