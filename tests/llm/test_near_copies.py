@@ -43,12 +43,24 @@ def kept(df):
     return sorted((r.doc_id is None, r.doc_id or 0) for r in df.select("doc_id").collect())
 
 
-@pytest.mark.parametrize(("most", "crowd"), [(4096, 128), (1, 128), (1, 2)])
-def test_matches_brute_force(docs, corpus, most, crowd):
-    got = near_copies.one_of_each(docs, most=most, crowd=crowd)
+@pytest.mark.parametrize("together", [256, 1])
+def test_matches_brute_force(docs, corpus, monkeypatch, together):
+    monkeypatch.setattr(near_copies, "TOGETHER", together)
+    got = near_copies.one_of_each(docs)
     assert got.columns == docs.columns and kept(got) == plain_kept([r[:2] for r in corpus])
 
 
+def test_sets_that_meet_without_their_least(spark):
+    """Texts of common runs in many mixes: most that meet are not alike, and chains connect some."""
+    r = random.Random(11)
+    parts = [" ".join(r.choice("abcdefgh") + str(r.randrange(40)) for _ in range(12)) for _ in range(14)]
+    rows = []
+    for i in range(120):
+        pick = r.sample(parts, 9)
+        rows += [(3 * i, " ".join(pick)), (3 * i + 1, " ".join(pick[:-1] + r.sample(parts, 1)))]
+    assert kept(near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))) == plain_kept(rows)
+
+
 def edited(n_texts=30, seed=3):
     """Pairs (2i, 2i + 1) of a text and its copy with some words changed, of similarities from about 0.6 to 1."""
     r = random.Random(seed)

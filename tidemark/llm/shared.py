@@ -17,10 +17,13 @@ FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where none is named."""
+    """The folder that the cluster names for checkpoints; one of our own only where none is named and Spark runs
+    in this process."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not (context.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
@@ -53,6 +56,23 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
     return calm.unionByName(busy)
 
 
+#: What a broadcast table may have: rows, of a few numbers each.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow table as the small side of a join: broadcast if it has no more than ``most`` rows, shuffled otherwise."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("shuffle_hash")
+
+
+def unused(df: DataFrame, *names: str) -> str:
+    """A column name that none of the table's is, whatever its letters' case."""
+    have, name = {c.lower() for c in df.columns}, "_tm_" + "_".join(names)
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def fold(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)
