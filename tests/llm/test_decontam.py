@@ -45,7 +45,7 @@ def test_matches_brute_force(spark, clash, limit):
     rows = list(enumerate(TEXTS)) + [(0, TEXTS[0]), (0, "other text, same id: solo"), (None, "short one")]
     docs = clash(spark.createDataFrame(rows, "doc_id long, text string"))
     bench = clash(spark.createDataFrame(ITEMS, "item_id long, text string"))
-    got = decontam.contamination(docs, bench, broadcast_tokens=limit).collect()
+    got = decontam.contamination(docs, bench, broadcast_rows=limit).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r.items), r.contaminated) for r in got), key=str) == plain(rows, ITEMS)
     assert all(r.n_items == len(r["items"]) for r in got)
 

@@ -1,8 +1,10 @@
 """Benchmark decontamination by a prefix-filtered join (operator 3).
 
 A window of an item's words occurs in a document only where all of its shingles do.  So it is enough to look for the
-rarest of them: shingles are ordered by how often they occur in all documents, each window is indexed by its rarest,
-its place in the window gives the place in the document, and the words there are compared with the window's.
+rarest of them: shingles are ordered by how often they occur in all documents, which one pass counts; each window is
+indexed by its rarest, and a second pass joins the documents with these alone.  A shingle's place in the window gives
+the place in the document, and the words there are compared with the window's.  Only documents that have a candidate
+move; with few hits the others are read, counted and left where they are.
 """
 
 from __future__ import annotations
@@ -13,11 +15,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut, fold
+from tidemark.llm.shared import BROADCAST_ROWS, bounded, cut, fold
 
 #: What stands between words, once A-Z are lower-case: all ASCII but digits and a-z.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words where A-Z are not lower-case yet.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -36,8 +39,9 @@ def shingles(at: Column, k: int) -> Column:
     return F.when(F.size(at) >= k, whole).otherwise(F.array().cast("array<bigint>"))
 
 
-def item_windows(benchmark: DataFrame, size: int, k: int, text: str, item: str) -> DataFrame:
-    """Distinct windows: (window, n, k, items, tokens), with tokens the (offset, hash) of the window's shingles.
+def item_windows(benchmark: DataFrame, size: int, k: int, text: str, item: str) -> tuple[DataFrame, DataFrame]:
+    """(windows, owners): distinct windows as (wid, window, n, k, tokens), with tokens the hashes of the window's shingles
+    in order, and (wid, window, item), one row for each item that has the window.
 
     A window is ``size`` consecutive words, or all words of an item that has fewer; one of fewer words than ``k`` is
     its own only shingle.
@@ -45,12 +49,14 @@ def item_windows(benchmark: DataFrame, size: int, k: int, text: str, item: str)
     split = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(size))
     starts = split.select("item", "w", n.alias("n"), F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("s"))
-    cutout = starts.select("item", "n", F.slice("w", F.col("s") + 1, F.col("n")).alias("w"))
-    distinct = cutout.groupBy(F.array_join("w", " ").alias("window"), "n").agg(F.first("w").alias("w"), F.collect_set("item").alias("items"))
+    cutout = starts.select("item", "n", F.slice("w", F.col("s") + 1, F.col("n")).alias("w")).withColumn("window", F.array_join("w", " "))
+    owners = cutout.select(F.xxhash64("window").alias("wid"), "window", "n", "w", "item").dropDuplicates(["wid", "window", "item"])
+    owners = cut(owners)
     tokens = F.lit(None).cast("array<bigint>")
     for short in range(1, k + 1):
         tokens = F.when(F.col("k") == short, shingles(F.col("w"), short)).otherwise(tokens)
-    return distinct.withColumn("k", F.least("n", F.lit(k))).withColumn("tokens", tokens).drop("w")
+    distinct = owners.dropDuplicates(["wid", "window"]).withColumn("k", F.least("n", F.lit(k)))
+    return cut(distinct.select("wid", "window", "n", "k", tokens.alias("tokens"))), owners.select("wid", "window", "item")
 
 
 def contamination(
@@ -58,7 +64,7 @@ def contamination(
     benchmark: DataFrame,
     size: int = 10,
     shingle: int = 3,
-    broadcast_tokens: int = 1_000_000,
+    broadcast_rows: int = BROADCAST_ROWS,
     text: str = "text",
     key: str = "doc_id",
     item: str = "item_id",
@@ -68,56 +74,50 @@ def contamination(
 
     A word is hit if it lies inside an occurrence of a window; ``items`` are the ids, as strings, of the items whose
     windows occur, sorted.  Null and empty texts have no words and no hits; items without words match nothing; a null
-    item id reads "null"; items of equal id count as one; repeated documents are each judged.  An empty benchmark
-    leaves every document clean.  Documents are matched under a hash of key and text and verified word by word, so
-    equal hashes cannot add hits.  Other columns are not read.
+    item id reads "null"; items of equal id count as one; repeated documents are each judged; an empty table of documents gives no
+    rows.  An empty benchmark leaves every document clean.  Documents are told apart by 128 bits of hashes of key and text, and
+    candidates are verified word by word.  Other columns are not read.
 
-    The benchmark's shingles are broadcast up to ``broadcast_tokens`` of them and shuffled beyond.
+    Tables of numbers with up to ``broadcast_rows`` rows are broadcast, and shuffled beyond.
     """
-    windows = cut(item_windows(benchmark, size, shingle, text, item))
+    windows, owners = item_windows(benchmark, size, shingle, text, item)
     tokens = windows.select("k", F.explode("tokens").alias("token")).distinct()
     lengths = sorted(r.k for r in windows.select("k").distinct().collect())
-    near = F.broadcast if tokens.count() <= broadcast_tokens else (lambda x: x)
     names = {c: f"_keep_{i}" for i, c in enumerate(keep) if c not in (key, text)}
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(n) for c, n in names.items()])
-    rows = rows.withColumn("row", F.xxhash64("key", "text"))
+    rows = rows.withColumn("r1", F.xxhash64("key", "text")).withColumn("r2", F.xxhash64("text", F.lit(7), "key"))
     own = [*names.values(), *["text"] * (text in keep)]
-
-    split = rows.select("row", words(F.col("text")).alias("w"))
-    seen = [
-        split.select("row", F.posexplode(shingles(F.col("w"), k)).alias("at", "token")).join(near(tokens.where(F.col("k") == k).select("token")), "token").select("row", "at", "token")
-        for k in lengths
-    ]
-    if seen:
-        matches = cut(reduce(DataFrame.unionByName, seen))
-        often = matches.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
-        placed = windows.select("window", "n", "items", F.posexplode("tokens").alias("offset", "token"))
-        # Exact containment needs every shingle, so a prefix of one is enough: the rarest, which all occurrences have.
-        rarest = placed.join(often, "token", "left").groupBy("window", "n").agg(
-            F.first("items").alias("items"),
-            F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "token", "offset")).alias("rare"),
-        )
-        prefix = cut(rarest.where("rare.often > 0").select("window", "n", "items", "rare.token", "rare.offset"))
-        near = F.broadcast if prefix.count() <= broadcast_tokens else (lambda x: x)
-        start = F.col("at") - F.col("offset")
-        found = matches.join(near(prefix), "token").where(start >= 0).select("row", F.struct(start.alias("start"), "n", "window", "items").alias("c"))
-        by_row = found.groupBy("row").agg(F.collect_set("c").alias("cs")).hint("shuffle_hash")
-        rows = rows.join(by_row, "row", "left")
+    row = ["r1", "r2"]
+    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")
+
+    if lengths:
+        split = rows.select(*row, words(F.col("text")).alias("w"))
+        counted = [split.select(F.explode(shingles(F.col("w"), k)).alias("token")).join(bounded(tokens.where(F.col("k") == k).select("token"), broadcast_rows), "token") for k in lengths]
+        often = cut(reduce(DataFrame.unionByName, counted).groupBy("token").agg(F.count(F.lit(1)).alias("often")))
+        # Exact containment needs every shingle, so a prefix of one is enough: the rarest.  If one occurs nowhere, the window does not.
+        placed = windows.select("wid", "window", "n", "k", F.posexplode("tokens").alias("offset", "token")).join(often, "token", "left")
+        rarest = placed.groupBy("wid", "window", "n", "k").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "token", "offset")).alias("rare"))
+        prefix = cut(rarest.where("rare.often > 0").select("wid", "n", "k", "rare.token", "rare.offset"))
+        at = [
+            split.select(*row, F.posexplode(shingles(F.col("w"), k)).alias("at", "token")).join(bounded(prefix.where(F.col("k") == k).drop("k"), broadcast_rows), "token")
+            for k in lengths
+        ]
+        start = (F.col("at") - F.col("offset")).alias("start")
+        found = cut(reduce(DataFrame.unionByName, at).select(*row, start, "n", "wid").where("start >= 0"))
+        by_row = found.groupBy(*row).agg(F.collect_set(F.struct("start", "n", "wid")).alias("cs"))
+        texts = rows.select(*row, "text").join(bounded(found.select(*row).distinct(), broadcast_rows), row).dropDuplicates(row)
+        pieces = texts.join(by_row, row).select(*row, words(F.col("text")).alias("w"), "cs")
+        inside = F.filter("cs", lambda c: c["start"] + c["n"] <= F.size("w"))
+        read = F.transform(inside, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["wid"].alias("wid"), F.array_join(F.slice("w", c["start"] + 1, c["n"]), " ").alias("window")))
+        sound = cut(pieces.select(*row, F.explode(read).alias("c")).select(*row, "c.*").join(owners, ["wid", "window"]).select(*row, "start", "n", "item"))
+        hit = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "n")), lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))))
+        hits = cut(sound.groupBy(*row).agg(hit.cast("long").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items")))
+        load = hits.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.array_join("items", ",")))).first()
+        side = F.broadcast(hits) if load[0] <= broadcast_rows and (load[1] or 0) <= 64 * broadcast_rows else hits.hint("shuffle_hash")
+        rows = rows.select("key", *own, *row, n_words).join(side, row, "left")
     else:
-        rows = rows.withColumn("cs", F.lit(None).cast("array<struct<start:int,n:int,window:string,items:array<string>>>"))
-
-    rows = rows.select(
-        "key",
-        *own,
-        F.coalesce(F.regexp_count(fold(F.col("text")), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
-        F.when(F.col("cs").isNotNull(), words(F.col("text"))).alias("w"),
-        "cs",
-    )
-    sound = F.filter("cs", lambda c: (c["start"] + c["n"] <= F.size("w")) & (F.array_join(F.slice("w", c["start"] + 1, c["n"]), " ") == c["window"]))
-    rows = rows.select("key", *own, "n_words", sound.alias("cs"))
-    hit = F.size(F.array_distinct(F.flatten(F.transform("cs", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))))
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("cs", lambda c: c["items"]))))
-    none = F.array().cast("array<string>")
-    out = rows.select("key", *own, "n_words", F.when(F.size("cs") > 0, hit).otherwise(0).cast("long").alias("n_hit"), F.coalesce(items, none).alias("items"))
+        rows = rows.select("key", *own, n_words, F.lit(None).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("items"))
+
     more = [*[F.col(n).alias(c) for c, n in names.items()], *[F.col("text").alias(text)] * (text in keep)]
-    return out.select(F.col("key").alias(key), *more, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    items, n_hit = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0).cast("long"))
+    return rows.select(F.col("key").alias(key), *more, "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))

@@ -73,6 +73,11 @@ def unused(df: DataFrame, *names: str) -> str:
     return name
 
 
+def packed(docs: DataFrame, *plain: str) -> DataFrame:
+    """``doc``, a struct of all columns, and those named, so that no other name can clash with what an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[F.col(f"`{c}`") for c in plain])
+
+
 def fold(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)
