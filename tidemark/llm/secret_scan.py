@@ -13,7 +13,11 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import unused
+
 SPANS = "array<struct<start:int,end:int,kind:int>>"
+#: Windows of a candidate that go by one state.
+BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -61,17 +65,44 @@ ALLOWED = (
 )
 
 
+def _bound(x: Column, f) -> Column:
+    """``f`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def _running(x: Column, f) -> Column:
+    """``f`` (a sum, a greatest) over each element and all before it: every step doubles how far back it reaches."""
+    reach = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(x), F.lit(1)))).cast("int")), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    return F.aggregate(reach, x, lambda acc, d: F.transform(acc, lambda v, i: F.coalesce(f(v, F.get(acc, i - d)), v)))
+
+
+def _islands(begin: Column, end: Column) -> Column:
+    """(a, b) of the stretches that spans cover which come in order of ``begin``; spans that touch are one stretch."""
+    kind = "array<struct<a:int,b:int>>"
+    both = F.struct(begin.cast("array<int>").alias("begin"), _running(end.cast("array<int>"), F.greatest).alias("far"))
+
+    def of(s: Column) -> Column:
+        fresh = F.transform(s["begin"], lambda x, i: (i == 0) | (x > F.get(s["far"], i - 1)))
+        return _bound(
+            F.struct(s["begin"].alias("begin"), s["far"].alias("far"), fresh.alias("fresh")),
+            lambda t: F.zip_with(
+                F.filter(t["begin"], lambda x, i: F.get(t["fresh"], i)),
+                F.filter(t["far"], lambda x, i: F.coalesce(F.get(t["fresh"], i + 1), F.lit(True))),
+                lambda a, b: F.struct(a.alias("a"), b.alias("b")),
+            ),
+        )
+
+    return F.coalesce(_bound(both, of), F.array().cast(kind)).cast(kind)
+
+
 def _placed(matches: Column, pieces: Column) -> Column:
     """(start, text) of each match: what stands before it is the pieces and matches before it."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<struct<start:int,text:string>>").alias("out"))
-    both = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("p"), matches.alias("m"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["p"])
-        item = F.array(F.struct(begin.alias("start"), x["m"].alias("text")))
-        return F.struct((begin + F.length(x["m"])).alias("at"), F.when(acc["out"].isNull(), item).otherwise(F.concat(acc["out"], item)).alias("out"))
+    def of(s: Column) -> Column:
+        sizes = F.zip_with(F.slice(s["p"], 1, F.size(s["m"])), s["m"], lambda p, m: F.length(p) + F.length(m))
+        return F.zip_with(_running(sizes, lambda x, y: x + y), s["m"], lambda e, m: F.struct((e - F.length(m)).alias("start"), m.alias("text")))
 
-    return F.coalesce(F.aggregate(both, start, step)["out"], F.array().cast("array<struct<start:int,text:string>>"))
+    return _bound(F.struct(matches.alias("m"), pieces.alias("p")), of)
 
 
 def pattern_spans(text: Column, p: Pattern, kind: int) -> Column:
@@ -103,7 +134,7 @@ def window_runs(text: Column, c: EntropyClass) -> Column:
     """(a, b) of the stretches of a candidate that windows of enough entropy cover.
 
     The state is the window's counts, the sum of ``n log2 n`` over them, and the stretches so far; a window's entropy
-    is ``log2(width) - sum / width``.
+    is ``log2(width) - sum / width``.  A long candidate goes by blocks of windows, so that the state stays small.
     """
     letters = _letters(c.alphabet)
     chars = F.transform(F.split(text, ""), lambda x: F.instr(F.lit(letters), x))
@@ -132,8 +163,15 @@ def window_runs(text: Column, c: EntropyClass) -> Column:
     def moves(cs: Column) -> Column:
         return F.transform(cs, lambda v, k: F.struct(v.alias("come"), F.coalesce(F.get(cs, k - w), F.lit(0)).alias("gone"), (k + 1).alias("i")))
 
-    # The characters' numbers are bound once, as the element of a one-element array.
-    return F.flatten(F.transform(F.array(chars), lambda cs: F.aggregate(moves(cs), state, step)["runs"]))
+    def of_blocks(cs: Column) -> Column:
+        def block(k: Column) -> Column:
+            runs = F.aggregate(_bound(F.slice(cs, k * BLOCK + 1, F.lit(BLOCK + w - 1)), moves), state, step)["runs"]
+            return F.transform(runs, lambda r: F.struct((r["a"] + k * BLOCK).alias("a"), (r["b"] + k * BLOCK).alias("b")))
+
+        last = F.floor(F.greatest(F.size(cs) - w, F.lit(0)) / BLOCK).cast("int")
+        return _bound(F.flatten(F.transform(F.sequence(F.lit(0), last), block)), lambda r: _islands(F.transform(r, lambda x: x["a"]), F.transform(r, lambda x: x["b"])))
+
+    return _bound(chars, of_blocks)
 
 
 def entropy_spans(text: Column, c: EntropyClass, kind: int, allowed: Sequence[str], exact: Sequence[str] = ()) -> Column:
@@ -161,7 +199,9 @@ def scan(
     """All rows and columns, with ``base`` (the patterns' spans) and ``spans`` (these and the entropy spans).
 
     Spans are (start, end, kind), in order of start and then kind; ``kind`` counts the patterns and then the entropy
-    classes.  The allow-list holds for entropy spans alone.  Spans may overlap.  Null text has no spans; no rows move.
+    classes.  The allow-list holds for entropy spans alone.  Spans may overlap.  Null and empty texts have no spans;
+    repeated rows are each scanned; an empty table gives no rows; no rows move.  Columns called base or spans are
+    replaced, all others kept.  The work grows with a text's length and number of matches, by a logarithm more.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = F.concat(*[pattern_spans(t, p, k) for k, p in enumerate(patterns)])
@@ -188,17 +228,11 @@ def count_kind(spans: str, kind: int) -> Column:
 
 def redact(scanned: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """The same rows with ``mark`` in place of every span; spans that touch become one mark."""
-    merged_kind = "array<struct<a:int,b:int>>"
-
-    def merge(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        joins = F.coalesce(last["b"] >= x["start"], F.lit(False))
-        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["end"]).alias("b"))))
-        return F.when(joins, longer).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("a"), x["end"].alias("b"))))).cast(merged_kind)
-
-    runs = F.aggregate("spans", F.array().cast(merged_kind), merge)
-    at = scanned.withColumn("_runs", F.when(F.size("spans") > 0, runs))
-    begins = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["b"]))
-    ends = F.concat(F.transform("_runs", lambda r: r["a"]), F.array(F.length(text)))
-    kept = F.array_join(F.zip_with(begins, ends, lambda a, b: F.substring(F.col(text), a + 1, b - a)), mark)
-    return at.withColumn(text, F.when(F.col("_runs").isNull(), F.col(text)).otherwise(kept)).drop("_runs")
+    name = unused(scanned, "runs")
+    runs = _islands(F.transform("spans", lambda x: x["start"]), F.transform("spans", lambda x: x["end"]))
+    at = scanned.withColumn(name, F.when(F.size("spans") > 0, runs))
+    begins = F.concat(F.array(F.lit(0)), F.transform(name, lambda r: r["b"]))
+    # The characters are split once, so that a piece costs what it holds.
+    chars = F.split(F.col(text), "")
+    pieces = _bound(chars, lambda cs: F.zip_with(begins, F.concat(F.transform(name, lambda r: r["a"]), F.array(F.size(cs))), lambda a, b: F.array_join(F.slice(cs, a + 1, b - a), "")))
+    return at.withColumn(text, F.when(F.col(name).isNull(), F.col(text)).otherwise(F.array_join(pieces, mark))).drop(name)
