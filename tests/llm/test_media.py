@@ -33,6 +33,28 @@ def test_ranges_and_rolls_change_nothing(spark, docs, tmp_path):
     assert {(r.member, bytes(r.media)[0]) for r in spark.read.format("media_zip").load(f"file://{tmp_path}/r").collect()} == {(f"{i}.png", i) for i in range(50)}
 
 
+def test_appends_add_and_an_overwrite_replaces(spark, tmp_path):
+    def write(names, mode):
+        rows = spark.createDataFrame([(n, 0, n.encode()) for n in names], "member string, offset long, media binary")
+        rows.coalesce(2).write.format("media_zip").mode(mode).save(f"file://{tmp_path}/a")
+
+    read = lambda: sorted(r.member for r in spark.read.format("media_zip").load(f"file://{tmp_path}/a").collect())
+    spark.dataSource.register(media.MediaZip)
+    write(["a", "b"], "append")
+    write(["c"], "append")
+    assert read() == ["a", "b", "c"]
+    write(["d", "e"], "overwrite")
+    assert read() == ["d", "e"]
+    write(["f"], "append")
+    assert read() == ["d", "e", "f"]
+
+
+def test_keys_of_any_text(spark, tmp_path):
+    keys = ["x.png.1", "x.png.2", "null", "a/b", "n", "k", "", "ü +%20", None]
+    got = media.media_columns(spark.createDataFrame([(k, f"text of {k}") for k in keys], "doc_id string, text string"), f"file://{tmp_path}/k").collect()
+    assert {(r.doc_id, r.n_bytes) for r in got} == {(k, len(f"text of {k}".encode())) for k in keys}
+
+
 def test_strays_are_not_read(spark, docs, tmp_path):
     media.store(docs, f"file://{tmp_path}/m")
     name = next((tmp_path / "m").glob("*.zip"))

@@ -17,11 +17,12 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -30,7 +31,8 @@ from tidemark.llm.shared import new_folder, open_fs
 
 SIDE = 192
 PNG = b"\x89PNG\r\n\x1a\n"
-MANIFEST = "_manifest.json"
+#: One manifest a commit, under a name of its own: its archives, and the manifests that it replaces.
+MANIFEST = "_manifest-"
 ARROW = pa.schema([("member", pa.string()), ("offset", pa.int64()), ("media", pa.binary())])
 
 
@@ -66,17 +68,30 @@ def read_member(fs, path: str, offset: int, packed: int, crc: int, tries: int =
     raise AssertionError
 
 
+def manifests(fs, root: str) -> dict[str, list]:
+    """The archives (name, bytes) of every manifest that none replaces."""
+    from pyarrow.fs import FileSelector
+
+    found = {}
+    for x in fs.get_file_info(FileSelector(root, allow_not_found=True)):
+        if x.base_name.startswith(MANIFEST):
+            with fs.open_input_stream(x.path) as f:
+                found[x.base_name] = json.loads(f.read())
+    gone = {name for x in found.values() for name in x["replaces"]}
+    return {name: x["files"] for name, x in sorted(found.items()) if name not in gone}
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, folder: str, range_bytes: int, batch_bytes: int):
         self.folder, self.range_bytes, self.batch_bytes = folder, range_bytes, batch_bytes
 
     def partitions(self) -> list[Range]:
         fs, root = open_fs(self.folder)
-        from pyarrow.fs import FileSelector, FileType
+        from pyarrow.fs import FileSelector
 
-        if fs.get_file_info(f"{root}/{MANIFEST}").type == FileType.File:
-            with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-                files = json.loads(f.read())
+        found = manifests(fs, root)
+        if found:
+            files = [x for some in found.values() for x in some]
         else:
             files = [(x.base_name, x.size) for x in fs.get_file_info(FileSelector(root, allow_not_found=True)) if x.base_name.endswith(".zip")]
         cuts = [Range(f"{root}/{n}", at, min(size, at + self.range_bytes)) for n, size in files for at in range(0, size, self.range_bytes)]
@@ -101,10 +116,14 @@ class ArchiveReader(DataSourceReader):
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """Each task writes archives of about ``roll`` bytes; the driver's manifest names those of tasks that ended well."""
+    """Each task writes archives of about ``roll`` bytes; the driver's manifest names those of tasks that ended well.
+
+    Appends add a manifest; an overwrite's manifest also names those that it replaces, so readers see the old archives
+    or the new ones and never both.
+    """
 
-    def __init__(self, folder: str, roll: int):
-        self.folder, self.roll = folder, roll
+    def __init__(self, folder: str, roll: int, overwrite: bool):
+        self.folder, self.roll, self.overwrite = folder, roll, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = open_fs(self.folder)
@@ -136,8 +155,9 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         fs, root = open_fs(self.folder)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
-            f.write(json.dumps([x for m in messages if m for x in m.files]).encode())
+        old = sorted(manifests(fs, root)) if self.overwrite else []
+        with fs.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json") as f:
+            f.write(json.dumps({"files": [x for m in messages if m for x in m.files], "replaces": old}).encode())
 
     def abort(self, messages) -> None:
         """Nothing to undo: files that no manifest names are not read."""
@@ -160,7 +180,7 @@ class MediaZip(DataSource):
         return ArchiveReader(self.options["path"], self._option("range_bytes", 8 << 20), self._option("batch_bytes", 4 << 20))
 
     def writer(self, schema: StructType, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options["path"], self._option("roll", 32 << 20))
+        return ArchiveWriter(self.options["path"], self._option("roll", 32 << 20), overwrite)
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -205,6 +225,16 @@ def feature(samples: np.ndarray) -> str:
     return f"rows={samples.shape[0]};mean={int(bins @ values) / n:.4f};rms={(int(bins @ (values * values)) / n) ** 0.5:.4f};quarters={quarters}"
 
 
+def member_name(key: str | None) -> str:
+    """A key as a member's name: percent-encoded behind a "k", so that no key looks like another; null is "n"."""
+    return "n.png" if key is None else f"k{quote(key, safe='')}.png"
+
+
+def member_key(member: str) -> Column:
+    """The key of a member of that name."""
+    return F.when(F.col(member).startswith("k"), F.url_decode(F.expr(f"substring({member}, 2, length({member}) - 5)")))
+
+
 def store(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id") -> None:
     """Write every text as a member of archives in ``folder``."""
     docs.sparkSession.dataSource.register(MediaZip)
@@ -214,7 +244,7 @@ def store(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id")
             for at in range(0, len(batch), 64):
                 part = batch.slice(at, 64)
                 media = [to_png((x or "").encode()) for x in part.column(1).to_pylist()]
-                names = [f"{'null' if k is None else k}.png" for k in part.column(0).to_pylist()]
+                names = [member_name(k) for k in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(media, pa.binary())], ["member", "media"])
 
     slim = docs.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"))
@@ -245,13 +275,12 @@ def media_columns(docs: DataFrame, folder: str | None = None, text: str = "text"
     """Store every text as an image, read the archives back, and compute features of the bytes read.
 
     Null and empty texts are one row of 192 spaces with ``n_bytes`` 0.  Rows with equal keys are members of their own;
-    a null key is read back as null.  An empty table gives an archive folder with an empty manifest, and no rows.  A
+    a null key is read back as null, and any text as itself (up to the 65,535 bytes that a member's name may have).  An empty table gives an archive folder with an empty manifest, and no rows.  A
     text is one member however long it is; other columns are not read.  The key's type is kept.
     """
     folder = folder or new_folder(docs.sparkSession, "media")
     store(docs, folder, text, key)
     media = docs.sparkSession.read.format("media_zip").load(folder)
-    name = F.substring_index("member", ".png", 1)
-    found = F.when(name != "null", name).cast(docs.schema[key].dataType).alias(key)
+    found = member_key("member").cast(docs.schema[key].dataType).alias(key)
     out = features(media)
     return out.select(found, *[c for c in out.columns if c != "member"])

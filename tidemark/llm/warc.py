@@ -10,7 +10,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,10 +30,12 @@ RECORD = "page_id string, url string, payload_bytes long, payload_digest string,
 
 
 def train(pages: DataFrame, html: str, sample: int = 256, size: int = 16_384) -> bytes:
-    """A dictionary from at most ``sample`` pages, of which up to 16 KB each are looked at; empty if they are too few."""
+    """A dictionary from at most ``sample`` pages, those of the least hashes, of which up to 16 KB each are looked at; empty
+    if they are too few.  It only serves compression."""
     import zstandard
 
-    rows = [r[0].encode() for r in pages.select(F.substring(html, 1, 16_384)).where(F.col(html).isNotNull()).limit(sample).collect()] if pages.columns else []
+    seen = pages.where(F.col(html).isNotNull()).select(F.xxhash64(html).alias("h"), F.substring(html, 1, 16_384).alias("x"))
+    rows = [r.x.encode() for r in seen.orderBy("h", "x").limit(sample).collect()]
     try:
         return zstandard.train_dictionary(size, rows).as_bytes() if len(rows) > 16 else b""
     except zstandard.ZstdError:
@@ -106,7 +108,7 @@ def write_archives(rows: DataFrame, folder: str, dictionary: bytes, roll: int =
         for batch in batches:
             ids, urls, html, digests, refers = (batch.column(i) for i in range(5))
             for i in range(len(ids)):
-                x = pack.compress(record(ids[i].as_py() or "null", urls[i].as_py() or "", html[i].as_py().encode(), digests[i].as_py(), refers[i].as_py()))
+                x = pack.compress(record("null" if ids[i].as_py() is None else "id:" + quote(ids[i].as_py(), safe=""), urls[i].as_py() or "", html[i].as_py().encode(), digests[i].as_py(), None if refers[i].as_py() is None else "id:" + quote(refers[i].as_py(), safe="")))
                 out.append(x)
                 size, n = size + len(x), n + 1
                 if size >= roll:
@@ -175,7 +177,11 @@ def parse(raw: bytes) -> dict:
         raise ValueError("a payload that its digest or length does not fit")
     if kind == "revisit" and payload:
         raise ValueError("a revisit with a payload")
-    name = lambda k: fields[k].removeprefix("<urn:page:").removesuffix(">") if k in fields else None
+
+    def name(k: str) -> str | None:
+        own = fields.get(k, "").removeprefix("<urn:page:").removesuffix(">")
+        return unquote(own[3:]) if own.startswith("id:") else None
+
     return {"page_id": name("warc-record-id"), "url": fields["warc-target-uri"], "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": name("warc-refers-to"), "payload": payload}
 
 
@@ -216,7 +222,7 @@ def archive(pages: DataFrame, folder: str | None = None, least: int = 1000, payl
     """Write the pages as WARC archives and read the records back.
 
     Null html is an empty payload, a null url an empty one (its control characters are percent-encoded), a null
-    page_id is kept as the name "null" and read back as null; repeated rows are repeated records; an empty table
+    page_id is read back as null, and any text as itself; repeated rows are repeated records; an empty table
     writes no archive.  Other columns are not read.
     """
     folder = folder or new_folder(pages.sparkSession, "warc")
