@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import FOLD, cut, join_hot
+from tidemark.llm.shared import FOLD, cut, join_hot, unused
 
 SEED = 42
 
@@ -153,10 +153,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, crowd: i
 def one_of_each(docs: DataFrame, width: int = 4, distance: int = 4, crowd: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows and columns of ``docs``, with one row of every component: that of the smallest key (nulls last), then of
     the smallest hash of its text; of rows alike in all columns but one stays."""
-    row = F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.xxhash64(key, text).alias("h"))
-    found = cut(near_duplicates(docs.withColumn("_row", row), width, distance, crowd, text, "_row").where("_row = component_id").select("_row"))
-    stay = found.select(F.col("_row.h").alias("_h")).distinct()
-    out = docs.withColumn("_h", F.xxhash64(key, text)).join(stay.hint("shuffle_hash"), "_h", "left_semi").drop("_h")
+    row, h = unused(docs, "row"), unused(docs, "h")
+    place = F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.xxhash64(key, text).alias("h"))
+    found = near_duplicates(docs.withColumn(row, place), width, distance, crowd, text, row)
+    found = cut(found.where(F.col(row) == F.col("component_id")).select(row))
+    stay = found.select(F.col(f"{row}.h").alias(h)).distinct()
+    out = docs.withColumn(h, F.xxhash64(key, text)).join(stay.hint("shuffle_hash"), h, "left_semi").drop(h)
     return out if found.count() == stay.count() else out.dropDuplicates([key, text])
 
 
