@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, mixing, near_copies, quality, secret_scan
-from tidemark.llm.shared import new_folder
+from tidemark.llm.shared import new_folder, packed
+
+# Operators see a document as one struct beside the columns that they read, so columns of any name pass unchanged.
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranking, learned from the labelled ones among them, accepts."""
     ranking = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, ranking, docs.columns).where("predicted = 1").select(*docs.columns)
+    return quality.score(packed(docs, "text"), ranking, ["doc"]).where("predicted = 1").select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,25 +24,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    found = decontam.contamination(packed(docs, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc"])
+    return found.where(~F.col("contaminated")).select("doc.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of every secret; ``n_chars`` follows the text."""
-    clean = secret_scan.redact(secret_scan.scan(docs))
-    return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """All documents, with a mark in place of every secret; ``n_chars``, where there is such a column, follows the text."""
+    clean = secret_scan.redact(secret_scan.scan(packed(docs, "text")))
+    text = F.col("text")
+    new = {"text": text, "n_chars": F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
+    return clean.select(*[(new[c] if c in new else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with how often and how many words that makes."""
-    mixed = mixing.mix(docs, keep=docs.columns)
-    return mixed.where("copies > 0").select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+    """Documents that the mix takes, with how often and how many words that makes: ``size, source_size, target, copies,
+    taken``, with ``mix_`` before a name that the documents have themselves."""
+    mixed = mixing.mix(packed(docs, "doc_id", "source", "text"), keep=["doc"])
+    have = {c.lower() for c in docs.columns}
+    added = [F.col(c).alias(f"mix_{c}" if c in have else c) for c in ("size", "source_size", "target", "copies", "taken")]
+    return mixed.where("copies > 0").select("doc.*", *added)
 
 
 STAGES = [("quality", good_quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mask_secrets", mask_secrets), ("mix", mix_sources)]
 
-#: The ranking and the near copies are beyond SQL; the tests hold the stages near_dedup and decontaminate against brute-force versions.
+#: The ranking and the near copies are beyond SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
