@@ -28,7 +28,7 @@ CLASSES, BLOCK = 1 << 20, 1 << 14
 #: What a product with the similarity may be off by.
 EPS = 1e-9
 #: Sets of 0.8 differ in 19.4 of 128 bits, give or take 4.1; others in 64, give or take 5.7.  Small sets are not asked.
-BITS, SMALL = 44, 32
+BITS, SMALL = 44, 8
 #: A task compares one set with no more than about so many others, and with so many shingles.
 TOGETHER, SHINGLES = 256, 1 << 21
 
@@ -143,6 +143,27 @@ def _near(l: str, r: str, similarity: float) -> Column:
     return (F.least(n, m) >= similarity * F.greatest(n, m) - EPS) & ((bits <= BITS) | (F.least(n, m) < SMALL))
 
 
+def _pairs(rest: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): sets that meet at a shingle, lie in different groups, and may be similar.
+
+    If the first shingle that two sets share has places i and j, they share ``min(n - i, m - j)`` shingles at most.  So
+    a set looks only for smaller ones, down to the similarity, and only up to what is left behind its place; sizes go by
+    classes of a twentieth, which are part of the join's key.
+    """
+    share = similarity / (1 + similarity)
+    size = lambda n: F.floor(F.log(F.greatest(n, F.lit(1))) / float(np.log(1.05))).cast("int")
+    least, most = F.ceil(F.col("n") * similarity - EPS), F.least(F.col("n"), F.floor((F.col("n") - F.col("i")) / share - F.col("n") + EPS))
+    asks = rest.withColumn("least", least).withColumn("most", most).where("most >= least")
+    asks = asks.withColumn("of", F.explode(F.sequence(size(F.col("least")), size(F.col("most")))))
+    met = (F.col("l.token") == F.col("r.token")) & (F.col("l.of") == F.col("r.of")) & (F.col("l.root") != F.col("r.root"))
+    once = (F.col("l.n") > F.col("r.n")) | (F.col("l.sid") < F.col("r.sid"))
+    new = (F.col("l.sid") != F.col("l.low")) & (F.col("r.sid") != F.col("l.low"))
+    fits = F.col("r.n").between(F.col("l.least"), F.col("l.most"))
+    left = F.least(F.col("l.n") - F.col("l.i"), F.col("r.n") - F.col("r.i")) >= share * (F.col("l.n") + F.col("r.n")) - EPS
+    both = asks.alias("l").join(rest.withColumn("of", size(F.col("n"))).alias("r"), met & once & new & fits & left & _near("l", "r", similarity))
+    return both.select(F.greatest("l.sid", "r.sid").alias("a"), F.least("l.sid", "r.sid").alias("b")).distinct()
+
+
 def _verified(texts: DataFrame, heads: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) that are similar by their whole sets.
 
@@ -180,8 +201,10 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, distan
     close = close.unionByName(heads.join(print_of, heads["f0"] == print_of["fp"]).where("sid <> one").select(F.col("sid").alias("a"), F.col("one").alias("b")))
     # All others: sets that share a shingle of their prefixes, each with the least set of that shingle.
     of = W.partitionBy("token")
-    met = own.where("p is not null").select(F.explode("p").alias("token"), "sid").repartition("token").distinct()
-    met = cut(met.withColumn("c", F.count(F.lit(1)).over(of)).withColumn("low", F.min("sid").over(of)).where("c > 1").drop("c"))
+    met = own.where("p is not null").select(F.posexplode("p").alias("i", "token"), "sid").repartition("token").distinct()
+    # The least set of a shingle is one with few rarer shingles: what others are edited copies of, where it is there.
+    low = F.min(F.struct("i", "sid")).over(of)["sid"]
+    met = cut(met.withColumn("c", F.count(F.lit(1)).over(of)).withColumn("low", low).where("c > 1").drop("c"))
     stars = close.unionByName(met.where("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b")))
     stars = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -190,11 +213,10 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, distan
     links = cut(_verified(texts, heads, cut(near.select("a", "b")), width, similarity))
     # What is connected needs no more; the rest of those that met is compared in pairs.
     root = components(links)
-    placed = met.join(root, met["sid"] == root["node"], "left").select("token", "sid", "low", F.coalesce("root", "sid").alias("root"))
+    placed = met.join(root, met["sid"] == root["node"], "left").select("token", "i", "sid", "low", F.coalesce("root", "sid").alias("root"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     rest = cut(placed.join(mixed, "token").join(slim, "sid"))
-    apart = (F.col("l.token") == F.col("r.token")) & (F.col("l.sid") < F.col("r.sid")) & (F.col("l.sid") > F.col("l.low")) & (F.col("l.root") != F.col("r.root"))
-    pairs = cut(rest.alias("l").join(rest.alias("r"), apart & _near("l", "r", similarity)).select(F.col("r.sid").alias("a"), F.col("l.sid").alias("b")).distinct())
+    pairs = cut(_pairs(rest, similarity))
     if not pairs.isEmpty():
         root = components(links.unionByName(_verified(texts, heads, pairs, width, similarity)))
 
