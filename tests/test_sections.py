@@ -56,7 +56,7 @@ def test_empty_texts(spark):
     found = parsed(spark, None, "", "no header\nCook 4", "HCI Enrollment for May 2021")
     assert [(r.doc_id, r.program) for r in found.headers.collect()] == [(3, "healthchoice")]
     gate = validate.gate(validate.summarize(found)).collect()
-    assert [(r.doc_id, r.first_problem, r.accepted) for r in gate] == [(3, "No county rows parsed", False)]
+    assert [(r.doc_id, r.first_problem, r.accepted) for r in gate] == [(3, "A section without rows of places", False)]
 
 
 def judged(spark, n, value, total, conflicts=(), ask=True):
@@ -68,7 +68,7 @@ def judged(spark, n, value, total, conflicts=(), ask=True):
 
 @pytest.mark.parametrize(
     ("n", "total", "told"),
-    [(102, 10200, []), (102, 20000, ["Row sum 10,200 does not match stated total 20,000 (difference 9,800, allowed 100)"]), (102, 10230, []), (40, None, ["Only 40 counties parsed, expected 102, and no stated total to reconcile against"]), (100, 10000, []), (0, None, ["No county rows parsed"])],
+    [(102, 10200, []), (102, 20000, ["Rows add up to 10,200, stated are 20,000: off by 9,800 where 100 may be"]), (102, 10230, []), (40, None, ["Only 40 of 102 places, without a stated total to hold them against"]), (100, 10000, []), (0, None, ["A section without rows of places"])],
 )
 def test_validation(spark, n, total, told):
     assert judged(spark, n, 100, total) == told
@@ -76,7 +76,7 @@ def test_validation(spark, n, total, told):
 
 def test_conflicts_come_first_and_are_listed_once(spark):
     told = judged(spark, 102, 100, 0, ["Will", "Cook", "Will", "Adams", "Lake", "Kane", "Bond"])
-    assert told[0] == "Duplicate county rows indicate mis-attribution: Adams, Bond, Cook, Kane, Lake" and len(told) == 2
+    assert told[0] == "Places with two values in a section: Adams, Bond, Cook, Kane, Lake" and len(told) == 2
 
 
 def test_short_lists_are_only_asked_of_long_ones(spark):

@@ -56,7 +56,7 @@ def test_run_reports_and_then_is_silent(spark, tmp_path):
     docs = lambda *rows: spark.createDataFrame(list(rows), "url string, label string, text string")
     first = run(store, pages("A"), none, docs(_doc("July 2026", 100), _doc("August 2026", 90), ("https://x/b.pdf", "bad", "Health Choice Enrollment for June 2026\nCook 5\nTotal 500")), dim, "d1", "healthchoice", "2026-07")
     assert first.subject == "Enrollment 2026-08: -10 MoM" and "1 declined, 0 gained, 101 flat, of 102" in first.text
-    assert "Row sum 5 does not match" in first.text and "baseline; their changes" in first.text and "new: A" not in first.text
+    assert "Rows add up to 5, stated are 500" in first.text and "baseline; their changes" in first.text and "new: A" not in first.text
     again = run(store, pages("A"), none, docs(_doc("July 2026", 100), ("https://x/b.pdf", "bad", "Health Choice Enrollment for June 2026\nCook 5\nTotal 500")), dim, "d2", "healthchoice", "2026-07")
     assert again.subject == NO_UPDATE
     failed = spark.createDataFrame([("s", "u", "u: timeout")], "page_id string, url string, error string")
@@ -105,7 +105,7 @@ def test_filings(spark):
     page = "<table><tr><td>A &amp; B</td><td>1/2/2024</td><td>x</td><td>y</td><td>z</td><td>12</td></tr><tr><td>short</td></tr><tr><td>C</td><td>no date</td><td></td><td></td><td></td><td></td></tr></table>"
     pages = spark.createDataFrame([(page,)], "html string")
     rows = filings.combine({"t": filings.from_table(pages, "T")})
-    assert [(r.entity, r.reported, r.state_residents, r.extra) for r in rows.collect()] == [("A & B", "2024-01-02", "12", "notice sent z")]
+    assert [(r.entity, r.reported, r.state_residents, r.extra) for r in rows.collect()] == [("A & B", "2024-01-02", "12", "sent z")]
     assert filings.since_filter(rows, "2024-01-02").count() == 1 and filings.since_filter(rows, "2024-01-03").count() == 0
     assert filings.newest(rows).first().newest == "2024-01-02"
     blocks = spark.createDataFrame([("x Company Name: One Two Date of Incident: 1/1/2024 Date Public Notified: May 3, 2024 Number of Individuals Affected: 7 Company Name: none",)], "html string")

@@ -70,6 +70,9 @@ def decode_numeric(s: Column) -> Column:
     return F.when(F.instr(s, "&#") > 0, F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))).otherwise(s)
 
 
+# Fixed values, down to anchors(): the tags, entities and attributes that the cells and links of a page are read by.
+
+
 def clean_html(s: Column) -> Column:
     """A cell's text: tags to spaces, then numeric entities, odd spaces, ampersands, apostrophes, quotes and spaces, in
     this order; so ``&amp;quot;`` is decoded twice."""
@@ -118,6 +121,9 @@ def slug(*parts: Column) -> Column:
     return F.concat_ws(":", *one)
 
 
+# What an e-mail address and a telephone number look like.
+
+
 def email_valid(s: Column) -> Column:
     return F.trim(s).rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.periods import iso, iso_long
 from tidemark.functions.text import clean_html, clean_portal, table_rows
 
+# The columns of a filing and of a portal's row; further down the pattern of a line and a block's labels.
 FILING = "source string, entity string, reported string, breach_dates string, state_residents string, total string, extra string"
 PORTAL = ("entity", "state", "entity_type", "individuals_affected", "submission_date", "breach_type", "location", "business_associate_present")
 
@@ -32,7 +33,7 @@ def from_table(pages: DataFrame, source: str, html: str = "html") -> DataFrame:
     """Filings of an HTML table: rows of six cells or more whose second has a date."""
     rows = pages.select(F.posexplode(table_rows(F.col(html))).alias("pos", "c")).where((F.size("c") >= 6) & (iso(F.get("c", F.lit(1))) != ""))
     c = lambda i: F.get("c", F.lit(i))
-    return rows.select(*_filing(source, entity=c(0), reported=iso(c(1)), breach_dates=c(2), state_residents=c(5), extra=F.concat(F.lit("notice sent "), c(4))))
+    return rows.select(*_filing(source, entity=c(0), reported=iso(c(1)), breach_dates=c(2), state_residents=c(5), extra=F.concat(F.lit("sent "), c(4))))
 
 
 def from_cells(rows: DataFrame, source: str, cells: str = "cells") -> DataFrame:
@@ -48,7 +49,7 @@ def from_lines(docs: DataFrame, source: str, text: str = "text") -> DataFrame:
     rows = docs.select(F.explode(F.split(F.col(text), "\n", -1)).alias("line")).where(F.col("line").rlike(pattern))
     part = lambda k: F.regexp_extract("line", pattern, k)
     count = lambda k: F.nullif(part(k), F.lit(""))
-    return rows.select(*_filing(source, entity=F.trim(part(1)), reported=iso(part(2)), breach_dates=part(3), state_residents=count(4), total=count(5), extra=F.lit("reported = date notification sent")))
+    return rows.select(*_filing(source, entity=F.trim(part(1)), reported=iso(part(2)), breach_dates=part(3), state_residents=count(4), total=count(5), extra=F.lit("dated by its notice")))
 
 
 #: The labels that end a field in a text of blocks.
@@ -106,6 +107,13 @@ def since_filter(rows: DataFrame, since: str) -> DataFrame:
     return rows.where(F.col("reported") >= F.lit(check_since(since)))
 
 
+def lookback(rows: DataFrame, last_run: str | None, today: str, overlap: int = 2, baseline: int = 30) -> DataFrame:
+    """Rows reported from ``overlap`` days before the last run to today, or in the last ``baseline`` days where there was
+    none; for a search that looks back four days, ``overlap`` is 4."""
+    first = F.date_sub(F.lit(last_run or today).cast("date"), overlap if last_run else baseline).cast("string")
+    return rows.where(F.col("reported").between(first, F.lit(today)))
+
+
 def newest(rows: DataFrame, by: str = "source_key") -> DataFrame:
     """Each source's newest date, null if none of its rows has one."""
     return rows.groupBy(by).agg(F.max(F.nullif("reported", F.lit(""))).alias("newest"))

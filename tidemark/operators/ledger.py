@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import cut
+
 
 def first_write(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Each key's first row by ``order``; later ones are restatements and ignored."""
@@ -70,9 +72,13 @@ def new_or_grown(old: DataFrame, new: DataFrame, key: str, count: str) -> DataFr
 def capped(rows: DataFrame, n: int, order: Sequence[Column], out: str = "include_next_run") -> DataFrame:
     """All rows, with their rank; those past ``n`` are carried over to the next run.
 
-    The ranks are one order over all rows of a run's signals, which a run bounds; they are no corpus.
+    The rows are sorted by ranges; a row's rank is its place in its range and the number of rows in those before.
     """
-    ranked = rows.withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    ranged = cut(rows.orderBy(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # one row a range
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    ranked = ranged.join(F.broadcast(before), "_range").withColumn("rank", (place + F.col("_before")).cast("int")).drop("_range", "_before")
     return ranked.withColumn(out, F.col("rank") > n)
 
 

@@ -64,12 +64,21 @@ def canonical_fuzzy(rows: DataFrame, dim: DataFrame, label: str, out: str = "nam
     return rows.join(found, label, "left")
 
 
+def _shortened(name: Column, n: int) -> Column:
+    """Hashes of a name with up to ``n`` of its characters left out, in every way."""
+    out = F.array(name)
+    for _ in range(n):
+        fewer = F.flatten(F.transform(out, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))))
+        out = F.array_distinct(F.concat(F.array(name), fewer))
+    return F.array_distinct(F.transform(out, lambda x: F.xxhash64(x)))
+
+
 def match_cascade(items: DataFrame, ledger: DataFrame, material: Sequence[str], closeness: int = 2, item_id: str = "id", url: str = "url", name: str = "name") -> DataFrame:
     """Items with ``matched_id``, ``matched_by`` (id, url, name) and ``status`` (NEW, UPDATE, unchanged).
 
     The first of these that finds a ledger item wins: equal id; equal url; equal name but for case and other characters
-    than letters and digits; a name within ``closeness`` edits of it among those that begin with the same letter and
-    differ by no more in length.  Near-identical names are our choice of rule.  Of several, the least id is taken.
+    than letters and digits; a name within ``closeness`` edits of it, the nearest first.  Near-identical names are our
+    choice of rule.  Of several, the least id is taken.
     A found item is an UPDATE if any material field differs, null being a value.
     """
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
@@ -82,11 +91,12 @@ def match_cascade(items: DataFrame, ledger: DataFrame, material: Sequence[str],
     ids = known.select(F.col(item_id)).distinct().withColumn("_by_id", F.col(item_id))
     item = item.join(ids, item_id, "left").join(least(url, "_by_url"), url, "left").join(least("_plain", "_by_name"), "_plain", "left")
     open_ = item.where(F.coalesce("_by_id", "_by_url", "_by_name").isNull() & (F.length("_plain") > 0))
-    # Equality on the first letter and on the length's block bounds the pairs; a block's neighbours are tried as well.
-    block = lambda c: F.floor(F.length(c) / (closeness + 1))
-    probes = open_.select(item_id, F.col("_plain").alias("p")).withColumn("k", F.substring("p", 1, 1)).withColumn("b", F.explode(F.array(block("p") - 1, block("p"), block("p") + 1)))
-    stock = known.select(F.col(item_id).alias("_near"), F.col("_plain").alias("q")).withColumn("k", F.substring("q", 1, 1)).withColumn("b", block("q"))
-    close = probes.join(stock, ["k", "b"]).where(F.levenshtein("p", "q", closeness) >= 0).groupBy(item_id).agg(F.min(F.struct(F.levenshtein("p", "q"), "_near")).alias("_best"))
+    # Names within so many edits share what is left when up to as many of their characters are dropped.
+    probes = open_.select(item_id, F.col("_plain").alias("p"), F.explode(_shortened(F.col("_plain"), closeness)).alias("k"))
+    stock = known.where(F.length("_plain") > 0).groupBy(F.col("_plain").alias("q")).agg(F.min(item_id).alias("_near"))
+    stock = stock.select("q", "_near", F.explode(_shortened(F.col("q"), closeness)).alias("k"))
+    met = probes.join(stock, "k").where(F.levenshtein("p", "q", closeness) >= 0)
+    close = met.groupBy(item_id).agg(F.min(F.struct(F.levenshtein("p", "q"), "_near")).alias("_best"))
     item = item.join(close.select(item_id, F.col("_best._near").alias("_by_near")), item_id, "left")
     matched = F.coalesce("_by_id", "_by_url", "_by_name", "_by_near")
     by = F.when(F.col("_by_id").isNotNull(), "id").when(F.col("_by_url").isNotNull(), "url").when(F.coalesce("_by_name", "_by_near").isNotNull(), "name")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.resolve import canonical_fuzzy
+from tidemark.sources.scratch import cut
 
 # What a header, a row and a number look like, and which programs a header can name.
 HEADER = r"(?i)^(.*?)\s+Enrollments?\s*(?:[—–-]|for)\s*([A-Za-z]+\s+\d{4})"
@@ -72,7 +73,8 @@ def parse(docs: DataFrame, dim: DataFrame, key: str = "doc_id", text: str = "tex
     placed = named.withColumn("event", event).withColumn("open", F.coalesce(F.last("event", True).over(before) == "open", F.lit(False)))
     above, below = F.last("header", True).over(before), F.first("header", True).over(after)
     section = F.when(F.col("open"), above).when(F.col("county").isNotNull(), below)
-    placed = placed.withColumn("section", section).where("section is not null or header is not null")
+    # Four tables are read from this one, so the texts are parsed and their labels resolved once.
+    placed = cut(placed.withColumn("section", section).where("section is not null or header is not null"))
 
     who = [F.col(key), F.col("section.program").alias("program"), F.col("section.period").alias("period")]
     headers = placed.where("header is not null").select(key, "header.program", "header.period").distinct()

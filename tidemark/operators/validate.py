@@ -33,14 +33,14 @@ def problems(n: Column, found: Column, total: Column, conflicts: Column, ask_ful
     """
     names = F.array_join(F.slice(F.array_sort(F.array_distinct(conflicts)), 1, 5), ", ")
     told = F.concat(
-        F.lit("Row sum "), count_text(found), F.lit(" does not match stated total "), count_text(total),
-        F.lit(" (difference "), count_text(F.abs(found - total)), F.lit(", allowed "), count_text(F.bround(allowed(total), 0)), F.lit(")"),
+        F.lit("Rows add up to "), count_text(found), F.lit(", stated are "), count_text(total),
+        F.lit(": off by "), count_text(F.abs(found - total)), F.lit(" where "), count_text(F.bround(allowed(total), 0)), F.lit(" may be"),
     )
     empty = F.coalesce(n, F.lit(0)) == 0
-    short = F.concat(F.lit("Only "), n.cast("string"), F.lit(f" counties parsed, expected {FULL}, and no stated total to reconcile against"))
+    short = F.concat(F.lit("Only "), n.cast("string"), F.lit(f" of {FULL} places, without a stated total to hold them against"))
     found_all = F.array(
-        F.when(F.size(conflicts) > 0, F.concat(F.lit("Duplicate county rows indicate mis-attribution: "), names)),
-        F.when(empty, F.lit("No county rows parsed")),
+        F.when(F.size(conflicts) > 0, F.concat(F.lit("Places with two values in a section: "), names)),
+        F.when(empty, F.lit("A section without rows of places")),
         F.when(~empty & mismatch(found, total), told),
         F.when(~empty & ask_full & (n < FULL) & total.isNull(), short),
     )
@@ -67,7 +67,7 @@ def gate(summary: DataFrame) -> DataFrame:
 def without_sections(docs: DataFrame, sections: Sections, key: str = "doc_id", label: str = "label") -> DataFrame:
     """(key, problem) of documents in which no section was found."""
     none = docs.join(sections.headers.select(key).distinct(), key, "left_anti")
-    return none.select(key, F.concat(F.col(label), F.lit(": no enrollment sections found")).alias("problem"))
+    return none.select(key, F.concat(F.col(label), F.lit(": a document without sections")).alias("problem"))
 
 
 def status(summary: DataFrame) -> DataFrame:

@@ -65,11 +65,12 @@ z AS (SELECT label, name, 'exact' AS how FROM e
 
 _ITEMS = """b AS (SELECT s_suppkey AS k, 'S' || s_suppkey AS id, 'http://x/' || s_suppkey AS url, s_name AS name, floor(s_acctbal)::BIGINT AS amount FROM supplier),
 i AS (SELECT k, CASE WHEN k % 5 = 0 THEN id ELSE 'N' || k END AS id, CASE WHEN k % 5 = 1 THEN url ELSE 'http://y/' || k END AS url,
-             CASE k % 5 WHEN 2 THEN upper(name) WHEN 3 THEN 'Fresh ' || name WHEN 4 THEN 'Other ' || name ELSE name END AS name,
+             CASE k % 5 WHEN 2 THEN upper(name) WHEN 3 THEN name || 'x' WHEN 4 THEN 'Other ' || name ELSE name END AS name,
              amount + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS amount FROM b),
-c AS (SELECT i.*, CASE WHEN k % 5 <= 2 OR EXISTS (SELECT 1 FROM b WHERE lower(b.name) = lower(i.name)) THEN
-               coalesce((SELECT min(b.id) FROM b WHERE b.id = i.id), (SELECT min(b.id) FROM b WHERE b.url = i.url),
-                        (SELECT min(b.id) FROM b WHERE regexp_replace(lower(b.name), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(i.name), '[^a-z0-9]+', '', 'g'))) END AS matched_id FROM i),
+near AS (SELECT i.k, substr(min(levenshtein(x, y)::VARCHAR || b.id), 2) AS near_id FROM (SELECT *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS x FROM i) i,
+               (SELECT *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS y FROM b) b WHERE levenshtein(x, y) <= 2 GROUP BY i.k),
+c AS (SELECT i.*, coalesce((SELECT min(b.id) FROM b WHERE b.id = i.id), (SELECT min(b.id) FROM b WHERE b.url = i.url),
+                        (SELECT min(b.id) FROM b WHERE regexp_replace(lower(b.name), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(i.name), '[^a-z0-9]+', '', 'g')), near_id) AS matched_id FROM i LEFT JOIN near USING (k)),
 x AS (SELECT c.*, CASE WHEN matched_id IS NULL THEN NULL WHEN EXISTS (SELECT 1 FROM b WHERE b.id = c.id) THEN 'id' WHEN EXISTS (SELECT 1 FROM b WHERE b.url = c.url) THEN 'url' ELSE 'name' END AS matched_by,
              CASE WHEN matched_id IS NULL THEN 'NEW' WHEN c.amount IS DISTINCT FROM b.amount THEN 'UPDATE' ELSE 'unchanged' END AS status
       FROM c LEFT JOIN b ON b.id = c.matched_id)"""
@@ -111,9 +112,9 @@ ORACLES = {
     "validation_status": f"WITH {_SECTIONS} SELECT o_orderkey, n, found, total, CASE WHEN len(conflicts) > 0 THEN 'CONFLICT' WHEN total IS NULL OR off THEN 'CHK' ELSE 'OK' END AS status FROM q",
     "first_problem": f"""WITH {_SECTIONS}, g AS (SELECT *, len(conflicts) > 0 AS c1, n = 0 AS c2, n > 0 AND off AS c3 FROM q)
         SELECT o_orderkey, (c1::INT + c2::INT + c3::INT) AS n_problems,
-               CASE WHEN c1 THEN 'Duplicate county rows indicate mis-attribution: ' || array_to_string(list_sort(conflicts)[1:5], ', ')
-                    WHEN c2 THEN 'No county rows parsed'
-                    WHEN c3 THEN format('Row sum {{:,}} does not match stated total {{:,}} (difference {{:,}}, allowed {{:,}})', found, total, abs(found - total), round_even(greatest(5.0, total::DOUBLE * 0.005), 0)::BIGINT) END AS first_problem,
+               CASE WHEN c1 THEN 'Places with two values in a section: ' || array_to_string(list_sort(conflicts)[1:5], ', ')
+                    WHEN c2 THEN 'A section without rows of places'
+                    WHEN c3 THEN format('Rows add up to {{:,}}, stated are {{:,}}: off by {{:,}} where {{:,}} may be', found, total, abs(found - total), round_even(greatest(5.0, total::DOUBLE * 0.005), 0)::BIGINT) END AS first_problem,
                NOT (c1 OR c2 OR c3) AS accepted FROM g""",
     "first_write_wins": f"WITH {_DAILY} SELECT user_id, day, event_id, event_type, value FROM d QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) = 1",
     "problem_registry": f"""WITH {_SEEN}, a AS (SELECT key, min(seen) AS first_seen, max(seen) AS last_seen FROM s GROUP BY key)
@@ -177,8 +178,27 @@ ORACLES = {
     "newest_per_source": f"WITH {_FILINGS} SELECT source AS source_key, max(nullif(reported, '')) AS newest FROM f GROUP BY source",
     "filings_sorted": f"WITH {_FILINGS} SELECT source, entity, reported FROM f WHERE reported >= '2001-07-01' ORDER BY reported DESC, source, entity",
     "lookback_window": f"WITH {_FILINGS} SELECT entity, reported FROM f WHERE reported BETWEEN '2000-03-01' AND '2000-03-31'",
+    "lookback_baseline": f"WITH {_FILINGS} SELECT entity, reported FROM f WHERE reported BETWEEN '2000-03-01' AND '2000-03-31'",
+    "cell_filings": "SELECT 'cells' AS source, 'Firm ' || o_orderkey AS entity, strftime(o_orderdate, '%Y-%m-%d') AS reported, o_custkey::VARCHAR AS state_residents, o_orderstatus || ', TX; ' || o_orderpriority AS extra FROM orders",
+    "combined_filings": f"WITH {_FILINGS} SELECT CASE WHEN source = '1-URGENT' THEN 'urgent' ELSE 'other' END AS source_key, source, entity, reported FROM f",
+    "isolated_sources": "SELECT 'good' AS source_key, true AS read, count(*) AS n FROM orders UNION ALL SELECT x, false, 0 FROM (VALUES ('empty'), ('bad'), ('unknown')) t(x)",
+    "problem_keys": "SELECT o_orderkey, 'http://x/' || o_orderkey || '|' || CASE WHEN o_orderkey % 2 = 0 THEN substr('Total of order ' || o_orderkey || ' is far from what its lines add up to', 1, 40) ELSE 'err' END AS key FROM orders",
+    "wanted_months": f"""WITH {_PANEL}, l AS (SELECT o_orderkey, o_orderkey % 3 AS k, strftime(o_orderdate, '%Y-%m') AS m, strftime(o_orderdate, '%Y%m') AS f FROM orders),
+        g AS (SELECT CASE WHEN k = 0 THEN 'http://x/' || f || '-' || o_orderkey || '.pdf' ELSE 'http://x/report-' || o_orderkey || '.pdf' END AS url, CASE WHEN k = 1 OR (k = 0 AND f >= '200001') THEN m END AS month FROM l)
+        SELECT url, month FROM g WHERE month IS NULL OR month NOT IN (SELECT month FROM p WHERE program = 'BUILDING' AND substr(month, 6, 2) <= '06')""",
+    "landed_pages": """SELECT page_id::VARCHAR AS source_id, md5(CASE WHEN page_id % 7 = 0 THEN substr(url || ': Timeout: ' || repeat('slow ', 60), 1, 200)
+        WHEN page_id % 2 = 0 THEN html || chr(65533) ELSE html END) AS seen FROM pages""",
+    "pages_read": "SELECT (o_orderkey // 100)::INT AS page, o_orderkey FROM orders WHERE o_orderkey // 100 < least(50, (SELECT min(i) FROM range(60) r(i) WHERE i = 40 OR i NOT IN (SELECT o_orderkey // 100 FROM orders)))",
+    "reference_file": "SELECT p_partkey, p_name, p_size FROM part",
+    "json_rows": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS value FROM nation""",
+    "state_versions": "SELECT n_nationkey, 3::INT AS n FROM nation",
+    "full_list_gate": """SELECT c_nationkey, n, n <= 50 OR n >= 102 AS accepted, CASE WHEN n > 50 AND n < 102 THEN 'Only ' || n || ' of 102 places, without a stated total to hold them against' END AS first_problem
+        FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1)""",
+    "documents_without_sections": f"WITH {_PANEL} SELECT DISTINCT program || '/' || month AS doc_id, program || '/' || month || ': a document without sections' AS problem FROM p WHERE program NOT IN ('BUILDING', 'MACHINERY')",
+    "subject_line": f"""WITH {_PANEL}, {_TOTALS}, s AS (SELECT l.month, a.total - coalesce(b.total, a.total) AS moved FROM last l JOIN t a USING (program, month) LEFT JOIN t b ON b.program = l.program AND b.month = l.prior WHERE l.program = 'BUILDING')
+        SELECT 'Enrollment ' || month || ': ' || CASE WHEN moved = 0 THEN 'no change' WHEN moved > 0 THEN '+' || format('{{:,}}', moved) ELSE format('{{:,}}', moved) END || ' MoM' AS subject FROM s""",
     "active_hold": f"WITH {_FILINGS} SELECT entity, (DATE '2000-03-03' - reported::DATE)::INT AS days FROM f WHERE reported <> '' AND DATE '2000-03-03' - reported::DATE BETWEEN 0 AND 14",
-    "html_table_rows": """SELECT 'table' AS source, o_orderkey::VARCHAR AS entity, strftime(o_orderdate, '%Y-%m-%d') AS reported, o_orderstatus AS breach_dates, o_custkey || ' & more' AS state_residents, 'notice sent ' || o_orderpriority AS extra FROM orders""",
+    "html_table_rows": """SELECT 'table' AS source, o_orderkey::VARCHAR AS entity, strftime(o_orderdate, '%Y-%m-%d') AS reported, o_orderstatus AS breach_dates, o_custkey || ' & more' AS state_residents, 'sent ' || o_orderpriority AS extra FROM orders""",
     "laid_out_lines": """SELECT 'Clinic ' || o_custkey AS entity, strftime(o_orderdate, '%Y-%m-%d') AS reported, '1/2/2003' AS breach_dates,
         CASE WHEN o_orderkey % 3 > 0 THEN '1,234' END AS state_residents, CASE WHEN o_orderkey % 3 > 1 THEN '5,678' END AS total FROM orders""",
     "text_blocks": "SELECT 'Firm ' || o_orderkey AS entity, '2001-03-05' AS reported, strftime(o_orderdate, '%-m/%-d/%Y') AS breach_dates, '12' AS state_residents, NULL::VARCHAR AS total FROM orders",

@@ -18,7 +18,10 @@ from tidemark.functions import text as tx
 from tidemark.functions.places import COUNTIES, dimension, display
 from tidemark.operators import filings, ledger, links, panel, resolve, sections, validate
 from tidemark.plans.report import Figures, page, subject, text
+from tidemark.plans.weekly import wanted_links
 from tidemark.sources import landing
+from tidemark.sources.scratch import cut, new_folder
+from tidemark.sources.state import StateStore, json_lines
 from tidemark.streaming.ledger_stream import run_ledger
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +46,7 @@ def orders_panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latest_ranks(spark: SparkSession, d: str) -> DataFrame:
-    p = orders_panel(spark, d)
+    p = cut(orders_panel(spark, d))
     return panel.rank_changes(p, panel.latest(p))
 
 
@@ -52,7 +55,7 @@ def latest_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def mom_rank(spark, d):
-    return panel.rank_changes(orders_panel(spark, d))
+    return panel.rank_changes(cut(orders_panel(spark, d)))
 
 
 @query
@@ -451,7 +454,7 @@ def _items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     found = base.select(
         F.when(k == 0, F.col("id")).otherwise(F.concat(F.lit("N"), F.col("s_suppkey").cast("string"))).alias("id"),
         F.when(k == 1, F.col("url")).otherwise(F.concat(F.lit("http://y/"), F.col("s_suppkey").cast("string"))).alias("url"),
-        F.when(k == 2, F.upper("name")).when(k == 3, F.concat(F.lit("Fresh "), F.col("name"))).when(k == 4, F.concat(F.lit("Other "), F.col("name"))).otherwise(F.col("name")).alias("name"),
+        F.when(k == 2, F.upper("name")).when(k == 3, F.concat(F.col("name"), F.lit("x"))).when(k == 4, F.concat(F.lit("Other "), F.col("name"))).otherwise(F.col("name")).alias("name"),
         (F.col("amount") + F.when(F.pmod("s_suppkey", F.lit(2)) == 0, 1).otherwise(0)).alias("amount"),
     )
     return found, base.drop("s_suppkey")
@@ -460,14 +463,14 @@ def _items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query
 def match_cascade(spark, d):
     found, known = _items(spark, d)
-    return resolve.match_cascade(found, known, ["amount"], closeness=0).select("id", "matched_id", "matched_by", "status")
+    return resolve.match_cascade(found, known, ["amount"], closeness=2).select("id", "matched_id", "matched_by", "status")
 
 
 @query
 def material_update(spark, d):
     found, known = _items(spark, d)
     book = known.withColumn("first_seen", F.lit("2024-01-01")).withColumn("last_updated", F.lit("2024-01-01"))
-    return ledger.apply_items(book, resolve.match_cascade(found, known, ["amount"], closeness=0), F.lit("2024-02-01"), ["amount"])
+    return ledger.apply_items(book, resolve.match_cascade(found, known, ["amount"], closeness=2), F.lit("2024-02-01"), ["amount"])
 
 
 @query
@@ -512,7 +515,112 @@ def filings_sorted(spark, d):
 @query
 def lookback_window(spark, d):
     """Filings from two days before the last run on."""
-    return _filings(spark, d).where(F.col("reported").between(F.date_sub(F.lit("2000-03-03").cast("date"), 2).cast("string"), F.lit("2000-03-31"))).select("entity", "reported")
+    return filings.lookback(_filings(spark, d), "2000-03-03", "2000-03-31").select("entity", "reported")
+
+
+@query
+def lookback_baseline(spark, d):
+    """Filings of the thirty days before a first run."""
+    return filings.lookback(_filings(spark, d), None, "2000-03-31").select("entity", "reported")
+
+
+@query
+def cell_filings(spark, d):
+    """Orders as rows of ten cells, read by place."""
+    at = {0: F.concat(F.lit("<b>Firm "), F.col("o_orderkey").cast("string"), F.lit("</b>")), 2: F.col("o_orderstatus"), 3: F.lit("TX"), 5: F.col("o_orderpriority"), 6: F.col("o_custkey").cast("string"), 9: F.date_format("o_orderdate", "M/d/yyyy")}
+    cells = F.array(*[at.get(i, F.lit("-")) for i in range(10)])
+    return filings.from_cells(table(spark, d, "orders").select(cells.alias("cells")), "cells").select("source", "entity", "reported", "state_residents", "extra")
+
+
+@query
+def combined_filings(spark, d):
+    """Two sources of filings under one schema, each with its key."""
+    rows = _filings(spark, d).drop("source_key")
+    urgent = F.col("source") == "1-URGENT"
+    return filings.combine({"urgent": rows.where(urgent), "other": rows.where(~urgent)}).select("source_key", "source", "entity", "reported")
+
+
+@query
+def isolated_sources(spark, d):
+    """Sources whose reader fails, has no rows or does not exist leave the others alone."""
+    rows = _filings(spark, d)
+
+    def damaged() -> DataFrame:
+        raise ValueError("a damaged page")
+
+    found, failed = landing.readers({"good": lambda: rows, "empty": lambda: rows.where("entity is null"), "bad": damaged}, ["good", "empty", "bad", "unknown"])
+    out = [(k, True, v.count()) for k, v in found.items()] + [(k, False, 0) for k in failed]
+    return spark.createDataFrame(out, "source_key string, read boolean, n bigint")
+
+
+@query
+def problem_keys(spark, d):
+    """Urls with the first 40 characters of what was wrong, or "err"."""
+    url, detail = F.concat(F.lit("http://x/"), F.col("o_orderkey").cast("string")), F.concat(F.lit("Total of order "), F.col("o_orderkey").cast("string"), F.lit(" is far from what its lines add up to"))
+    return table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, ledger.problem_key(url, detail)).otherwise(ledger.problem_key(url)).alias("key"))
+
+
+@query
+def wanted_months(spark, d):
+    """Links whose month, by their text or else their file name, is not recorded yet."""
+    month, k = F.date_format("o_orderdate", "MMMM d, yyyy"), F.pmod("o_orderkey", F.lit(3))
+    name = F.concat(F.lit("http://x/"), F.date_format("o_orderdate", "yyyyMM"), F.lit("-"), F.col("o_orderkey").cast("string"), F.lit(".pdf"))
+    links_ = table(spark, d, "orders").select(
+        F.when(k == 0, name).otherwise(F.concat(F.lit("http://x/report-"), F.col("o_orderkey").cast("string"), F.lit(".pdf"))).alias("url"),
+        F.when(k == 1, F.concat(F.lit("Enrollment as of "), month)).otherwise(F.lit("Enrollment")).alias("label"),
+    )
+    known = cut(orders_panel(spark, d).where("program = 'BUILDING' and substring(month, 6, 2) <= '06'").select("program", "month").distinct())
+    return wanted_links(links_, known, "BUILDING").select("url", "month")
+
+
+@query
+def landed_pages(spark, d):
+    """Pages as landed bytes, some of them no UTF-8; failed fetches apart."""
+    body = F.concat(F.encode("html", "UTF-8"), F.when(F.col("page_id") % 2 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))))
+    error = F.when(F.col("page_id") % 7 == 0, F.concat(F.col("url"), F.lit(": Timeout: "), F.repeat(F.lit("slow "), F.lit(60))))
+    raw = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("source_id"), "url", F.lit(None).cast("timestamp").alias("fetched_at"), body.alias("body"), error.alias("error"))
+    good, bad = landing.fetched(raw)
+    return good.select("source_id", F.md5("html").alias("seen")).unionByName(bad.select("source_id", F.md5("error").alias("seen")))
+
+
+@query
+def pages_read(spark, d):
+    """A paged listing, up to its limit and to its first page without rows."""
+    rows = table(spark, d, "orders").withColumn("page", F.floor(F.col("o_orderkey") / 100).cast("int")).where("page <> 40").select("page", "o_orderkey")
+    return landing.pages_until_empty(spark.range(60).select(F.col("id").cast("int").alias("page")), rows, 50)
+
+
+@query
+def reference_file(spark, d):
+    """Reference data written as CSV and read by a stated schema."""
+    at = new_folder(spark, "reference")
+    table(spark, d, "part").select("p_partkey", "p_name", "p_size").write.option("header", True).csv(at)
+    return landing.reference_csv(spark, at, "p_partkey bigint, p_name string, p_size int")
+
+
+@query
+def json_rows(spark, d):
+    """Rows as lines of JSON."""
+    return json_lines(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@query
+def state_versions(spark, d):
+    """A table saved in three versions, each read from the one before; the last is in force."""
+    store = StateStore(spark, new_folder(spark, "state"))
+    schema = "n_nationkey int, n int"
+    nations = table(spark, d, "nation").select("n_nationkey", F.lit(0).alias("n"))
+    for k in range(3):
+        store.save("t", (nations if k == 0 else store.load("t", schema)).withColumn("n", (F.col("n") + 1).cast("int")))
+    return store.load("t", schema)
+
+
+@query
+def full_list_gate(spark, d):
+    """Nations as sections of so many customers without a stated total: from 51 on a full list is asked for."""
+    rows = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    summary = rows.select("c_nationkey", "n", F.col("n").alias("found"), F.lit(None).cast("bigint").alias("total"), F.array().cast("array<string>").alias("conflicts"))
+    return validate.gate(summary).select("c_nationkey", "n", "accepted", "first_problem")
 
 
 @query
@@ -615,10 +723,11 @@ def rural_score(spark, d):
 
 def _documents(spark: SparkSession, d: str, damage: bool) -> DataFrame:
     """Each month of the panel as a laid-out text, with places for nations; damaged: the first place stands before its
-    header, one place comes twice (in every third text with another value), and the total is off in every fourth."""
+    header, one place comes twice (in every third text with another value), and the total is off in every fourth.  Two
+    programs are known (one of them by words of both), and a header of any other opens no section."""
     names = F.array(*[F.lit(c) for c in COUNTIES])
-    program = F.when(F.col("program") == "BUILDING", "HealthChoice").when(F.col("program") == "MACHINERY", "FIDE-SNP")
-    rows = orders_panel(spark, d).withColumn("title", program).where("title is not null")
+    program = F.when(F.col("program") == "BUILDING", "HealthChoice").when(F.col("program") == "MACHINERY", "FIDE-SNP Choice").otherwise("Vision Plan")
+    rows = orders_panel(spark, d).withColumn("title", program)
     nation = table(spark, d, "nation").select(F.col("n_name").alias("county"), F.get(names, F.col("n_nationkey").cast("int")).alias("place"))
     rows = rows.join(F.broadcast(nation), "county")
     line = F.struct("place", F.concat(F.col("place"), F.lit("    12   "), F.format_string("%,d", F.col("value"))).alias("line"), "value")
@@ -659,6 +768,13 @@ def section_conflicts(spark, d):
     return sections.parse(_documents(spark, d, True), dimension(spark)).conflicts.select("doc_id", "county")
 
 
+@query
+def documents_without_sections(spark, d):
+    """Documents of programs that no header names."""
+    docs = _documents(spark, d, True)
+    return validate.without_sections(docs.withColumn("label", F.col("doc_id")), sections.parse(docs, dimension(spark))).select("doc_id", "problem")
+
+
 @query
 def section_gate(spark, d):
     found = sections.parse(_documents(spark, d, True), dimension(spark))
@@ -703,9 +819,9 @@ def _catalog_path() -> str:
 
 @query
 def explode_catalog(spark, d):
-    rows = spark.read.schema("value string").text(_catalog_path(), wholetext=True)
-    states = rows.select(F.explode(F.from_json("value", landing.CATALOG)["states"]).alias("state", "s")).select("state", "s.name", F.explode("s.sources").alias("x"))
-    return states.select("state", "name", "x.url", "x.kind", F.array_join(F.coalesce("x.search_terms", F.array().cast("array<string>")), "|").alias("terms"), F.coalesce("x.unverified", F.lit(False)).alias("unverified"))
+    """The catalog that comes with the package: configuration, not a table of ``d``."""
+    rows = landing.catalog(spark, _catalog_path())
+    return rows.select("state", "name", "url", "kind", F.array_join(F.coalesce("search_terms", F.array().cast("array<string>")), "|").alias("terms"), "unverified")
 
 
 @query
@@ -715,7 +831,7 @@ def sources_by_kind(spark, d):
 
 def _figures(spark: SparkSession, d: str) -> Figures:
     """One program's latest month: at most as many rows as there are places."""
-    p = orders_panel(spark, d).where("program = 'BUILDING'")
+    p = cut(orders_panel(spark, d).where("program = 'BUILDING'"))
     last = panel.latest(p)
     rows = [r.asDict() for r in panel.rank_changes(p, last).orderBy("change", "pct", "county").collect()]
     base = [r.asDict() for r in panel.baseline_change(panel.totals(p), last, "1998-01").collect()]
@@ -742,11 +858,7 @@ def report_html(spark, d):
 @query
 def stream_append_ledger(spark, d):
     """Events as a stream, in files of the table's own; the ledger is what a batch run gives."""
-    import tempfile
-    import uuid
-
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = new_folder(spark, "stream")
     rows = table(spark, d, "events")
     stream = spark.readStream.schema(rows.schema).parquet(f"{d}/events.parquet*")
     day = stream.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "event_id")

@@ -1,15 +1,14 @@
-"""The report of a run, as text and as HTML with the same figures, from the few ranked rows that a plan collects."""
+"""The report of a run.  Its parts are listed once, with their figures in words, and written out as text or as HTML."""
 
 from __future__ import annotations
 
-import html
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
+from html import escape
+from itertools import chain
 
 from tidemark.functions.places import DISPLAY
 
-DOWN, UP, CALM, BRAND = "#b42318", "#067647", "#667085", "#33658a"
-
 
 @dataclass(frozen=True)
 class Wording:
@@ -52,88 +51,125 @@ class Figures:
         return f"{n[0]} declined, {n[1]} gained, {len(self.ranked) - sum(n)} flat, of {len(self.ranked)}"
 
 
-def subject(f: Figures, words: Wording = Wording()) -> str:
-    moved = format(f.mom, "+,") if f.mom else "no change"
-    return ("ALERT: " if f.alerts else "") + f"{words.short} {f.month}: {moved} MoM"
-
-
-def _name(row: dict) -> str:
-    return DISPLAY.get(row["county"], row["county"])
+@dataclass(frozen=True)
+class Lines:
+    """Plain lines; the first may be the report's heading."""
 
+    lines: Sequence[str]
+    heading: bool = False
 
-def _percent(x: float) -> str:
-    return f"{x:+.1f}%"
 
+@dataclass(frozen=True)
+class Notices:
+    """What a reader must see first."""
 
-def text(f: Figures, words: Wording = Wording()) -> str:
-    """Problems first, then alerts, figures, declines, gains and caveats."""
-    blocks = [[words.title, words.byline] if words.byline else [words.title], [words.about]]
-    for title, items in ((words.problems, f.problems), (words.alerts, f.alerts)):
-        if items:
-            blocks.append([f"{title}:", *(f"  - {x}" for x in items)])
-    figures = [f"Data month: {f.month}", f"{words.unit}: {f.total:,}", f"Change vs prior month: {f.mom:+,}"]
-    if f.baseline:
-        figures.append(f"Change vs {f.baseline['baseline']} baseline: {f.baseline['change']:+,} ({_percent(f.baseline['pct'])})")
-    if f.ranked:
-        figures.append(f"Counties: {f.counts}")
-    blocks.append(figures)
-    if f.declines:
-        blocks.append(["LARGEST DECLINES BY COUNTY", *(f"  {_name(r):<14} {r['then']:>9,} -> {r['now']:>9,}  {r['change']:>+7,} ({_percent(r['pct'])})" for r in f.declines)])
-    if f.gains:
-        blocks.append(["COUNTIES GAINING", *(f"  {_name(r):<14} {r['change']:>+7,} ({_percent(r['pct'])})" for r in f.gains)])
-    blocks += [[x] for x in (words.caveat, words.context) if x]
-    return "\n\n".join("\n".join(b) for b in blocks)
+    title: str
+    items: Sequence[str]
 
 
-def _safe(x: object) -> str:
-    return html.escape(str(x), quote=False)
+@dataclass(frozen=True)
+class Facts:
+    """Named values, each perhaps with the direction that it stands for."""
 
+    values: Sequence[tuple[str, str, int]]
 
-def _tone(n: float) -> str:
-    return DOWN if n < 0 else UP if n > 0 else CALM
 
+@dataclass(frozen=True)
+class Ranking:
+    """A table of texts; ``widths`` are those of the columns in plain text, and ``ways`` the rows' directions."""
 
-def _div(style: str, inner: str) -> str:
-    return f'<div style="{style}">{inner}</div>'
+    title: str
+    columns: Sequence[str]
+    rows: Sequence[Sequence[str]]
+    widths: Sequence[int] = field(default=())
+    ways: Sequence[int] = field(default=())
 
 
-def box(title: str, items: Sequence[str], ink: str, ground: str) -> str:
-    listed = "\n".join(f"<li>{_safe(x)}</li>" for x in items)
-    head = _div(f"font-weight:bold;color:{ink};", _safe(title))
-    return _div(f"background:{ground};border-left:4px solid {ink};padding:10px 14px;margin-bottom:16px;", f"\n{head}\n<ul>\n{listed}\n</ul>\n")
+Part = Lines | Notices | Facts | Ranking
 
 
-def cell(value: object, align: str = "right", ink: str = "") -> str:
-    tone = f"color:{ink};" if ink else ""
-    return f'<td align="{align}" style="padding:6px 10px;{tone}">{_safe(value)}</td>'
+def subject(f: Figures, words: Wording = Wording()) -> str:
+    moved = format(f.mom, "+,") if f.mom else "no change"
+    return ("ALERT: " if f.alerts else "") + f"{words.short} {f.month}: {moved} MoM"
 
 
-def table(title: str, heads: Sequence[str], rows: Sequence[str]) -> str:
-    named = "".join(f'<th align="{"left" if i == 0 else "right"}" style="padding:6px 10px;">{_safe(h)}</th>' for i, h in enumerate(heads))
-    body = "\n".join(f"<tr>{r}</tr>" for r in rows)
-    return _div("font-weight:bold;margin:20px 0 6px 0;", _safe(title)) + f'\n<table width="100%" style="border-collapse:collapse;">\n<tr>{named}</tr>\n{body}\n</table>'
+def _percent(x: float) -> str:
+    return f"{x:+.1f}%"
 
 
-def page(f: Figures, words: Wording = Wording()) -> str:
-    """The same report for mail: inline styles alone, every text escaped, a line for each row."""
-    parts = [_div(f"font-size:20px;font-weight:bold;color:{BRAND};", _safe(words.title))]
-    parts += [_div(f"color:{CALM};", _safe(x)) for x in (words.byline, words.about) if x]
-    if f.problems:
-        parts.append(box(words.problems, f.problems, "#b54708", "#fffaeb"))
-    if f.alerts:
-        parts.append(box(words.alerts, f.alerts, DOWN, "#fef3f2"))
-    parts += [_div(f"color:{CALM};", f"Data month: {_safe(f.month)}"), _div("margin-top:10px;", _safe(words.unit)), _div("font-size:30px;font-weight:bold;", f"{f.total:,}")]
-    parts.append(_div("", f'Change vs prior month: <b style="color:{_tone(f.mom)};">{f.mom:+,}</b>'))
+def parts(f: Figures, words: Wording = Wording()) -> Iterator[Part]:
+    """A report's parts in order: problems and alerts before any figure."""
+    yield Lines([x for x in (words.title, words.byline) if x], heading=True)
+    yield Lines([words.about])
+    yield from (Notices(title, items) for title, items in ((words.problems, f.problems), (words.alerts, f.alerts)) if items)
+    facts = [("Data month", f.month, 0), (words.unit, f"{f.total:,}", 0), ("Change vs prior month", f"{f.mom:+,}", f.mom)]
     if f.baseline:
-        b = f.baseline
-        parts.append(_div("", f'Change vs {_safe(b["baseline"])} baseline: <b style="color:{_tone(b["change"])};">{b["change"]:+,} ({_percent(b["pct"])})</b>'))
+        facts.append((f"Change vs {f.baseline['baseline']} baseline", f"{f.baseline['change']:+,} ({_percent(f.baseline['pct'])})", f.baseline["change"]))
     if f.ranked:
-        parts.append(_div(f"color:{CALM};", f"Counties: {f.counts}"))
+        facts.append(("Counties", f.counts, 0))
+    yield Facts(facts)
+    shown = lambda r: DISPLAY.get(r["county"], r["county"])
+    moves = lambda r: [f"{r['change']:+,}", _percent(r["pct"])]
     if f.declines:
-        rows = [cell(_name(r), "left") + cell(f"{r['then']:,}") + cell(f"{r['now']:,}") + cell(f"{r['change']:+,}", ink=DOWN) + cell(_percent(r["pct"]), ink=DOWN) for r in f.declines]
-        parts.append(table("LARGEST DECLINES BY COUNTY", ("County", "Prior", "Now", "Change", "%"), rows))
+        rows = [[shown(r), f"{r['then']:,}", f"{r['now']:,}", *moves(r)] for r in f.declines]
+        yield Ranking("LARGEST DECLINES BY COUNTY", ("County", "Prior", "Now", "Change", "%"), rows, (14, 9, 9, 8, 8), [r["change"] for r in f.declines])
     if f.gains:
-        rows = [cell(_name(r), "left") + cell(f"{r['change']:+,}", ink=UP) + cell(_percent(r["pct"]), ink=UP) for r in f.gains]
-        parts.append(table("COUNTIES GAINING", ("County", "Change", "%"), rows))
-    parts += [_div(f"font-size:12px;color:{CALM};margin-top:16px;", _safe(x)) for x in (words.caveat, words.context) if x]
-    return '<div style="font-family:Arial,Helvetica,sans-serif;max-width:640px;">\n' + "\n".join(parts) + "\n</div>\n"
+        yield Ranking("COUNTIES GAINING", ("County", "Change", "%"), [[shown(r), *moves(r)] for r in f.gains], (14, 8, 8), [r["change"] for r in f.gains])
+    yield from (Lines([x]) for x in (words.caveat, words.context) if x)
+
+
+def _as_text(part: Part) -> list[str]:
+    match part:
+        case Lines(lines):
+            return list(lines)
+        case Notices(title, items):
+            return [f"{title}:", *(f"  - {x}" for x in items)]
+        case Facts(values):
+            return [f"{name}: {value}" for name, value, _ in values]
+        case Ranking(title, columns, rows, widths):
+            line = lambda cells: "  " + " ".join(x.rjust(w) if i else x.ljust(w) for i, (x, w) in enumerate(zip(cells, widths, strict=True)))
+            return [title, line(columns), *map(line, rows)]
+
+
+def text(f: Figures, words: Wording = Wording()) -> str:
+    """The report as plain text, a blank line between its parts."""
+    return "\n\n".join("\n".join(_as_text(p)) for p in parts(f, words))
+
+
+#: Inline styles by what they are for; mail programs drop style sheets.
+STYLE = {
+    "page": "font: 15px/1.45 Georgia, serif; max-width: 44em",
+    "heading": "font-size: 1.4em; margin: 0 0 .2em",
+    "notice": "border: 1px solid #8a6d00; padding: .4em 1em",
+    "name": "text-align: left; font-weight: normal; padding-right: 2em",
+    "number": "text-align: right; padding-left: 1.5em",
+    "caption": "text-align: left; padding: .8em 0 .2em",
+}
+#: Darker and lighter than the text, so that the sign and not only the colour tells the direction.
+WAYS = {-1: "#7a1f3d", 0: "inherit", 1: "#1f5f7a"}
+
+
+def _tag(name: str, inner: str, style: str = "", way: int = 0) -> str:
+    whole = "; ".join(x for x in (STYLE.get(style, ""), f"color: {WAYS[(way > 0) - (way < 0)]}" if way else "") if x)
+    return f'<{name} style="{whole}">{inner}</{name}>' if whole else f"<{name}>{inner}</{name}>"
+
+
+def _as_html(part: Part) -> list[str]:
+    safe = lambda x: escape(x, quote=False)
+    match part:
+        case Lines(lines, heading):
+            first = [_tag("h1", safe(lines[0]), "heading")] if heading else []
+            return first + [_tag("p", safe(x)) for x in lines[len(first) :]]
+        case Notices(title, items):
+            return [f'<section style="{STYLE["notice"]}">', _tag("strong", safe(title)), "<ul>", *(_tag("li", safe(x)) for x in items), "</ul>", "</section>"]
+        case Facts(values):
+            return ["<table>", *(_tag("tr", _tag("th", safe(name), "name") + _tag("td", safe(value), way=way)) for name, value, way in values), "</table>"]
+        case Ranking(title, columns, rows, _, ways):
+            line = lambda tag, cells, way=0: _tag("tr", "".join(_tag(tag, safe(x), "number" if i else "name", way if i > len(columns) - 3 else 0) for i, x in enumerate(cells)))
+            return ["<table>", _tag("caption", safe(title), "caption"), line("th", columns), *(line("td", r, w) for r, w in zip(rows, ways, strict=True)), "</table>"]
+
+
+def page(f: Figures, words: Wording = Wording()) -> str:
+    """The same parts as HTML for mail, a line for each row."""
+    body = chain.from_iterable(_as_html(p) for p in parts(f, words))
+    return "\n".join([f'<main style="{STYLE["page"]}">', *body, "</main>", ""])

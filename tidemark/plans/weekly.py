@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.periods import hint_key, period_hint, period_key, with_period
 from tidemark.operators import ledger, links, panel, sections, validate
 from tidemark.plans.report import Figures, Wording, page, subject, text
+from tidemark.sources.scratch import cut
 from tidemark.sources.state import StateStore
 
 ENROLLMENT = "program string, month string, county string, value bigint"
@@ -30,6 +31,17 @@ class Outcome:
     new_months: list[tuple[str, str]] = field(default_factory=list)
 
 
+#: A mail lists so many problems and alerts at most, and says how many more there are; the state has all of them.
+MOST_TOLD = 200
+
+
+def told(rows: DataFrame, column: str, order: list[str]) -> list[str]:
+    """The first lines in order, and the number of all others."""
+    n = rows.count()
+    first = [r[0] for r in rows.orderBy(*order).select(column).limit(MOST_TOLD).collect()]
+    return [*first, f"and {n - MOST_TOLD:,} more"] if n > MOST_TOLD else first
+
+
 def wanted_links(found: DataFrame, months: DataFrame, program: str) -> DataFrame:
     """Links (url, label) with their ``month``, text before file name, without those whose month is recorded.
 
@@ -62,7 +74,7 @@ def ingest(store: StateStore, documents: DataFrame, dim: DataFrame) -> tuple[Dat
     fresh = rows.join(chosen, ["program", "month", "source", "period"]).join(added.select("program", "month"), ["program", "month"], "left_semi")
     enrollment = store.load("enrollment", ENROLLMENT)
     new = [(r.program, r.month) for r in added.select("program", "month").collect()]  # a run's months: a handful
-    problems = store.spark.createDataFrame(problems.collect(), "url string, detail string")  # a run's documents, judged before the state moves
+    problems = cut(problems)  # judged before the state moves
     store.save("enrollment", enrollment.unionByName(fresh.select("program", "month", "county", "value")))
     store.save("month_total", after)
     return store.spark.createDataFrame(new, "program string, month string"), problems
@@ -87,14 +99,14 @@ def run(
     added, found = ingest(store, documents, dim)
     sightings = found.select(ledger.problem_key(F.col("url"), F.col("detail")).alias("key"), "detail", F.lit(today).alias("seen"))
     registry, fresh = ledger.note_problems(store.load("problems", PROBLEMS), sightings)
-    problems = [r.error for r in failed.select("error").collect()] + [r.detail for r in fresh.orderBy("key").collect()]
+    problems = told(failed, "error", ["url", "error"]) + told(cut(fresh), "detail", ["key"])
     store.save("problems", registry)
 
     first_run = not store.exists("fingerprints")
     old = store.load("fingerprints", PRINTS)
     new = links.fingerprint(pages.withColumn("page_id", F.col("page_id").cast("string")))
     gone = failed.select(F.col("page_id").cast("string").alias("page_id"))
-    alerts = [r.alert for r in links.alerts(None if first_run else old, new, gone).orderBy("page_id", "label").collect()]
+    alerts = told(cut(links.alerts(None if first_run else old, new, gone)), "alert", ["page_id", "label"])
     store.save("fingerprints", links.carry_forward(old, new, gone))
 
     new_months = sorted((r.program, r.month) for r in added.collect())
