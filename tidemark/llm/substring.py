@@ -7,7 +7,7 @@ very words, and streams them through backward search.  Hashes only bring segment
 from the index, word by word.
 
 Copies of a segment (equal in a 128-bit BLAKE2b digest of their words) go into the index twice, and what it finds
-for the first holds for all.  An anchor with very many different segments is split by the words that all windows of
+for the first holds for all; an anchor that has copies of one segment alone is not searched.  An anchor with very many different segments is split by the words that all windows of
 one block of places have in common, then by smaller blocks, until each part fits a shard.
 """
 
@@ -149,8 +149,9 @@ def _members(rows: DataFrame, width: int, run: int) -> DataFrame:
 
 
 def _with_texts(rows: DataFrame, listed: DataFrame) -> DataFrame:
-    """Rows with what is ``listed`` for them: (d1, d2, text, segments)."""
-    return rows.join(listed.hint("shuffle_hash"), ["d1", "d2"]).select("d1", "d2", "text", "segments")
+    """Rows with what is ``listed`` for them: (d1, d2, key, text, segments).  The key comes along so that the texts move
+    as they do in :func:`without_repeats`, and one exchange serves both."""
+    return rows.join(listed.hint("shuffle_hash"), ["d1", "d2"]).select("d1", "d2", "key", "text", "segments")
 
 
 def _split(rows: DataFrame, members: DataFrame, width: int, run: int, level: int) -> DataFrame:
@@ -165,7 +166,7 @@ def _split(rows: DataFrame, members: DataFrame, width: int, run: int, level: int
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list = []
-            for d1, d2, t, segments in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for d1, d2, t, segments in zip(*(batch.column(i) for i in (0, 1, 3, 4)), strict=True):
                 words, found = t.as_py().encode().split(), []
                 for s in segments.as_py():
                     for first in [s["first"], *np.frombuffer(s["more"] or b"", "<i4").tolist()]:
@@ -196,7 +197,7 @@ def _texts(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def slice_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list = []
-            for t, segments in zip(batch.column(2), batch.column(3), strict=True):
+            for t, segments in zip(batch.column(3), batch.column(4), strict=True):
                 words = t.as_py().encode().split()
                 out += [(s["anchor"], s["w1"], s["w2"], s["query"], b" ".join(words[s["first"] : s["last"] + width])) for s in segments.as_py()]
                 if len(out) > 5_000:
@@ -241,7 +242,7 @@ def _search(segments: DataFrame, width: int, shards: int) -> DataFrame:
     return segments.repartition(shards, "anchor").mapInArrow(search, "anchor long, w1 long, w2 long, found array<struct<a:int,b:int>>")
 
 
-def repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words: int = 1_500_000, crowd: int = 5000, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words: int = 1_500_000, crowd: int = 1000, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(rows, stretches): the documents as (d1, d2, key, text), and (d1, d2, first, more, found): what repeats in them, as
     stretches ``found`` of word numbers counted from ``first`` and from each place in ``more``.
 
@@ -256,17 +257,20 @@ def repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words: int = 1
     while True:
         classes = cut(found.groupBy(*of).agg(F.sum(times).alias("m"), F.min(place).alias("low"), F.max(place).alias("high")))
         twice = F.least("m", F.lit(2))
-        load = classes.groupBy("anchor").agg(F.sum("m").alias("n"), F.sum(twice).alias("c"))
+        load = classes.groupBy("anchor").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("g"), F.sum(twice).alias("c"))
         load = cut(load.where("n > 1"))
+        # Where all segments of an anchor are equal there is nothing to search for: each repeats the others whole.
+        whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("low.last") - F.col("low.first") + width).alias("b"))).alias("found")
+        alone = classes.join(load.where("g = 1").select("anchor"), "anchor").select(*of, whole)
         # Parts of one place hold equal windows alone: two segments, whatever their number.
         most = crowd if width - run + 1 > 1 << level else max(crowd, 2)
-        calm = classes.join(load.where(F.col("c") <= most).select("anchor"), "anchor")
+        calm = classes.join(load.where((F.col("g") > 1) & (F.col("c") <= most)).select("anchor"), "anchor")
         # The least of a class asks; a copy of its own stands beside it where the class has more than one.
         asks = F.array(F.struct(F.lit(True).alias("query"), F.col("low").alias("p")), F.struct(F.lit(False).alias("query"), F.col("high").alias("p")))
         wanted = calm.select(*of, F.explode(F.slice(asks, F.lit(1), twice.cast("int"))).alias("x")).select(*of, "x.query", "x.p.*")
-        words = classes.agg(F.sum((F.col("low.last") - F.col("low.first") + width) * twice)).first()[0] or 0
+        words = calm.agg(F.sum((F.col("low.last") - F.col("low.first") + width) * twice)).first()[0] or 0
         shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // shard_words))
-        hits = found.join(_search(_texts(rows, wanted, width), width, shards), of).select("d1", "d2", "first", "more", "found")
+        hits = found.join(_search(_texts(rows, wanted, width), width, shards).unionByName(alone), of).select("d1", "d2", "first", "more", "found")
         out = hits if out is None else out.unionByName(hits)
         busy = load.where(F.col("c") > most).select("anchor")
         if busy.isEmpty():
@@ -275,7 +279,7 @@ def repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words: int = 1
         found = cut(_split(rows, found.join(busy, "anchor"), width, run, level))
 
 
-def without_repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words: int = 1_500_000, crowd: int = 5000, text: str = "text", key: str = "doc_id", keep_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words: int = 1_500_000, crowd: int = 1000, text: str = "text", key: str = "doc_id", keep_text: bool = False) -> DataFrame:
     """``key, n_words, n_removed, kept_sha256`` (and ``kept`` if asked for): every text without the words of its
     repeated windows.
 
