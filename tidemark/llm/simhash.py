@@ -144,9 +144,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, crowd: i
     own = cut(fingerprints(docs, width, text, key))
     least = cut(own.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")))
     root = components(links(least.select("fp"), distance, crowd))
-    named = least.join(root, least["fp"] == root["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(ids, "root").select("fp", "n", "component_id")
+    named = cut(least.join(root, least["fp"] == root["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("c"))
+    of = join_hot(named, ids, "root", "c", named.count()).select("fp", "n", "component_id")
     return join_hot(own, of, "fp", "n", own.count()).select(key, "fp", "component_id")
 
 
