@@ -30,7 +30,8 @@ def targets(sizes: DataFrame, weights: Sequence[int], max_repeats: int) -> DataF
 
     All sizes are shared by weight; no target exceeds ``max_repeats`` times its source, and the excess is shared
     again by weight.  A source is full if, once every fuller one has stopped, its level of words a weight is reached.
-    The windows run over one row a source.
+    The windows run over one row a source: a corpus has sources by the thousand, and more than some millions are not
+    provided for.
     """
     w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.col("sid") - 1) % len(weights) + 1).cast("int"))
     ranked = sizes.withColumn("sid", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))).withColumn("w", w.cast("long"))
@@ -93,8 +94,8 @@ def mix(
     docs: DataFrame,
     weights: Sequence[int] = (5, 2, 1),
     max_repeats: int = 3,
-    bits: int = 16,
-    levels: int = 2,
+    bits: int = 12,
+    levels: int = 3,
     rounds: int = 3,
     broadcast_sources: int = 50_000,
     text: str = "text",
