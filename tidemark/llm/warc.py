@@ -30,12 +30,13 @@ RECORD = "page_id string, url string, payload_bytes long, payload_digest string,
 
 
 def train(pages: DataFrame, html: str, sample: int = 256, size: int = 16_384) -> bytes:
-    """A dictionary from at most ``sample`` pages, those of the least hashes, of which up to 16 KB each are looked at; empty
-    if they are too few.  It only serves compression."""
+    """A dictionary from at most ``sample`` pages, of which up to 16 KB each are looked at; empty if they are too few.
+
+    Any pages do, as the dictionary changes how small the records are and nothing that is read back from them.
+    """
     import zstandard
 
-    seen = pages.where(F.col(html).isNotNull()).select(F.xxhash64(html).alias("h"), F.substring(html, 1, 16_384).alias("x"))
-    rows = [r.x.encode() for r in seen.orderBy("h", "x").limit(sample).collect()]
+    rows = [r[0].encode() for r in pages.select(F.substring(html, 1, 16_384)).where(F.col(html).isNotNull()).limit(sample).collect()]
     try:
         return zstandard.train_dictionary(size, rows).as_bytes() if len(rows) > 16 else b""
     except zstandard.ZstdError:
