@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import shared, simhash
 from tidemark.llm.components import components
 from tidemark.llm.shared import FOLD
 
@@ -86,6 +86,13 @@ def test_long_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(300)}}
 
 
+def test_hubs_join_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(shared, "FEW_ROWS", 0)
+    links = [(1000, 1000 + i) for i in range(1, 300)] + [(3000, 3000 - i) for i in range(1, 300)] + [(1, 2), (2, 3)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in (1, 2, 3)}, **{1000 + i: 1000 for i in range(300)}, **{3000 - i: 2701 for i in range(300)}}
+
+
 def test_one_of_each_keeps_one_row_of_a_group(docs, corpus):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns

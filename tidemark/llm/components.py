@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, join_hot
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,19 +13,20 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Large and small stars in turn: every node links its larger neighbours, then its smaller ones, to the least node
     that it knows, until nothing changes.  Each round moves one row a link, and is cut so that lineage stays short.
-    Every step aggregates before it joins, so a node with very many links costs no more than its links do.
+    Every step aggregates before it joins, and nodes with very many links join by broadcast of their one row, so a hub's
+    links stay where they are.
     """
     now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    ends, seen = 2 * now.count(), None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("c"))
+        large = join_hot(both, least, "u", "c", ends).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        small = join_hot(large, least, "u", "c", ends).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = cut(small.select("e.*").where("u <> v").distinct())
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = state
+        ends, seen = 2 * state[0], state
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -16,6 +16,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
+#: Up to so many rows no task is large, whatever the keys.
+FEW_ROWS = 20_000
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, hot_share: int = 1000) -> DataFrame:
     """``left`` join ``right`` (left outer) on ``key``, where ``right`` has one row a key and ``weight``, the key's
     number of rows in ``left``.
@@ -23,6 +27,8 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
     Keys with more than ``total / hot_share`` rows go by broadcast: there can be no more than ``hot_share`` of them,
     as their weights sum to ``total`` at most.  All others are shuffled, and none of them is large.
     """
+    if total <= FEW_ROWS:
+        return left.join(right, key, "left")
     most = max(1, total // hot_share)
     hot = F.broadcast(right.where(F.col(weight) > most).withColumn("_hot", F.lit(True)))
     seen = left.join(hot.select(key, "_hot"), key, "left")

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import FOLD, cut, join_hot, unused
+from tidemark.llm.shared import FOLD, bounded, cut, join_hot, unused
 
 SEED = 42
 
@@ -110,27 +110,37 @@ def ball_links(fps: DataFrame, radius: int) -> DataFrame:
     flip = F.array(*[F.lit(_signed(x)) for x in flips])
     points = fps.select("fp", F.explode(flip).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return points.join(least.select("point", "least"), "point").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
+    return join_hot(points, least, "point", "n", len(flips) * fps.count()).where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def links(fps: DataFrame, distance: int = 4, crowd: int = 512, chosen: list[int] | None = None) -> DataFrame:
     """Distinct fingerprints to (a, b): enough links to connect all that lie within ``distance`` of each other.
 
     Values that up to ``crowd`` fingerprints share give each of their links once; fingerprints of more crowded
-    values are linked by :func:`ball_links`, which grows with their number and not with its square.
+    values are linked by :func:`ball_links`, which grows with their number and not with its square.  A value without a
+    bit is shared by those of two whole values, so counting whole values, a few a fingerprint, tells which may be crowded.
     """
     fps = cut(fps)
     chosen = chosen or masks(fps.count(), distance)
-    values = variants(fps, chosen).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("tag", "value"))).where("n > 1")
-    values = cut(values)
-    few = values.where(F.col("n") <= crowd).select("tag", "value", "fp")
+    whole = F.array(*[F.lit(_signed(m)) for m in chosen])
+    heavy = fps.select("fp", F.posexplode(whole).alias("i", "m")).groupBy("i", F.col("fp").bitwiseAND(F.col("m")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    heavy = cut(heavy.where(F.col("n") > crowd // 2))
+    values = variants(fps, chosen)
+    some = not heavy.isEmpty()
+    if some:
+        wild = [(i, m & ~(1 << b)) for i, m in enumerate(chosen) for b in range(64) if m >> b & 1]
+        tags = F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(i).alias("i"), F.lit(_signed(m)).alias("m")) for t, (i, m) in enumerate(wild)])
+        busy = heavy.select("i", "v", F.explode(tags).alias("t")).where("t.i = i").select("t.tag", F.col("v").bitwiseAND(F.col("t.m")).alias("value"))
+        busy = bounded(cut(busy.distinct()))
+        crowded = cut(values.join(busy, ["tag", "value"], "left_semi").select("fp").distinct())
+        values = values.join(busy, ["tag", "value"], "left_anti")
+    few = cut(values.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("tag", "value"))).where("n > 1").drop("n"))
     x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
     meet = (F.col("l.tag") == F.col("r.tag")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.fp") < F.col("r.fp"))
     found = few.alias("l").join(few.alias("r"), meet & (F.bit_count(x) <= distance) & first_tag(x, F.col("l.tag"), chosen))
     out = found.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
-    crowded = values.where(F.col("n") > crowd).select("fp").distinct()
-    if not crowded.isEmpty():
-        out = out.unionByName(ball_links(cut(crowded), (distance + 1) // 2).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
+    if some:
+        out = out.unionByName(ball_links(crowded, (distance + 1) // 2).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
     return out
 
 
