@@ -9,19 +9,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.ledger import first_write
+from tidemark.sources.scratch import cut
+
+#: A batch of up to so many keys goes to where the ledger's files are; a larger one is joined by a shuffle.
+BROADCAST_KEYS = 200_000
 
 
 def append_new(spark: SparkSession, path: str, schema: str, keys: Sequence[str], order: Sequence[str]):
     """A ``foreachBatch`` function that appends a batch's new keys to the table at ``path``.
 
-    A batch that is run again finds its keys in its own folder's place and replaces it, so it is applied once.
+    A batch that is run again finds its keys in its own folder's place and replaces it, so it is applied once.  The ledger
+    is read for its keys alone and, unless the batch is very large, not moved: of each file only keys of the batch are left.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         state = spark.read.schema(schema + ", batch bigint").option("basePath", path).parquet(path) if number else None
-        new = first_write(batch, keys, order)
+        new = cut(first_write(batch, keys, order))
         if state is not None:
-            new = new.join(state.where(F.col("batch") < number).select(*keys), list(keys), "left_anti")
+            asked = new.select(*keys)
+            asked = F.broadcast(asked) if asked.count() <= BROADCAST_KEYS else asked.hint("shuffle_hash")
+            known = state.where(F.col("batch") < number).select(*keys).join(asked, list(keys), "left_semi")
+            new = new.join(known, list(keys), "left_anti")
         new.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return apply
