@@ -123,5 +123,58 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN
 """
 
 
+#: CRC-32 of a number's decimal digits: its table, and the sum over the digits.
+CRC_TABLE = r"""crc AS (SELECT list(v ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i)))"""
+CRC = r"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"
+
+RUNS = rf"""
+WITH {CRC_TABLE},
+d0 AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, {CRC.format('doc_id')} AS h FROM documents, crc),
+d1 AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d0),
+d2 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM d1),
+d AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_concat(w[1:a], list_transform(range(a, n), lambda i: w[a + (i - a) % p + 1])) END AS w FROM d2),
+s AS (SELECT r, w, unnest(range(0, n - 5)) AS i FROM d WHERE n >= 6),
+g AS (SELECT r, i, array_to_string(w[i + 1:i + 6], ' ') AS g FROM s),
+m AS (SELECT y.r, y.i, y.i - x.i AS q FROM g x JOIN g y ON x.r = y.r AND x.g = y.g AND x.i < y.i),
+k AS (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM m),
+e AS (SELECT r, q, min(i) - q AS start, max(i) + 5 AS last FROM k GROUP BY r, q, island),
+runs AS (SELECT r, start, last - start + 1 AS length, min(q) AS period FROM e WHERE last - start + 1 >= greatest(12, 2 * q) GROUP BY r, start, last),
+top AS (SELECT r, count(*) AS n_runs, arg_min(start, (-length, start, period)) AS start, max(length) AS length, arg_min(period, (-length, start, period)) AS period,
+               string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+a AS (SELECT r, unnest(w) AS word, unnest(range(0, n)) AS i FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM a ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN top USING (r) LEFT JOIN kept USING (r)
+"""
+
+TRIE = rf"""
+WITH {CRC_TABLE},
+own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {CRC.format('conv_id')} % 9 AS h FROM (SELECT DISTINCT conv_id FROM own), crc),
+t AS (SELECT c.conv_id, 0 AS side, i, role, text FROM c JOIN own ON own.conv_id = c.conv_id - c.conv_id % 5 WHERE i <= h
+      UNION ALL SELECT conv_id, 1, i, role, text FROM c JOIN own USING (conv_id) WHERE i > h),
+p AS (SELECT conv_id, text, row_number() OVER w AS depth, string_agg(md5(role) || md5(text), '') OVER w AS node FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY side, i ROWS UNBOUNDED PRECEDING)),
+o AS (SELECT conv_id, 0 AS depth, '' AS node, '' AS text FROM c UNION ALL SELECT conv_id, depth, node, text FROM p),
+n AS (SELECT node, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * strlen(any_value(text)) AS saved, left(node, 64 * (any_value(depth) - 1)) AS up FROM o GROUP BY node),
+k AS (SELECT up AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY up),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node)),
+x AS (SELECT left(node, 64 * d) AS node, saved, n_children FROM (SELECT node, saved, n_children, unnest(range(0, depth + 1)) AS d FROM v)),
+y AS (SELECT node, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM x GROUP BY node),
+e AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends FROM (SELECT conv_id, arg_max(node, depth) AS node FROM o GROUP BY conv_id) GROUP BY node)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM v LEFT JOIN v u ON v.depth > 0 AND u.node = v.up JOIN y ON y.node = v.node LEFT JOIN e ON e.node = v.node
+"""
+
+EXACT = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t ORDER BY chars DESC, doc_id NULLS LAST, r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": MIX, "op3_decontam": DECONTAM, "op5_secrets": SECRETS, "op6_chat": CHAT, "op8_substring": SUBSTRING, "op9_warc": WARC}
+    return {"op2_mix": MIX, "op3_decontam": DECONTAM, "op5_secrets": SECRETS, "op6_chat": CHAT, "op8_substring": SUBSTRING, "op9_warc": WARC, "op11_runs": RUNS, "op12_trie": TRIE, "op13_exact_dedup": EXACT}

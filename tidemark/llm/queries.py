@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, media, mixing, quality, secret_scan, simhash, substring, tokencount, warc
+from tidemark.llm import chat, decontam, exact_dedup, media, mixing, periodic, prefix_trie, quality, secret_scan, simhash, substring, tokencount, warc
+from tidemark.llm.shared import WORD
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,5 +71,55 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth document by its id's checksum repeats a stretch of itself from some word on."""
+    h, (n, g) = F.crc32(F.col("doc_id").cast("string")), (F.col("n"), F.col("g"))
+    chosen = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"))
+    sized = chosen.withColumn("n", F.size("words")).withColumn("a", F.when(n > 0, (g % n).cast("int"))).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    rest = n - F.col("a")
+    period = F.slice("words", F.col("a") + 1, F.col("p"))
+    again = F.slice(F.flatten(F.array_repeat(period, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    return sized.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse(with_periods(_table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    top = found.withColumn("top", longest)
+    return top.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.start")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"),
+        F.expr("1000 * top.length div -top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
+def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, conversations): each conversation with the first turns of every fifth one in place of its own."""
+    plain = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    own = conversations.where("conv_id IS NOT NULL").select("conv_id", "turn", plain("role"), plain("text"))
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))).drop("turn")
+    head = F.crc32(F.col("conv_id").cast("string")) % 9
+    all_of = own.select("conv_id").distinct()
+    lent = all_of.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 5).alias("base")).join(own.withColumnRenamed("conv_id", "base"), "base").where(F.col("place") <= head)
+    kept = own.where(F.col("place") > head)
+    cols = ["conv_id", "side", "place", "role", "text"]
+    return lent.withColumn("side", F.lit(0)).select(cols).unionByName(kept.withColumn("side", F.lit(1)).select(cols)), all_of
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, all_of = rebuilt(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(turns, ["side", "place"], all_of)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_mix, op3_decontam, op4_token_counts, op5_secrets, op6_chat, op7_quality, op8_substring, op9_warc, op10_media)}
+    return {f.__name__: f for f in (op1_simhash, op2_mix, op3_decontam, op4_token_counts, op5_secrets, op6_chat, op7_quality, op8_substring, op9_warc, op10_media, op11_runs, op12_trie, op13_exact_dedup)}
