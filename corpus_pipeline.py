@@ -38,10 +38,15 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with how often and how many words that makes: ``size, source_size, target, copies,
-    taken``, with ``mix_`` before a name that the documents have themselves."""
+    taken``, with ``mix_`` before a name as often as the documents have it themselves."""
     mixed = mixing.mix(packed(docs, "doc_id", "source", "text"), keep=["doc"])
-    have = {c.lower() for c in docs.columns}
-    added = [F.col(c).alias(f"mix_{c}" if c in have else c) for c in ("size", "source_size", "target", "copies", "taken")]
+    have, added = {c.lower() for c in docs.columns}, []
+    for c in ("size", "source_size", "target", "copies", "taken"):
+        name = c
+        while name in have:
+            name = f"mix_{name}"
+        have.add(name)
+        added.append(F.col(c).alias(name))
     return mixed.where("copies > 0").select("doc.*", *added)
 
 

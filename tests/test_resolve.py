@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +61,84 @@ def test_upsert_touches_owned_columns_alone(spark):
     assert sorted(tuple(r) for r in resolve.upsert(sheet, new, "id", ["n"]).collect()) == [("a", 5, "mine"), ("b", 2, "mine"), ("c", 7, None)]
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
+
+
+def damaged(r, name, n):
+    for _ in range(n):
+        i = r.randrange(len(name) + 1)
+        name = r.choice([name[:i] + r.choice("abc") + name[i:], name[:i] + name[i + 1 :], name[:i] + r.choice("abc") + name[i + 1 :]])
+    return name
+
+
+@pytest.mark.parametrize("closeness", [1, 2, 3])
+def test_near_names_match_brute_force(spark, closeness):
+    r = random.Random(closeness)
+    stock = {"".join(r.choice("abc") for _ in range(r.choice([1, 2, 3, 4, 7, 12, 30]))) for _ in range(150)}
+    probes = {damaged(r, q, r.randint(0, closeness + 1)) for q in stock} - {""}
+    ids = {q: f"i{k}" for k, q in enumerate(sorted(stock))}
+    got = {x.p: (x.best.edits, x.best.id) for x in resolve.near_names(spark.createDataFrame([(p,) for p in probes], "p string"), spark.createDataFrame(list(ids.items()), "q string, id string"), closeness).collect()}
+    want = {p: min((edits(p, q), i) for q, i in ids.items()) for p in probes}
+    assert got == {p: x for p, x in want.items() if x[0] <= closeness}
+
+
+def test_cascade_with_repeated_and_null_ids(spark):
+    """Rows are told apart by themselves, not by their ids, and each comes out once."""
+    known = spark.createDataFrame([("c", "u1", "clinic", 1), ("c", "u1", "clinic", 0), (None, "u9", "lost clinic", 1), ("d", "", "", 1)], "id string, url string, name string, amount int")
+    found = spark.createDataFrame(
+        [("5", None, "clinix", 0), ("5", None, "zzzzzzzzzz", 0), (None, None, "clinix", 7), (None, None, None, 7), (None, "u9", "nowhere", 1), ("c", None, "c", 0), ("e", "", "!!", 1), ("5", None, "clinix", 0)],
+        "id string, url string, name string, amount int",
+    )
+    got = sorted(((r.id, r.name, r.matched_id, r.matched_by, r.status) for r in resolve.match_cascade(found, known, ["amount"]).collect()), key=str)
+    assert got == sorted(
+        [
+            ("5", "clinix", "c", "name", "unchanged"),
+            ("5", "clinix", "c", "name", "unchanged"),
+            ("5", "zzzzzzzzzz", None, None, "NEW"),
+            (None, "clinix", "c", "name", "UPDATE"),
+            (None, None, None, None, "NEW"),
+            (None, "nowhere", None, None, "NEW"),
+            ("c", "c", "c", "id", "unchanged"),
+            ("e", "!!", None, None, "NEW"),
+        ],
+        key=str,
+    )
+
+
+def test_cascade_takes_very_long_names(spark):
+    r = random.Random(1)
+    names = ["".join(r.choice("abcdefgh") for _ in range(n)) for n in (2000, 2000, 20_000)]
+    known = spark.createDataFrame([(str(i), None, x, 1) for i, x in enumerate(names)], "id string, url string, name string, amount int")
+    found = spark.createDataFrame([(f"n{i}", None, damaged(r, x, 2), 1) for i, x in enumerate(names)] + [("far", None, damaged(r, names[0], 9), 1)], "id string, url string, name string, amount int")
+    assert {x.id: x.matched_id for x in resolve.match_cascade(found, known, ["amount"]).collect()} == {"n0": "0", "n1": "1", "n2": "2", "far": None}
+
+
+def test_large_dimensions_are_met_by_three_letters(spark):
+    r = random.Random(3)
+    names = sorted({"".join(r.choice("abcde") for _ in range(r.randint(2, 9))) for _ in range(220)})
+    labels = sorted({"".join(c for c in x if r.random() < 0.8) for x in names} | {"abc", "eda", "zzz", "aabbc"})
+    dim = spark.createDataFrame([(x, x.upper()) for x in names], "norm string, name string")
+    got = {x.label: (x.name, x.how) for x in resolve.resolved_labels(spark.createDataFrame([(x,) for x in labels], "label string"), dim, dim_size=10_000_000).collect()}
+
+    def within(a, b):
+        rest = iter(b)
+        return all(x in rest for x in a)
+
+    for x in labels:
+        pre, sub = [n for n in names if n.startswith(x)], [n for n in names if within(x, n)]
+        want = (x.upper(), "exact") if x in names else (None, None)
+        if x not in names and len(x) >= 3:
+            want = (pre[0].upper(), "prefix") if len(pre) == 1 else (sub[0].upper(), "subsequence") if not pre and len(sub) == 1 else (None, None)
+        assert got[x] == want, x
+    assert {how for _, how in got.values()} == {None, "exact", "prefix", "subsequence"}
+
+
 @pytest.mark.parametrize("size", [10, 10_000_000])
 def test_dimension_size_changes_the_plan_not_the_result(spark, size):
     rows = spark.createDataFrame([("Pia",), ("Cook",)], "label string")

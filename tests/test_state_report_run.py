@@ -55,6 +55,7 @@ def test_run_reports_and_then_is_silent(spark, tmp_path):
     none = spark.createDataFrame([], "page_id string, url string, error string")
     docs = lambda *rows: spark.createDataFrame(list(rows), "url string, label string, text string")
     first = run(store, pages("A"), none, docs(_doc("July 2026", 100), _doc("August 2026", 90), ("https://x/b.pdf", "bad", "Health Choice Enrollment for June 2026\nCook 5\nTotal 500")), dim, "d1", "healthchoice", "2026-07")
+    assert first.figures == {"sections": 3, "accepted": 2, "refused": 1, "conflicts": 0, "unstated": 0, "rows": 205}
     assert first.subject == "Enrollment 2026-08: -10 MoM" and "1 declined, 0 gained, 101 flat, of 102" in first.text
     assert "Rows add up to 5, stated are 500" in first.text and "baseline; their changes" in first.text and "new: A" not in first.text
     again = run(store, pages("A"), none, docs(_doc("July 2026", 100), ("https://x/b.pdf", "bad", "Health Choice Enrollment for June 2026\nCook 5\nTotal 500")), dim, "d2", "healthchoice", "2026-07")

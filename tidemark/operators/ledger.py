@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,14 +20,20 @@ def first_write(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return rows.groupBy(*keys).agg(least).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
+def matching(rows: DataFrame, known: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``rows`` whose keys are (``left_semi``) or are not (``left_anti``) among the ``known`` ones; a null key is a key."""
+    seen = known.select(*[F.col(k).alias(f"_known{i}") for i, k in enumerate(keys)])
+    return rows.join(seen, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_known{i}")) for i, k in enumerate(keys)]), how)
+
+
 def insert_if_absent(state: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(state after, rows added): new keys by their first row; what is recorded stays as it is."""
-    added = first_write(new, keys, order).join(state.select(*keys), list(keys), "left_anti").select(*state.columns)
+    """(state after, rows added): new keys by their first row; what is recorded stays as it is, under a null key, too."""
+    added = matching(first_write(new, keys, order), state, keys, "left_anti").select(*state.columns)
     return state.unionByName(added), added
 
 
 def new_keys(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return after.select(*keys).distinct().join(before.select(*keys).distinct(), list(keys), "left_anti")
+    return matching(after.select(*keys).distinct(), before, keys, "left_anti")
 
 
 def problem_key(url: Column, detail: Column | None = None) -> Column:
@@ -36,21 +44,23 @@ def problem_key(url: Column, detail: Column | None = None) -> Column:
 def note_problems(registry: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(registry after, new ones) of (key, detail, first_seen, last_seen), from sightings (key, detail, seen).
 
-    A known problem keeps its detail and first date and gets the last one; only new keys are worth a report.
+    A known problem keeps its detail and first date and gets the last one, unless that is earlier; only new keys are
+    worth a report.  A null key is one problem.
     """
-    sighted = seen.groupBy("key").agg(F.min_by("detail", F.struct("seen", "detail")).alias("_detail"), F.min("seen").alias("_first"), F.max("seen").alias("_last"))
-    merged = registry.join(sighted, "key", "full_outer").select(
-        "key",
-        F.when(F.col("first_seen").isNull(), F.col("_detail")).otherwise(F.col("detail")).alias("detail"),
+    sighted = seen.groupBy(F.col("key").alias("_key")).agg(F.min_by("detail", F.struct("seen", "detail")).alias("_detail"), F.min("seen").alias("_first"), F.max("seen").alias("_last"))
+    known = registry.withColumn("_old", F.lit(True))
+    merged = known.join(sighted, F.col("key").eqNullSafe(F.col("_key")), "full_outer").select(
+        F.when(F.col("_old"), F.col("key")).otherwise(F.col("_key")).alias("key"),
+        F.when(F.col("_old"), F.col("detail")).otherwise(F.col("_detail")).alias("detail"),
         F.coalesce("first_seen", "_first").alias("first_seen"),
-        F.coalesce("_last", "last_seen").alias("last_seen"),
+        F.greatest("_last", "last_seen").alias("last_seen"),
     )
-    fresh = sighted.join(registry.select("key"), "key", "left_anti").select("key", F.col("_detail").alias("detail"), F.col("_first").alias("first_seen"), F.col("_last").alias("last_seen"))
-    return merged, fresh
+    new = sighted.select(F.col("_key").alias("key"), F.col("_detail").alias("detail"), F.col("_first").alias("first_seen"), F.col("_last").alias("last_seen"))
+    return merged, matching(new, registry, ["key"], "left_anti")
 
 
 def clear_problems(registry: DataFrame, solved: DataFrame) -> DataFrame:
-    return registry.join(solved.select("key").distinct(), "key", "left_anti")
+    return matching(registry, solved, ["key"], "left_anti")
 
 
 def keep_last(rows: DataFrame, n: int, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -62,11 +72,14 @@ def keep_last(rows: DataFrame, n: int, order: Sequence[str], by: Sequence[str] =
 
 
 def new_or_grown(old: DataFrame, new: DataFrame, key: str, count: str) -> DataFrame:
-    """Items that the old state lacks, or whose count has grown, with ``reason`` (new, grown) and the old count."""
-    before = old.select(key, F.col(count).alias("before"))
-    joined = new.join(before, key, "left")
-    reason = F.when(F.col("before").isNull(), "new").when(F.col(count) > F.col("before"), "grown")
-    return joined.withColumn("reason", reason).where("reason is not null")
+    """Items that the old state lacks, or whose count has grown, with ``reason`` (new, grown) and the old count.
+
+    A null key is one item.  An item that the old state has twice counts as its larger count; a null count is none.
+    """
+    before = old.groupBy(F.col(key).alias("_known")).agg(F.max(count).alias("before")).withColumn("_old", F.lit(True))
+    joined = new.join(before, F.col(key).eqNullSafe(F.col("_known")), "left")
+    reason = F.when(F.col("_old").isNull(), "new").when(F.coalesce(F.col(count), F.lit(0)) > F.coalesce("before", F.lit(0)), "grown")
+    return joined.withColumn("reason", reason).where("reason is not null").drop("_known", "_old")
 
 
 def capped(rows: DataFrame, n: int, order: Sequence[Column], out: str = "include_next_run") -> DataFrame:
@@ -92,12 +105,17 @@ def top_with_rest(rows: DataFrame, n: int, order: Sequence[Column], by: str) ->
 
 def apply_items(ledger: DataFrame, matched: DataFrame, today: Column, material: Sequence[str]) -> DataFrame:
     """The ledger after a run of matched items (``match_cascade``): new items enter, changed ones get their material
-    fields and date of update, all others stay; ``first_seen`` never changes."""
+    fields and date of update, all others stay; ``first_seen`` never changes.
+
+    Of several items that change one, and of new ones with the same id, the least in their material fields counts; a new
+    item enters once.  New items without an id stay out, as no later run could tell them.
+    """
     changed = matched.where("status = 'UPDATE'").groupBy(F.col("matched_id").alias("id")).agg(F.min(F.struct(*material)).alias("_new"))
     column = lambda c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in material else F.col(c)
     stamp = F.when(F.col("_new").isNotNull(), today).otherwise(F.col("last_updated")).alias("last_updated")
     kept = ledger.join(changed, "id", "left").select(*[stamp if c == "last_updated" else column(c) for c in ledger.columns])
-    fresh = matched.where("status = 'NEW'").withColumn("first_seen", today).withColumn("last_updated", today)
+    fresh = first_write(matched.where("status = 'NEW' and id is not null"), ["id"], [*material, *[c for c in ledger.columns if c in matched.columns and c not in (*material, "id")]])
+    fresh = fresh.withColumn("first_seen", today).withColumn("last_updated", today)
     have = [c for c in ledger.columns if c in fresh.columns]
     return kept.unionByName(fresh.select(*have), allowMissingColumns=True)
 

@@ -65,12 +65,6 @@ def alerts(old: DataFrame | None, new: DataFrame, failed: DataFrame | None = Non
     return added.select(key, "label", told)
 
 
-def latest_of(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """The last ``n`` rows of each group, newest first."""
-    by = W.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
-
-
 def discovery_audit(found: DataFrame, month: str = "month", url: str = "url", order: str = "pos") -> DataFrame:
     """(year, n_months, n_links, first_url) of dated links, each month by its first link; undated ones under a null year.
 

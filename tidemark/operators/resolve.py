@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from tidemark.functions.text import expand_ligatures, norm
 
 #: A dimension of up to so many names is broadcast; a larger one is joined by keys.
 SMALL_DIMENSION = 100_000
+#: Up to so many names, all that have a letter are tried for a label; more are met by three letters.
+SMALL_THETA = 2_000
 
 
 def _near(dim: DataFrame, size: int | None) -> DataFrame:
@@ -23,12 +26,36 @@ def canonical(rows: DataFrame, dim: DataFrame, label: str, out: str = "name", di
     return rows.withColumn("_norm", norm(F.col(label))).join(known, "_norm", "left").drop("_norm")
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letter_bits(word: Column) -> Column:
+    """A bit for each of the 26 letters that the word has, and one more for each that it has twice."""
+    times = lambda x: F.length(word) - F.length(F.replace(word, F.lit(x), F.lit("")))
+    bits = [F.when(times(x) >= t, F.lit(1 << (i + 26 * (t - 1)))).otherwise(F.lit(0)) for i, x in enumerate(LETTERS) for t in (1, 2)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits).cast("long")
+
+
+def _triples(word: Column) -> Column:
+    """Every three letters that the word has in this order, whatever stands between them."""
+    n, at = F.length(word), lambda i: F.substring(word, i, F.lit(1))
+    later = lambda i, left: F.when(i < n - left, F.sequence(i + 1, n - left)).otherwise(F.array().cast("array<int>"))
+    two = lambda i: F.flatten(F.transform(later(i, 1), lambda j: F.transform(later(j, 0), lambda k: F.concat(at(i), at(j), at(k)))))
+    return F.array_distinct(F.flatten(F.transform(later(F.lit(0), 2), two)))
+
+
 def resolved_labels(labels: DataFrame, dim: DataFrame, label: str = "label", dim_size: int | None = None) -> DataFrame:
     """Distinct labels with ``name`` and ``how`` (exact, prefix, subsequence; null if unresolved).
 
     Exact matches come first.  What is left, without ligatures and of three letters at least, is a prefix of exactly
-    one name, or, if of none, a subsequence of exactly one; anything ambiguous stays unresolved.  Candidates are
-    joined by a label's first letter, which its name must hold; only distinct unresolved labels are tried.
+    one name, or, if of none, a subsequence of exactly one; anything ambiguous stays unresolved.  Only distinct unresolved
+    labels are tried.
+
+    A name that holds a label as a subsequence has all of its letters, as often as the label has them, so a mask of letters
+    and doubled letters turns away most names before any pattern is tried.  A small dimension is broadcast and joined by
+    a label's first letter.  A larger one is listed under every three letters that a name has in order, and a label is
+    looked for under those of its own that the fewest names have: there are 26^3 such counts at most, and no common letter
+    brings names and labels together.
     """
     distinct = labels.select(F.col(label).alias(label)).where(F.col(label).isNotNull()).distinct()
     exact = canonical(distinct, dim, label, dim_size=dim_size)
@@ -37,11 +64,21 @@ def resolved_labels(labels: DataFrame, dim: DataFrame, label: str = "label", dim
     left = exact.where(F.col("name").isNull()).select(label, probe.alias("probe"))
     tried = left.where(F.length("probe") >= 3)
     pattern = F.array_join(F.split("probe", ""), ".*")
-    letters = F.explode(F.array_distinct(F.split("norm", "")))
-    names = _near(dim.select(F.col("norm").alias("long"), F.col("name").alias("candidate"), letters.alias("letter")), dim_size)
+    size = dim.count() if dim_size is None else dim_size
+    tried = tried.withColumn("asked", _letter_bits(F.col("probe")))
+    known = dim.select(F.col("norm").alias("long"), F.col("name").alias("candidate"), _letter_bits(F.col("norm")).alias("held"))
+    if size <= SMALL_THETA:
+        names = F.broadcast(known.withColumn("key", F.explode(F.array_distinct(F.split("long", "")))))
+        tried = tried.withColumn("key", F.substring("probe", 1, 1))
+    else:
+        names = known.withColumn("key", F.explode(_triples(F.col("long"))))
+        held = F.broadcast(names.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+        own = tried.select("probe").distinct().select("probe", F.explode(_triples(F.col("probe"))).alias("key")).join(held, "key", "left")
+        rarest = own.groupBy("probe").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("least"))
+        tried = tried.join(rarest.select("probe", F.col("least.key").alias("key")), "probe")
     # A prefix is a subsequence too, so one pass finds both; a probe holds letters alone, so its pattern is safe.
-    tried = tried.withColumn("letter", F.substring("probe", 1, 1))
-    hits = tried.join(names, "letter").where(F.regexp_like("long", pattern)).withColumn("is_prefix", F.col("long").startswith(F.col("probe")))
+    may = (F.length("long") >= F.length("probe")) & (F.col("held").bitwiseAND(F.col("asked")) == F.col("asked"))
+    hits = tried.join(names, "key").where(may).where(F.regexp_like("long", pattern)).withColumn("is_prefix", F.col("long").startswith(F.col("probe")))
     counted = hits.groupBy(label).agg(
         F.count_if("is_prefix").alias("prefixes"),
         F.min(F.when(F.col("is_prefix"), F.col("candidate"))).alias("prefix"),
@@ -64,13 +101,39 @@ def canonical_fuzzy(rows: DataFrame, dim: DataFrame, label: str, out: str = "nam
     return rows.join(found, label, "left")
 
 
-def _shortened(name: Column, n: int) -> Column:
-    """Hashes of a name with up to ``n`` of its characters left out, in every way."""
-    out = F.array(name)
-    for _ in range(n):
-        fewer = F.flatten(F.transform(out, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))))
-        out = F.array_distinct(F.concat(F.array(name), fewer))
-    return F.array_distinct(F.transform(out, lambda x: F.xxhash64(x)))
+def _piece(name: Column, length: Column, i: Column, n: int, shift: Column) -> Column:
+    """Piece ``i`` of ``n`` of a name of ``length``, taken ``shift`` characters further on."""
+    begin = F.floor(i * length / n)
+    return F.substring(name, (begin + shift + 1).cast("int"), (F.floor((i + 1) * length / n) - begin).cast("int"))
+
+
+def _fits(length: Column, found: Column, i: Column, n: int, shift: Column) -> Column:
+    return (F.floor(i * length / n) + shift >= 0) & (F.floor((i + 1) * length / n) + shift <= found)
+
+
+def near_names(probes: DataFrame, stock: DataFrame, closeness: int) -> DataFrame:
+    """(p, best): for each name ``p`` the least (edits, id) among the names ``q`` of ``stock`` within ``closeness`` edits.
+
+    A name is cut into ``closeness`` + 2 pieces of even length.  So many edits leave two pieces as they are, and move each
+    by no more characters than there are edits before it.  Every name of the stock is listed under each two of its pieces
+    and its length, and is looked for under what a probe has at those places, moved as far as edits allow.  Rows and bytes
+    are in proportion to a name's length, whatever the alphabet; names that meet are compared.  Both tables have a row for
+    each different name.
+    """
+    n, k = closeness + 2, closeness
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    moves = [(a + b + c, a, a + b) for a in range(-k, k + 1) for b in range(-k, k + 1) for c in range(-k, k + 1) if abs(a) + abs(b) + abs(c) <= k]
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(d).alias("d"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, j in pairs for d, x, y in moves])
+    i, j, none = F.col("at.i"), F.col("at.j"), F.lit(0)
+    size = F.length("q")
+    listed = stock.select("q", "id", F.explode(places).alias("at")).select("q", "id", F.xxhash64(size, i, j, _piece(F.col("q"), size, i, n, none), _piece(F.col("q"), size, j, n, none)).alias("under"))
+    long, x, y = F.length("p"), F.col("at.x"), F.col("at.y")
+    size = long - F.col("at.d")
+    sought = probes.select("p", F.explode(asked).alias("at")).where((size > 0) & _fits(size, long, i, n, x) & _fits(size, long, j, n, y))
+    sought = sought.select("p", F.xxhash64(size, i, j, _piece(F.col("p"), size, i, n, x), _piece(F.col("p"), size, j, n, y)).alias("under"))
+    met = sought.join(listed, "under").select("p", "q", "id").distinct()
+    return met.withColumn("edits", F.levenshtein("p", "q", k)).where("edits >= 0").groupBy("p").agg(F.min(F.struct("edits", "id")).alias("best"))
 
 
 def match_cascade(items: DataFrame, ledger: DataFrame, material: Sequence[str], closeness: int = 2, item_id: str = "id", url: str = "url", name: str = "name") -> DataFrame:
@@ -80,28 +143,28 @@ def match_cascade(items: DataFrame, ledger: DataFrame, material: Sequence[str],
     than letters and digits; a name within ``closeness`` edits of it, the nearest first.  Near-identical names are our
     choice of rule.  Of several, the least id is taken.
     A found item is an UPDATE if any material field differs, null being a value.
+
+    Every item comes out once.  Null ids, urls and names find nothing, nor do names without letters or digits; ledger rows
+    without an id are not found.  A ledger that has an id several times counts for it as the row least in its material
+    fields.  Names are compared once each, whatever their length and however many items have them.
     """
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
     item = items.withColumn("_plain", plain(F.col(name)))
-    known = ledger.withColumn("_plain", plain(F.col(name)))
+    known = ledger.where(F.col(item_id).isNotNull()).withColumn("_plain", plain(F.col(name)))
 
     def least(key: str, out: str) -> DataFrame:
-        return known.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(key)).agg(F.min(item_id).alias(out))
+        return known.where(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(F.col(key).alias(key)).agg(F.min(item_id).alias(out))
 
     ids = known.select(F.col(item_id)).distinct().withColumn("_by_id", F.col(item_id))
-    item = item.join(ids, item_id, "left").join(least(url, "_by_url"), url, "left").join(least("_plain", "_by_name"), "_plain", "left")
+    named = least("_plain", "_by_name")
+    item = item.join(ids, item_id, "left").join(least(url, "_by_url"), url, "left").join(named, "_plain", "left")
     open_ = item.where(F.coalesce("_by_id", "_by_url", "_by_name").isNull() & (F.length("_plain") > 0))
-    # Names within so many edits share what is left when up to as many of their characters are dropped.
-    probes = open_.select(item_id, F.col("_plain").alias("p"), F.explode(_shortened(F.col("_plain"), closeness)).alias("k"))
-    stock = known.where(F.length("_plain") > 0).groupBy(F.col("_plain").alias("q")).agg(F.min(item_id).alias("_near"))
-    stock = stock.select("q", "_near", F.explode(_shortened(F.col("q"), closeness)).alias("k"))
-    met = probes.join(stock, "k").where(F.levenshtein("p", "q", closeness) >= 0)
-    close = met.groupBy(item_id).agg(F.min(F.struct(F.levenshtein("p", "q"), "_near")).alias("_best"))
-    item = item.join(close.select(item_id, F.col("_best._near").alias("_by_near")), item_id, "left")
+    near = near_names(open_.select(F.col("_plain").alias("p")).distinct(), named.select(F.col("_plain").alias("q"), F.col("_by_name").alias("id")), closeness)
+    item = item.join(near.select(F.col("p").alias("_plain"), F.col("best.id").alias("_by_near")), "_plain", "left")
     matched = F.coalesce("_by_id", "_by_url", "_by_name", "_by_near")
     by = F.when(F.col("_by_id").isNotNull(), "id").when(F.col("_by_url").isNotNull(), "url").when(F.coalesce("_by_name", "_by_near").isNotNull(), "name")
     item = item.withColumn("matched_id", matched).withColumn("matched_by", by)
-    old = ledger.select(F.col(item_id).alias("matched_id"), F.struct(*material).alias("_old"))
+    old = known.groupBy(F.col(item_id).alias("matched_id")).agg(F.min(F.struct(*material)).alias("_old"))
     same = F.lit(True)
     for c in material:
         same = same & F.col(c).eqNullSafe(F.col(f"_old.{c}"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.functions.places import COUNTIES, DISPLAY
+from tidemark.plans.report import STYLE, WAYS
 
 _NAMES = "[" + ", ".join(f"'{c}'" for c in COUNTIES) + "]"
 
@@ -85,15 +86,118 @@ y AS (SELECT *, CASE WHEN county = first_county AND k % 3 = 0 THEN value + 1 ELS
 
 _HTML_CLEAN = r"""trim(regexp_replace(replace(replace(regexp_replace(replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[\x{200B}\x{00A0}]', ' ', 'g'), '&amp;', '&'), '&#0?39;|&apos;|&rsquo;', '''', 'g'), '&quot;', '"'), '&nbsp;', ' '), '\s+', ' ', 'g'))"""
 
-_CATALOG = """c(state, name, url, kind, terms, unverified) AS (VALUES
-  ('AA', 'First State', 'https://aa.example/news', 'news', '', false),
-  ('AA', 'First State', 'https://aa.example/grants', 'grants', 'rural health|award', false),
-  ('AA', 'First State', 'https://aa.example/board', 'minutes', '', true),
-  ('BB', 'Second State', 'https://bb.example/rfp', 'grants', '', false),
-  ('BB', 'Second State', 'https://bb.example/press', 'news', 'transformation', true))"""
+_CATALOG = """c AS (
+  SELECT n_name AS state, (SELECT string_agg(upper(w[1]) || lower(w[2:]), ' ' ORDER BY i) FROM (SELECT unnest(string_split(n_name, ' ')) AS w, unnest(range(len(string_split(n_name, ' ')))) AS i)) AS name,
+         'Agency ' || n_nationkey AS agency, 'https://x/' || s_suppkey AS url, ['news', 'grants', 'minutes'][(s_suppkey % 3 + 1)::INT] AS kind,
+         CASE WHEN s_suppkey % 4 = 0 THEN 'note ' || s_name END AS note, CASE WHEN s_suppkey % 2 = 0 THEN 'rural health|award ' || s_suppkey ELSE '' END AS terms,
+         s_suppkey % 5 = 0 AS unverified, CASE WHEN s_suppkey % 7 = 0 THEN (s_suppkey % 10)::BIGINT END AS tries
+  FROM nation JOIN supplier ON s_nationkey = n_nationkey)"""
+
+_REPORT = f"""{_LATEST}, {_TOTALS},
+f AS (SELECT l.program, l.month, a.total, a.total - coalesce(b.total, a.total) AS mom, c.month AS base, a.total - c.total AS base_change,
+             CASE WHEN c.total <> 0 THEN (a.total - c.total)::DOUBLE / c.total::DOUBLE * 100.0 ELSE 0.0 END AS base_pct
+      FROM last l JOIN t a USING (program, month) LEFT JOIN t b ON b.program = l.program AND b.month = l.prior LEFT JOIN t c ON c.program = l.program AND c.month = '1998-01'),
+k AS (SELECT program, count(*) FILTER (change < 0) || ' declined, ' || count(*) FILTER (change > 0) || ' gained, ' || count(*) FILTER (change = 0) || ' flat, of ' || count(*) AS counts FROM r GROUP BY program),
+v AS (SELECT program, 1 AS ord, 'Data month' AS name, month AS value, 0 AS way FROM f
+      UNION ALL SELECT program, 2, 'Total enrollment', format('{{:,}}', total), 0 FROM f
+      UNION ALL SELECT program, 3, 'Change vs prior month', CASE WHEN mom < 0 THEN '' ELSE '+' END || format('{{:,}}', mom), sign(mom) FROM f
+      UNION ALL SELECT program, 4, 'Change vs ' || base || ' baseline', CASE WHEN base_change < 0 THEN '' ELSE '+' END || format('{{:,}}', base_change) || ' (' || printf('%+.1f%%', base_pct) || ')', sign(base_change) FROM f WHERE base IS NOT NULL
+      UNION ALL SELECT program, 5, 'Counties', counts, 0 FROM k),
+s AS (SELECT program, county, change, pct, format('{{:,}}', "then") AS before, format('{{:,}}', now) AS now, CASE WHEN change < 0 THEN '' ELSE '+' END || format('{{:,}}', change) AS moved, printf('%+.1f%%', pct) AS p FROM r),
+down AS (SELECT *, row_number() OVER (PARTITION BY program ORDER BY change, pct, county) AS rank FROM s WHERE change < 0 QUALIFY rank <= 15),
+up AS (SELECT *, row_number() OVER (PARTITION BY program ORDER BY change DESC, pct, county) AS rank FROM s WHERE change > 0 QUALIFY rank <= 5)"""
+_ABOUT = "A monthly reading of enrollment by county, showing where it declines."
+_CAVEAT = "Figures cover the tracked program alone; they are a trend, not a headcount."
+
+
+def _fit(x: str, width: int, left: bool = False) -> str:
+    return f"CASE WHEN length({x}) >= {width} THEN {x} ELSE {'rpad' if left else 'lpad'}({x}, {width}, ' ') END"
+
+
+def _text_row(*cells: tuple[str, int]) -> str:
+    return "'  ' || " + " || ' ' || ".join(_fit(x, w, i == 0) for i, (x, w) in enumerate(cells))
+
+
+_REPORT_TEXT = f"""{_REPORT},
+lines AS (
+  SELECT program, 0 AS part, 0 AS ord, 'Enrollment change report' AS line FROM f
+  UNION ALL SELECT program, 1, 0, '{_ABOUT}' FROM f UNION ALL SELECT program, 5, 0, '{_CAVEAT}' FROM f
+  UNION ALL SELECT program, 2, ord, name || ': ' || value FROM v
+  UNION ALL SELECT DISTINCT program, 3, -2, 'Where enrollment fell most' FROM down UNION ALL SELECT DISTINCT program, 4, -2, 'Where enrollment rose most' FROM up
+  UNION ALL SELECT DISTINCT program, 3, -1, {_text_row(("'County'", 14), ("'Prior'", 9), ("'Now'", 9), ("'Change'", 8), ("'%'", 8))} FROM down
+  UNION ALL SELECT DISTINCT program, 4, -1, {_text_row(("'County'", 14), ("'Change'", 8), ("'%'", 8))} FROM up
+  UNION ALL SELECT program, 3, rank, {_text_row(("county", 14), ("before", 9), ("now", 9), ("moved", 8), ("p", 8))} FROM down
+  UNION ALL SELECT program, 4, rank, {_text_row(("county", 14), ("moved", 8), ("p", 8))} FROM up),
+parts AS (SELECT program, part, string_agg(line, chr(10) ORDER BY ord) AS text FROM lines GROUP BY program, part)
+SELECT program, string_agg(text, chr(10) || chr(10) ORDER BY part) AS body FROM parts GROUP BY program"""
+
+
+def _html_row(tag: str, cells: list[str], coloured: bool) -> str:
+    style = lambda i: STYLE["number" if i else "name"]
+    colour = f" || CASE WHEN change < 0 THEN '; color: {WAYS[-1]}' WHEN change > 0 THEN '; color: {WAYS[1]}' ELSE '' END || "
+    cell = lambda i, x: f"'<{tag} style=\"{style(i)}'" + (colour if coloured and i > len(cells) - 3 else " || ") + f"'\">' || {x} || '</{tag}>'"
+    return "'<tr>' || " + " || ".join(cell(i, x) for i, x in enumerate(cells)) + " || '</tr>'"
+
+
+_REPORT_HTML = f"""{_REPORT},
+lines AS (
+  SELECT program, -1 AS part, 0 AS ord, '<main style="{STYLE["page"]}">' AS line FROM f
+  UNION ALL SELECT program, 0, 0, '<h1 style="{STYLE["heading"]}">Enrollment change report</h1>' FROM f
+  UNION ALL SELECT program, 1, 0, '<p>{_ABOUT}</p>' FROM f UNION ALL SELECT program, 5, 0, '<p>{_CAVEAT}</p>' FROM f
+  UNION ALL SELECT program, 2, -1, '<table>' FROM f UNION ALL SELECT program, 2, 99, '</table>' FROM f
+  UNION ALL SELECT program, 2, ord, '<tr><th style="{STYLE["name"]}">' || name || '</th><td' || CASE WHEN way < 0 THEN ' style="color: {WAYS[-1]}"' WHEN way > 0 THEN ' style="color: {WAYS[1]}"' ELSE '' END || '>' || value || '</td></tr>' FROM v
+  UNION ALL SELECT DISTINCT program, 3, -3, '<table>' FROM down UNION ALL SELECT DISTINCT program, 3, 99, '</table>' FROM down
+  UNION ALL SELECT DISTINCT program, 4, -3, '<table>' FROM up UNION ALL SELECT DISTINCT program, 4, 99, '</table>' FROM up
+  UNION ALL SELECT DISTINCT program, 3, -2, '<caption style="{STYLE["caption"]}">Where enrollment fell most</caption>' FROM down
+  UNION ALL SELECT DISTINCT program, 4, -2, '<caption style="{STYLE["caption"]}">Where enrollment rose most</caption>' FROM up
+  UNION ALL SELECT DISTINCT program, 3, -1, {_html_row("th", ["'County'", "'Prior'", "'Now'", "'Change'", "'%'"], False)} FROM down
+  UNION ALL SELECT DISTINCT program, 4, -1, {_html_row("th", ["'County'", "'Change'", "'%'"], False)} FROM up
+  UNION ALL SELECT program, 3, rank, {_html_row("td", ["county", "before", "now", "moved", "p"], True)} FROM down
+  UNION ALL SELECT program, 4, rank, {_html_row("td", ["county", "moved", "p"], True)} FROM up
+  UNION ALL SELECT program, 7, 0, '</main>' || chr(10) FROM f)
+SELECT program, string_agg(line, chr(10) ORDER BY part, ord) AS body FROM lines GROUP BY program"""
+
+_TICKS = "least(CASE WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 2 END + CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END, 2)"
 
 ORACLES = {
     "explode_catalog": f"WITH {_CATALOG} SELECT * FROM c",
+    "report_text": _REPORT_TEXT,
+    "report_html": _REPORT_HTML,
+    "event_properties": """SELECT event_id, key, value::BIGINT AS value, 'number' AS kind FROM (
+        SELECT event_id, unnest(json_keys(props)) AS key, json_extract(props, '$.' || unnest(json_keys(props))) AS value FROM events)""",
+    "stream_state_ledger": f"""SELECT user_id, day, event_id FROM (SELECT CASE WHEN user_id % 11 > 0 THEN user_id END AS user_id, strftime(ts, '%Y-%m-%d') AS day, ts, event_id, {_TICKS} AS tick FROM events)
+        QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY tick, ts, event_id) = 1""",
+    "stream_problem_registry": f"""WITH {_SEEN},
+        b AS (SELECT key, CASE WHEN substr(seen, 9, 2)::INT <= 10 THEN 0 WHEN substr(seen, 9, 2)::INT <= 20 THEN 1 ELSE 2 END AS tick, min(seen) AS a, max(seen) AS z, arg_min(detail, (seen, detail)) AS detail FROM s GROUP BY ALL),
+        c AS (SELECT *, coalesce((a::DATE - max(z) OVER (PARTITION BY key ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::DATE) >= 4, true) AS fresh FROM b),
+        g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY key ORDER BY tick) AS spell FROM c),
+        h AS (SELECT key, spell, arg_min(detail, tick) AS detail, min(a) AS first_seen, max(z) AS last_seen FROM g GROUP BY key, spell)
+        SELECT key, detail, first_seen, last_seen FROM h QUALIFY row_number() OVER (PARTITION BY key ORDER BY spell DESC) = 1""",
+    "null_key_ledger": f"""WITH {_DAILY}, n AS (SELECT CASE WHEN user_id % 3 > 0 THEN user_id END AS user_id, event_type, ts, event_id FROM d)
+        SELECT user_id, event_type, event_id FROM n QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1""",
+    "match_repeated_ids": f"""WITH {_ITEMS}, q AS (SELECT row_number() OVER () AS r, CASE WHEN k % 3 > 0 THEN 'Q' || k // 10 END AS id, url, name, amount, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS plain FROM i),
+        w AS (SELECT id, url, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS plain, amount - CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS amount FROM b),
+        y AS (SELECT q.*, (SELECT min(w.id) FROM w WHERE w.url = q.url) AS by_url, (SELECT min(w.id) FROM w WHERE w.plain = q.plain) AS by_name FROM q),
+        e AS (SELECT y.r, arg_min(w.id, (levenshtein(y.plain, w.plain), w.id)) AS by_near FROM y JOIN w ON levenshtein(y.plain, w.plain) <= 2 GROUP BY y.r),
+        z AS (SELECT y.*, coalesce(by_url, by_name, by_near) AS matched_id FROM y LEFT JOIN e USING (r))
+        SELECT z.id, name, matched_id, CASE WHEN matched_id IS NULL THEN NULL WHEN by_url IS NOT NULL THEN 'url' ELSE 'name' END AS matched_by,
+               CASE WHEN matched_id IS NULL THEN 'NEW' WHEN z.amount = w.amount THEN 'unchanged' ELSE 'UPDATE' END AS status FROM z LEFT JOIN w ON w.id = matched_id""",
+    "fuzzy_large_dimension": r"""WITH t AS (SELECT DISTINCT p_type AS name, regexp_replace(lower(p_type), '[^a-z]', '', 'g') AS norm FROM part),
+        l AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN regexp_replace(p_type, '[AEIOU]', '', 'g') WHEN 1 THEN left(p_type, length(p_type) - 3)
+                WHEN 2 THEN regexp_replace(p_type, '[A-Z]( |$)', ' ', 'g') ELSE regexp_replace(p_type, '^[A-Z]', 'Q') END AS label FROM part),
+        u AS (SELECT label, regexp_replace(lower(label), '[^a-z]', '', 'g') AS probe FROM l),
+        e AS (SELECT label, name FROM u JOIN t ON t.norm = u.probe),
+        h AS (SELECT label, t.name, starts_with(t.norm, probe) AS pre FROM u, t WHERE label NOT IN (SELECT label FROM e) AND length(probe) >= 3 AND regexp_matches(t.norm, array_to_string(string_split(probe, ''), '.*'))),
+        g AS (SELECT label, count(*) FILTER (pre) AS np, min(name) FILTER (pre) AS pn, count(*) AS ns, min(name) AS sn FROM h GROUP BY label),
+        z AS (SELECT label, name, 'exact' AS how FROM e
+              UNION ALL SELECT label, CASE WHEN np = 1 THEN pn ELSE sn END, CASE WHEN np = 1 THEN 'prefix' ELSE 'subsequence' END FROM g WHERE np = 1 OR (np = 0 AND ns = 1))
+        SELECT u.label, z.name, how FROM u LEFT JOIN z USING (label)""",
+    "sections_cross_check": f"WITH {_DOCS} SELECT doc_id, count(*) AS n_rows, max((k % 3 = 0)::BIGINT) AS n_conflicts, 0::BIGINT AS n_differ FROM y GROUP BY doc_id",
+    "landed_listing": """WITH p AS (SELECT (page_id // 5)::INT AS page, page_id::VARCHAR AS source_id, md5(html) AS seen FROM pages WHERE page_id // 5 <> 12)
+        SELECT * FROM p WHERE page >= 2 AND page < least(40, (SELECT min(i) FROM range((SELECT count(*) + 1 FROM p)) r(i) WHERE i NOT IN (SELECT page FROM p)))""",
+    "document_folder": "SELECT (doc_id % 2)::INT AS batch, doc_id, md5(coalesce(text, '')) AS seen FROM documents",
+    "observed_gate": f"""WITH {_SECTIONS} SELECT count(*) AS sections, count(*) FILTER (NOT bad) AS accepted, count(*) FILTER (bad) AS refused, count(*) FILTER (len(conflicts) > 0) AS conflicts,
+        count(*) FILTER (total IS NULL) AS unstated, sum(n)::BIGINT AS n_rows FROM (SELECT *, len(conflicts) > 0 OR n = 0 OR off AS bad FROM q)""",
     "sources_by_kind": f"WITH {_CATALOG} SELECT kind, count(*) AS n, count(*) FILTER (unverified) AS n_unverified FROM c GROUP BY kind",
     "mom_rank": f"WITH {_PANEL}, {_RANKED.format(months='m')} SELECT * FROM r",
     "mom_latest_decline_top15": f"{_LATEST} SELECT *, row_number() OVER (PARTITION BY program ORDER BY change, pct, county)::INT AS rank FROM r WHERE change < 0 QUALIFY rank <= 15",

@@ -8,7 +8,6 @@ the mail threads.
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +15,14 @@ from pyspark.sql import functions as F
 from tidemark.functions import periods
 from tidemark.functions import text as tx
 from tidemark.functions.places import COUNTIES, dimension, display
-from tidemark.operators import filings, ledger, links, panel, resolve, sections, validate
-from tidemark.plans.report import Figures, page, subject, text
+from tidemark.operators import filings, ledger, links, observed, panel, resolve, sections, validate
+from tidemark.plans import report_tables
+from tidemark.plans.report import Figures, subject
 from tidemark.plans.weekly import wanted_links
-from tidemark.sources import landing
+from tidemark.sources import landing, paged
 from tidemark.sources.scratch import cut, new_folder
 from tidemark.sources.state import StateStore, json_lines
+from tidemark.streaming import keyed_state
 from tidemark.streaming.ledger_stream import run_ledger
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -813,15 +814,42 @@ def unread_summary(spark, d):
 # --- catalog, reports, streams, similarity
 
 
-def _catalog_path() -> str:
-    return (Path(__file__).parent / "catalog.json").resolve().as_uri()
+def _catalogs(spark: SparkSession, d: str) -> DataFrame:
+    """A catalog for each region, as JSON: its nations are the states, their suppliers the sources.  Fields are left out
+    where a source has none, and one in seven suppliers of a region has a field that no schema foresaw."""
+    k = F.col("s_suppkey")
+    when = lambda test, x: F.when(test, x)
+    source = F.struct(
+        F.concat(F.lit("https://x/"), k.cast("string")).alias("url"),
+        F.get(F.array(F.lit("news"), F.lit("grants"), F.lit("minutes")), (k % 3).cast("int")).alias("kind"),
+        when(k % 4 == 0, F.concat(F.lit("note "), F.col("s_name"))).alias("note"),
+        when(k % 2 == 0, F.array(F.lit("rural health"), F.concat(F.lit("award "), k.cast("string")))).alias("search_terms"),
+        when(k % 5 == 0, F.lit(True)).alias("unverified"),
+        when(k % 7 == 0, F.struct(F.lit("phone").alias("by"), (k % 10).alias("tries"))).alias("contact"),
+    )
+    sources = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.collect_list(source).alias("sources"))
+    states = table(spark, d, "nation").join(sources, "n_nationkey", "left")
+    state = F.struct(F.initcap("n_name").alias("name"), F.concat(F.lit("Agency "), F.col("n_nationkey").cast("string")).alias("agency"), "sources")
+    named = F.map_from_entries(F.collect_list(F.struct("n_name", state)))
+    return states.groupBy("n_regionkey").agg(F.to_json(F.struct(named.alias("states"))).alias("body"))
 
 
 @query
 def explode_catalog(spark, d):
-    """The catalog that comes with the package: configuration, not a table of ``d``."""
-    rows = landing.catalog(spark, _catalog_path())
-    return rows.select("state", "name", "url", "kind", F.array_join(F.coalesce("search_terms", F.array().cast("array<string>")), "|").alias("terms"), "unverified")
+    """A row for each source of nested catalogs, read without a schema."""
+    rows = landing.catalog(_catalogs(spark, d))
+    terms = F.array_join(F.coalesce("search_terms", F.array().cast("array<string>")), "|")
+    tries = F.try_variant_get("more", "$.contact.tries", "bigint").alias("tries")
+    return rows.select("state", "name", "agency", "url", "kind", "note", terms.alias("terms"), "unverified", tries)
+
+
+@query
+def event_properties(spark, d):
+    """What events tell in their free JSON: a row for each property, with its type."""
+    rows = table(spark, d, "events").select("event_id", F.try_parse_json("props").alias("v"))
+    found = landing.variant_rows(rows, F.col("v"), "$", "event_id")
+    kind = F.when(F.schema_of_variant("item") == "BIGINT", "number").otherwise("other")
+    return found.select("event_id", "key", F.try_variant_get("item", "$", "bigint").alias("value"), kind.alias("kind"))
 
 
 @query
@@ -829,7 +857,7 @@ def sources_by_kind(spark, d):
     return explode_catalog(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("unverified").alias("n_unverified"))
 
 
-def _figures(spark: SparkSession, d: str) -> Figures:
+def _program_figures(spark: SparkSession, d: str) -> Figures:
     """One program's latest month: at most as many rows as there are places."""
     p = cut(orders_panel(spark, d).where("program = 'BUILDING'"))
     last = panel.latest(p)
@@ -842,17 +870,18 @@ def _figures(spark: SparkSession, d: str) -> Figures:
 
 @query
 def subject_line(spark, d):
-    return spark.createDataFrame([(subject(_figures(spark, d)),)], "subject string")
+    return spark.createDataFrame([(subject(_program_figures(spark, d)),)], "subject string")
 
 
 @query
 def report_text(spark, d):
-    return spark.createDataFrame(list(enumerate(text(_figures(spark, d)).split("\n"))), "line_no int, line string")
+    """Every program's report of its latest month, in one job."""
+    return report_tables.text_bodies(*report_tables.figures(cut(orders_panel(spark, d)), "1998-01"))
 
 
 @query
 def report_html(spark, d):
-    return spark.createDataFrame(list(enumerate(page(_figures(spark, d)).split("\n"))), "line_no int, line string")
+    return report_tables.html_bodies(*report_tables.figures(cut(orders_panel(spark, d)), "1998-01"))
 
 
 @query
@@ -867,6 +896,119 @@ def stream_append_ledger(spark, d):
     return spark.read.schema(schema + ", batch bigint").parquet(f"{at}/ledger").select("user_id", "day", "event_id")
 
 
+def _deliveries(rows: DataFrame) -> list[DataFrame]:
+    """Rows in three deliveries, by ``tick``."""
+    return [rows.where(F.col("tick") == k).drop("tick") for k in range(3)]
+
+
+def _tick() -> Column:
+    """The third of January that an event falls in; every seventeenth event is delivered one late."""
+    day = F.dayofmonth("ts")
+    return F.least(F.when(day <= 10, 0).when(day <= 20, 1).otherwise(2) + F.when(F.col("event_id") % 17 == 0, 1).otherwise(0), F.lit(2))
+
+
+@query
+def stream_state_ledger(spark, d):
+    """Events in three deliveries, some of them late, each taken in by a stream that goes on from the one before: the first
+    that is delivered of a user's day enters, and stays, under a null user, too."""
+    at = new_folder(spark, "ticks")
+    user = F.when(F.col("user_id") % 11 > 0, F.col("user_id")).alias("user_id")
+    rows = table(spark, d, "events").select(user, F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("ts").cast("timestamp").alias("ts"), "event_id", _tick().alias("tick"))
+    schema = "user_id bigint, day string, ts timestamp, event_id bigint"
+    for part in _deliveries(rows):
+        part.write.mode("append").parquet(f"{at}/landed")
+        stream = spark.readStream.schema(schema).parquet(f"{at}/landed")
+        keyed_state.run_items(stream, f"{at}/out", f"{at}/state", ["user_id", "day"], ["ts", "event_id"]).awaitTermination()
+    return keyed_state.in_force(spark, f"{at}/out", ["user_id", "day"]).select("user_id", "day", "event_id")
+
+
+@query
+def stream_problem_registry(spark, d):
+    """Sightings in three deliveries: a problem that was not seen for four days is over, and is new when it comes again."""
+    at = new_folder(spark, "ticks")
+    key = F.concat(F.col("user_id").cast("string"), F.lit("|"), F.col("event_type")).alias("key")
+    detail = F.concat(F.lit("value "), F.col("value").cast("decimal(18,2)").cast("string")).alias("detail")
+    day = F.dayofmonth("ts")
+    rows = table(spark, d, "events").select(key, detail, F.date_trunc("day", F.col("ts").cast("timestamp")).alias("seen"), F.when(day <= 10, 0).when(day <= 20, 1).otherwise(2).alias("tick"))
+    for part in _deliveries(rows):
+        part.write.mode("append").parquet(f"{at}/landed")
+        stream = spark.readStream.schema("key string, detail string, seen timestamp").parquet(f"{at}/landed")
+        keyed_state.run_problems(stream, f"{at}/out", f"{at}/state", quiet_days=4).awaitTermination()
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return keyed_state.in_force(spark, f"{at}/out", ["key"]).select("key", "detail", day("first_seen"), day("last_seen"))
+
+
+@query
+def null_key_ledger(spark, d):
+    """Rows without a user are one key: its first row stays."""
+    rows = _daily(spark, d).withColumn("user_id", F.when(F.col("user_id") % 3 > 0, F.col("user_id")))
+    state = ledger.first_write(rows.where("day < '2024-01-10'"), ["user_id", "event_type"], ["ts", "event_id"])
+    return ledger.insert_if_absent(state, rows.where("day >= '2024-01-10'"), ["user_id", "event_type"], ["ts", "event_id"])[0].select("user_id", "event_type", "event_id")
+
+
+@query
+def match_repeated_ids(spark, d):
+    """Found items of which ten share an id and every third has none, against a ledger that has rows twice."""
+    found, known = _items(spark, d)
+    number = F.regexp_extract("id", "([0-9]+)", 1).cast("long")
+    found = found.withColumn("id", F.when(number % 3 > 0, F.concat(F.lit("Q"), F.floor(number / 10).cast("string"))))
+    twice = known.unionByName(known.where(F.regexp_extract("id", "([0-9]+)", 1).cast("long") % 2 == 0).withColumn("amount", F.col("amount") - 1))
+    return resolve.match_cascade(found, twice, ["amount"]).select("id", "name", "matched_id", "matched_by", "status")
+
+
+@query
+def fuzzy_large_dimension(spark, d):
+    """Damaged part types against all types, met by three letters as a dimension of any size is."""
+    types = table(spark, d, "part").select("p_type").distinct()
+    dim = types.select(tx.norm(F.col("p_type")).alias("norm"), F.col("p_type").alias("name"))
+    k = F.pmod("p_partkey", F.lit(4))
+    short = F.when(k == 0, F.regexp_replace("p_type", "[AEIOU]", "")).when(k == 1, F.expr("left(p_type, length(p_type) - 3)")).when(k == 2, F.regexp_replace("p_type", "[A-Z]( |$)", " ")).otherwise(F.regexp_replace("p_type", "^[A-Z]", "Q"))
+    return resolve.resolved_labels(table(spark, d, "part").select(short.alias("label")), dim, dim_size=resolve.SMALL_DIMENSION + 1)
+
+
+@query
+def sections_cross_check(spark, d):
+    """Damaged texts by the windows and by a walk over each: rows and conflicts, and how many of them differ."""
+    docs = _documents(spark, d, True)
+    parts = ["doc_id", "part", "program", "period", "county", "value", "pos"]
+    windows = sections.as_one(sections.parse(docs, dimension(spark))).withColumn("side", F.lit(1))
+    walk = sections.walked(docs, dimension(spark)).withColumn("side", F.lit(-1))
+    both = windows.unionByName(walk.select(*parts, "side")).groupBy(*parts).agg(F.sum("side").alias("off"), F.count_if(F.col("side") == 1).alias("n"))
+    of = lambda part: F.sum(F.when(F.col("part") == part, F.col("n")).otherwise(0))
+    return both.groupBy("doc_id").agg(of("row").alias("n_rows"), of("conflict").alias("n_conflicts"), F.count_if(F.col("off") != 0).alias("n_differ"))
+
+
+@query
+def landed_listing(spark, d):
+    """Pages as a landed listing of five rows a page, page 12 of it missing, read from page 2 on."""
+    at = new_folder(spark, "listing")
+    rows = table(spark, d, "pages").select(F.floor(F.col("page_id") / 5).cast("int").alias("page"), F.col("page_id").cast("string").alias("source_id"), "url", "html")
+    rows.where("page <> 12").write.partitionBy("page").parquet(at)
+    return paged.listing(spark, at, limit=40, pages_per_task=4).where("page >= 2").select("page", "source_id", F.md5("html").alias("seen"))
+
+
+@query
+def document_folder(spark, d):
+    """Documents in files that land in two deliveries; the second call reads the new files alone, and a third none."""
+    at = new_folder(spark, "folder")
+    rows = table(spark, d, "documents").select("doc_id", F.to_json(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))).alias("value"))
+    for delivery in (rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), None):
+        if delivery is not None:
+            delivery.select("value").write.mode("append").text(f"{at}/files")
+        landing.read_new_documents(spark, f"{at}/files", lambda content: content.decode(), f"{at}/read", f"{at}/seen", glob="*.txt").awaitTermination()
+    lines = spark.read.parquet(f"{at}/read").where("error is null").select("batch", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    told = F.from_json("line", "doc_id bigint, text string")
+    return lines.select("batch", told.alias("x")).select(F.col("batch").cast("int").alias("batch"), "x.doc_id", F.md5("x.text").alias("seen"))
+
+
+@query
+def observed_gate(spark, d):
+    """The gate over orders as sections; its figures are taken while the accepted ones are written."""
+    judged, figures = observed.of_gate(validate.gate(_order_sections(spark, d)))
+    judged.where("accepted").select("o_orderkey", "n", "found").write.parquet(new_folder(spark, "accepted"))
+    return spark.createDataFrame([tuple(figures.get[c] for c in ("sections", "accepted", "refused", "conflicts", "unstated", "rows"))], "sections bigint, accepted bigint, refused bigint, conflicts bigint, unstated bigint, n_rows bigint")
+
+
 @query
 def closest_month(spark, d):
     words = _spelt(spark, d).select(F.lower("m").alias("word"))

@@ -21,8 +21,10 @@ class Wording:
     context: str = ""
     unit: str = "Total enrollment"
     short: str = "Enrollment"
-    problems: str = "DATA PROBLEMS THIS RUN: figures below may be incomplete"
-    alerts: str = "WATCHED PAGES: new items"
+    problems: str = "Trouble with this run's data; some figures may be missing"
+    alerts: str = "New on the watched pages"
+    fell: str = "Where enrollment fell most"
+    rose: str = "Where enrollment rose most"
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,7 @@ class Figures:
 
     @property
     def counts(self) -> str:
+        # The words of this count.
         n = [sum(r["change"] < 0 for r in self.ranked), sum(r["change"] > 0 for r in self.ranked)]
         return f"{n[0]} declined, {n[1]} gained, {len(self.ranked) - sum(n)} flat, of {len(self.ranked)}"
 
@@ -112,9 +115,9 @@ def parts(f: Figures, words: Wording = Wording()) -> Iterator[Part]:
     moves = lambda r: [f"{r['change']:+,}", _percent(r["pct"])]
     if f.declines:
         rows = [[shown(r), f"{r['then']:,}", f"{r['now']:,}", *moves(r)] for r in f.declines]
-        yield Ranking("LARGEST DECLINES BY COUNTY", ("County", "Prior", "Now", "Change", "%"), rows, (14, 9, 9, 8, 8), [r["change"] for r in f.declines])
+        yield Ranking(words.fell, ("County", "Prior", "Now", "Change", "%"), rows, (14, 9, 9, 8, 8), [r["change"] for r in f.declines])
     if f.gains:
-        yield Ranking("COUNTIES GAINING", ("County", "Change", "%"), [[shown(r), *moves(r)] for r in f.gains], (14, 8, 8), [r["change"] for r in f.gains])
+        yield Ranking(words.rose, ("County", "Change", "%"), [[shown(r), *moves(r)] for r in f.gains], (14, 8, 8), [r["change"] for r in f.gains])
     yield from (Lines([x]) for x in (words.caveat, words.context) if x)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.periods import hint_key, period_hint, period_key, with_period
 from tidemark.operators import ledger, links, panel, sections, validate
+from tidemark.operators.observed import of_gate
 from tidemark.plans.report import Figures, Wording, page, subject, text
 from tidemark.sources.scratch import cut
 from tidemark.sources.state import StateStore
@@ -29,6 +30,7 @@ class Outcome:
     text: str = ""
     html: str = ""
     new_months: list[tuple[str, str]] = field(default_factory=list)
+    figures: dict[str, int] = field(default_factory=dict)
 
 
 #: A mail lists so many problems and alerts at most, and says how many more there are; the state has all of them.
@@ -52,15 +54,17 @@ def wanted_links(found: DataFrame, months: DataFrame, program: str) -> DataFrame
     return dated.drop("_stated").join(known, "month", "left_anti")
 
 
-def ingest(store: StateStore, documents: DataFrame, dim: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new months as (program, month), problems as (url, detail)) of documents (url, label, text), recorded in the store.
+def ingest(store: StateStore, documents: DataFrame, dim: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(new months as (program, month), problems as (url, detail), figures of the gate) of documents (url, label, text),
+    recorded in the store.
 
     A section that the gate accepts is recorded if its program and month are new; of one refused, the first problem is
     told, and the document's other sections are recorded all the same.
     """
     docs = documents.withColumnRenamed("url", "doc_id")
     parsed = sections.parse(docs, dim)
-    judged = validate.gate(validate.summarize(parsed)).withColumn("month", period_key(F.col("period")))
+    watched, figures = of_gate(validate.gate(validate.summarize(parsed)))
+    judged = cut(watched.withColumn("month", period_key(F.col("period"))))  # read by all that follows, and counted once
     odd = judged.where("not accepted or month is null")
     told = F.when(F.col("month").isNull(), F.concat(F.lit("Unknown month: "), F.col("period"))).otherwise(F.concat(F.col("period"), F.lit(" ["), F.col("program"), F.lit("]: "), F.col("first_problem")))
     none = validate.without_sections(docs, parsed).select(F.col("doc_id").alias("url"), F.col("problem").alias("detail"))
@@ -77,7 +81,7 @@ def ingest(store: StateStore, documents: DataFrame, dim: DataFrame) -> tuple[Dat
     problems = cut(problems)  # judged before the state moves
     store.save("enrollment", enrollment.unionByName(fresh.select("program", "month", "county", "value")))
     store.save("month_total", after)
-    return store.spark.createDataFrame(new, "program string, month string"), problems
+    return store.spark.createDataFrame(new, "program string, month string"), problems, figures.get
 
 
 def run(
@@ -96,7 +100,7 @@ def run(
     State is saved before anything is said.  Known problems are not told again.  The first run takes the pages as the
     baseline, and says so if it says anything.  A month's total that was never stated leaves its change at 0.
     """
-    added, found = ingest(store, documents, dim)
+    added, found, seen = ingest(store, documents, dim)
     sightings = found.select(ledger.problem_key(F.col("url"), F.col("detail")).alias("key"), "detail", F.lit(today).alias("seen"))
     registry, fresh = ledger.note_problems(store.load("problems", PROBLEMS), sightings)
     problems = told(failed, "error", ["url", "error"]) + told(cut(fresh), "detail", ["key"])
@@ -111,10 +115,10 @@ def run(
 
     new_months = sorted((r.program, r.month) for r in added.collect())
     if not (new_months or alerts or problems):
-        return Outcome(NO_UPDATE)
+        return Outcome(NO_UPDATE, figures=seen)
     totals = {r.month: r.total for r in store.load("month_total", MONTH_TOTAL).where(F.col("program") == program).collect()}
     if not totals:
-        return Outcome(NO_DATA, "\n".join(problems))
+        return Outcome(NO_DATA, "\n".join(problems), figures=seen)
     fresh_months = [m for p, m in new_months if p == program]
     month = max(fresh_months) if fresh_months else max(totals)
     before = max((m for m in totals if m < month), default=None)
@@ -128,7 +132,7 @@ def run(
     if first_run:
         problems.append("First run: the watched pages are the baseline; their changes are told from the next run on.")
     figures = Figures(month, totals[month] or 0, mom, [r.asDict() for r in ranked], alerts, problems, base)
-    return Outcome(subject(figures, words), text(figures, words), page(figures, words), new_months)
+    return Outcome(subject(figures, words), text(figures, words), page(figures, words), new_months, seen)
 
 
 def deliver(outcome: Outcome, folder: str) -> str:

@@ -10,19 +10,12 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 RAW_PAGE = "source_id string, url string, fetched_at timestamp, body binary, error string"
-CATALOG = (
-    "states map<string, struct<name: string, agency: string, fy2026_award: string, program_site: string, status_note: string, "
-    "sources: array<struct<url: string, kind: string, note: string, search_terms: array<string>, unverified: boolean>>>>"
-)
 MAIL = "sender string, subject string, count int, date string, snippet string"
 
 
-def raw_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RAW_PAGE).parquet(path)
-
-
 def page_text(body: Column) -> Column:
     """Bytes as UTF-8, with U+FFFD for what isn't."""
     return F.make_valid_utf8(body.cast("string"))
@@ -35,44 +28,85 @@ def fetched(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def fetch_failure(url: str, error: Exception) -> str:
-    """How a landing job words a failed fetch."""
-    return f"{url}: {type(error).__name__}: {error}"
-
-
 class ExtractorUnavailable(RuntimeError):
     """No way to get text from a document is at hand."""
 
 
-def extract_documents(spark: SparkSession, path: str, extractor: Callable[[bytes], str] | None, glob: str = "*.pdf") -> DataFrame:
-    """(path, text, error) of laid-out documents under a path, by a pluggable ``extractor`` of one document's bytes.
-
-    One document is one unit of work; one that fails has its error and null text.  Files of no bytes have no rows, as
-    Spark's reader leaves them out.
-    """
+def _extracted(files: DataFrame, extractor: Callable[[bytes], str] | None) -> DataFrame:
+    """(path, modified, length, text, error) of files (path, modificationTime, length, content)."""
     if extractor is None:
         raise ExtractorUnavailable("no extractor for laid-out documents was given")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for p, content in zip(batch["path"], batch["content"], strict=True):
+            for p, at, n, content in zip(*(batch[c] for c in ("path", "modificationTime", "length", "content")), strict=True):
                 try:
-                    rows.append((p, extractor(bytes(content)), None))
+                    rows.append((p, at, n, extractor(bytes(content)), None))
                 except Exception as e:  # noqa: BLE001  a document's failure is a row, not the job's end
-                    rows.append((p, None, f"{type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame(rows, columns=["path", "text", "error"])
+                    rows.append((p, at, n, None, f"{type(e).__name__}: {e}"[:200]))
+            yield pd.DataFrame(rows, columns=["path", "modified", "length", "text", "error"])
+
+    return files.select("path", "modificationTime", "length", "content").mapInPandas(run, "path string, modified timestamp, length long, text string, error string")
+
+
+def extract_documents(spark: SparkSession, path: str, extractor: Callable[[bytes], str] | None, glob: str = "*.pdf") -> DataFrame:
+    """(path, text, error) of laid-out documents under a path, by a pluggable ``extractor`` of one document's bytes.
 
+    One document is one unit of work; one that fails has its error and null text.  Files of no bytes have no rows, as
+    Spark's reader leaves them out.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
+    return _extracted(files, extractor).select("path", "text", "error")
+
+
+def read_new_documents(spark: SparkSession, path: str, extractor: Callable[[bytes], str] | None, ledger: str, checkpoint: str, glob: str = "*.pdf", files_a_batch: int = 10_000) -> StreamingQuery:
+    """Extract the documents that landed since the last call into the ledger table at ``ledger``, and stop.
+
+    The ledger has a row for each file (path, modified, length, text, error, batch): what was read, when it was written and
+    with what result.  The checkpoint knows the files of earlier calls, so these are neither opened nor extracted again; a
+    document that failed stays in the ledger with its error.  A batch that is run again replaces its own folder.
+    """
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", glob).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_a_batch).load(path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
 
+    return _extracted(files, extractor).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def catalog(spark: SparkSession, path: str) -> DataFrame:
-    """(state, name, agency, url, kind, note, search_terms, unverified): a row for each source of a nested catalog."""
-    whole = spark.read.schema(CATALOG).option("multiLine", True).json(path)
-    states = whole.select(F.explode("states").alias("state", "s"))
-    rows = states.select("state", "s.name", "s.agency", "s.fy2026_award", F.explode("s.sources").alias("x"))
-    return rows.select("state", "name", "agency", "fy2026_award", "x.url", "x.kind", "x.note", "x.search_terms", F.coalesce("x.unverified", F.lit(False)).alias("unverified"))
+
+def variant_rows(rows: DataFrame, value: Column, path: str, *keep: str, key: str = "key", item: str = "item") -> DataFrame:
+    """``keep``, ``pos``, ``key`` and ``item``: a row for each member of the object or the array at ``path`` in a VARIANT.
+
+    An array's members have no key.  Where there is nothing at the path, or something else, there are no rows.
+    """
+    spark = rows.sparkSession
+    whole = rows.withColumn("_v", F.try_variant_get(value, path, "variant"))
+    members = spark.tvf.variant_explode(F.col("_v").outer()).select(F.col("pos"), F.col("key").alias(key), F.col("value").alias(item))
+    return whole.lateralJoin(members).select(*keep, "pos", key, item)
+
+
+def catalog(documents: DataFrame, body: str = "body") -> DataFrame:
+    """(state, name, agency, award, url, kind, note, search_terms, unverified, more): a row for each source of nested catalogs.
+
+    Catalogs are JSON texts, ``{"states": {<state>: {..., "sources": [{...}]}}}``.  They are read as VARIANT, so no schema
+    is stated: fields that a source lacks are null, a field of another type than expected is null, ``unverified`` is false
+    unless it is true, and ``more`` is the whole source, with whatever else it tells.  Texts that are no JSON, states
+    without sources and sources that are no objects give no rows.
+    """
+    whole = documents.select(F.try_parse_json(F.col(body)).alias("v")).where("v is not null")
+    states = variant_rows(whole, F.col("v"), "$.states", key="state", item="s").drop("pos")
+    of_state = lambda name: F.try_variant_get("s", f"$.{name}", "string")
+    rows = states.select("state", "s", of_state("name").alias("name"), of_state("agency").alias("agency"), of_state("fy2026_award").alias("award"))
+    sources = variant_rows(rows, F.col("s"), "$.sources", "state", "name", "agency", "award", item="more").drop("key")
+    of_source = lambda name, kind="string": F.try_variant_get("more", f"$.{name}", kind).alias(name)
+    told = sources.where(F.schema_of_variant("more").startswith("OBJECT"))
+    return told.select("state", "name", "agency", "award", *map(of_source, ("url", "kind", "note")), of_source("search_terms", "array<string>"), F.coalesce(of_source("unverified", "boolean"), F.lit(False)).alias("unverified"), "more")
+
+
+def catalog_files(spark: SparkSession, path: str) -> DataFrame:
+    """Catalog files, one text each, for :func:`catalog`."""
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "body")
 
 
 def mail_items(blocks: DataFrame, text: str = "text") -> DataFrame:

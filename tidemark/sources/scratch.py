@@ -12,14 +12,15 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints; one of our own only where none is named and Spark runs in this
     process."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        if not (context.master + "[").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     if not context.getCheckpointDir():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not (context.master + "[").startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         context.setCheckpointDir(folder)
-    return folder
+    # Spark's own form of it: in full, so that a path without a scheme is not taken for a local one.
+    return context.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class Claimed(RuntimeError):
+    """Another writer has the next version of a table."""
+
+
 class StateStore:
     """Named tables under a folder: ``<folder>/<name>/v=<number>``, of which the largest finished number counts.
 
@@ -38,16 +42,34 @@ class StateStore:
     def exists(self, name: str) -> bool:
         return self.version(name) > 0
 
-    def save(self, name: str, rows: DataFrame) -> int:
-        """Write the next version; the rows may read the one in force."""
-        at = self.version(name) + 1
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/v={at}")
+    def save(self, name: str, rows: DataFrame, after: int | None = None) -> int:
+        """Write the next version; the rows may read the one in force.
+
+        ``after`` is the version that the rows were made from, the one in force unless given.  The version that follows it
+        is claimed first, by a file that only one writer can create; the other gets :class:`Claimed` and has written
+        nothing.  A writer that fails gives its claim back; after one that was killed, :meth:`release` does.  The file
+        system must create files atomically, as HDFS and local ones do.
+        """
+        at = (self.version(name) if after is None else after) + 1
+        fs, mark = self._fs(f"{self.folder}/_claims/{name}/v={at}")
+        if self.version(name) >= at or not self._create(fs, mark):
+            raise Claimed(f"version {at} of {name} is another writer's")
+        try:
+            rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/v={at}")
+        except BaseException:
+            fs.delete(mark, False)
+            raise
         return at
 
+    @staticmethod
+    def _create(fs, mark) -> bool:
+        fs.mkdirs(mark.getParent())
+        return fs.createNewFile(mark)
 
-def to_json(rows: DataFrame, path: str) -> None:
-    """One JSON object a line."""
-    rows.write.mode("overwrite").json(path)
+    def release(self, name: str) -> None:
+        """Take back the claim on the next version, of a writer that is known to be dead."""
+        fs, mark = self._fs(f"{self.folder}/_claims/{name}/v={self.version(name) + 1}")
+        fs.delete(mark, False)
 
 
 def json_lines(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.ledger import first_write
+from tidemark.operators.ledger import first_write, matching
 from tidemark.sources.scratch import cut
 
 #: A batch of up to so many keys goes to where the ledger's files are; a larger one is joined by a shuffle.
@@ -28,8 +28,8 @@ def append_new(spark: SparkSession, path: str, schema: str, keys: Sequence[str],
         if state is not None:
             asked = new.select(*keys)
             asked = F.broadcast(asked) if asked.count() <= BROADCAST_KEYS else asked.hint("shuffle_hash")
-            known = state.where(F.col("batch") < number).select(*keys).join(asked, list(keys), "left_semi")
-            new = new.join(known, list(keys), "left_anti")
+            known = matching(state.where(F.col("batch") < number).select(*keys), asked, keys, "left_semi")
+            new = matching(new, known, keys, "left_anti")
         new.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return apply
