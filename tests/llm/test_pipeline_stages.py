@@ -31,7 +31,7 @@ def test_decontaminate_keeps_what_holds_no_window(spark):
 
 
 #: What operators call their own columns, inside and outside.
-NAMES = """score predicted n_words n_hit n_items items contaminated size source_size target copies taken _h _runs spans base
+NAMES = """mix_size mix_mix_size mix_taken SIZE_ score predicted n_words n_hit n_items items contaminated size source_size target copies taken _h _runs spans base
 doc h row key r1 r2 cs w wid sid _id _text x at token fp component_id _row _tm_h _tm_runs _keep_0 t0 last""".split()
 
 
