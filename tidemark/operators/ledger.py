@@ -120,6 +120,16 @@ def apply_items(ledger: DataFrame, matched: DataFrame, today: Column, material:
     return kept.unionByName(fresh.select(*have), allowMissingColumns=True)
 
 
+NO_UPDATE, NO_DATA, REPORT = "NO_UPDATE", "NO_DATA", "REPORT"
+
+
+def silence(new: Column, alerts: Column, problems: Column, history: Column) -> Column:
+    """What a run says, by its numbers: nothing new, no alert and no problem is NO_UPDATE; something, but no history to
+    report on, is NO_DATA; else it reports.  A null number counts as none."""
+    some = lambda c: F.coalesce(c, F.lit(0)) > 0
+    return F.when(~(some(new) | some(alerts) | some(problems)), NO_UPDATE).when(~some(history), NO_DATA).otherwise(REPORT)
+
+
 def with_baseline(items: DataFrame, ledger: DataFrame, by: str) -> DataFrame:
     """Adds ``is_baseline``: items of a key (a state, a source) of which the ledger has nothing yet.
 

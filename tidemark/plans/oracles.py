@@ -196,6 +196,16 @@ ORACLES = {
     "landed_listing": """WITH p AS (SELECT (page_id // 5)::INT AS page, page_id::VARCHAR AS source_id, md5(html) AS seen FROM pages WHERE page_id // 5 <> 12)
         SELECT * FROM p WHERE page >= 2 AND page < least(40, (SELECT min(i) FROM range((SELECT count(*) + 1 FROM p)) r(i) WHERE i NOT IN (SELECT page FROM p)))""",
     "document_folder": "SELECT (doc_id % 2)::INT AS batch, doc_id, md5(coalesce(text, '')) AS seen FROM documents",
+    "silence_gate": f"""WITH {_DAILY}, r AS (SELECT user_id, day, count(*) FILTER (event_type = 'purchase') AS alerts, count(*) FILTER (value < 1) AS problems FROM d GROUP BY ALL),
+        o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) = 1 AS fresh, coalesce(sum(alerts) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS history FROM r)
+        SELECT user_id, day, CASE WHEN NOT fresh AND alerts = 0 AND problems = 0 THEN 'NO_UPDATE' WHEN history = 0 THEN 'NO_DATA' ELSE 'REPORT' END AS says FROM o""",
+    "idempotent_rerun": f"WITH {_DAILY}, n AS (SELECT count(*) AS n FROM (SELECT DISTINCT user_id, day FROM d)) SELECT n AS n_added, 0::BIGINT AS n_added_again, n AS n_recorded FROM n",
+    "saved_fingerprint": f"WITH {_PRINTS} SELECT * FROM new ANTI JOIN old USING (page_id, label)",
+    "report_files": f"SELECT program, md5(body) AS seen FROM ({_REPORT_HTML})",
+    "portal_cells": """SELECT o_orderkey AS page, 'Clinic ' || o_orderkey || ' A &amp; B "x" "y" ''s end' AS entity, 'WI' AS state, '1,500' AS individuals_affected,
+        strftime(o_orderdate, '%m/%d/%Y') AS submission_date, NULL::VARCHAR AS total_listed FROM orders""",
+    "labelled_blocks": """SELECT 'Firm & Sons ' || o_orderkey AS entity, CASE WHEN o_orderkey % 4 IN (0, 2) THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS reported, '1/2/2003' AS breach_dates,
+        CASE o_orderkey % 4 WHEN 1 THEN '12' WHEN 2 THEN '7' END AS state_residents, CASE WHEN o_orderkey % 4 = 0 THEN '1,234' END AS total FROM orders""",
     "observed_gate": f"""WITH {_SECTIONS} SELECT count(*) AS sections, count(*) FILTER (NOT bad) AS accepted, count(*) FILTER (bad) AS refused, count(*) FILTER (len(conflicts) > 0) AS conflicts,
         count(*) FILTER (total IS NULL) AS unstated, sum(n)::BIGINT AS n_rows FROM (SELECT *, len(conflicts) > 0 OR n = 0 OR off AS bad FROM q)""",
     "sources_by_kind": f"WITH {_CATALOG} SELECT kind, count(*) AS n, count(*) FILTER (unverified) AS n_unverified FROM c GROUP BY kind",

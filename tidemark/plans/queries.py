@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import periods
@@ -76,7 +76,7 @@ def direction_counts(spark, d):
 
 @query
 def baseline_change(spark, d):
-    p = orders_panel(spark, d)
+    p = cut(orders_panel(spark, d))
     return panel.baseline_change(panel.totals(p), panel.latest(p), "1998-01")
 
 
@@ -1001,6 +1001,72 @@ def document_folder(spark, d):
     return lines.select("batch", told.alias("x")).select(F.col("batch").cast("int").alias("batch"), "x.doc_id", F.md5("x.text").alias("seen"))
 
 
+@query
+def silence_gate(spark, d):
+    """A user's days as runs: what is new, purchases as alerts, small values as problems, and earlier purchases as history."""
+    rows = _daily(spark, d)
+    runs = rows.groupBy("user_id", "day").agg(F.count_if(F.col("event_type") == "purchase").alias("alerts"), F.count_if(F.col("value") < 1).alias("problems"))
+    order = Window.partitionBy("user_id").orderBy("day")
+    new, history = F.when(F.row_number().over(order) == 1, 1), F.sum("alerts").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return runs.select("user_id", "day", ledger.silence(new, F.col("alerts"), F.col("problems"), history).alias("says"))
+
+
+@query
+def idempotent_rerun(spark, d):
+    """The same rows recorded twice: how many the first run adds, and the second."""
+    rows = _daily(spark, d).select("user_id", "day", "ts", "event_id")
+    first, added = ledger.insert_if_absent(rows.limit(0), rows, ["user_id", "day"], ["ts", "event_id"])
+    second, again = ledger.insert_if_absent(cut(first), rows, ["user_id", "day"], ["ts", "event_id"])
+    count = lambda t, name: t.agg(F.count(F.lit(1)).alias(name))
+    return spark.range(1).select(count(added, "n_added").scalar().alias("n_added"), count(again, "n_added_again").scalar().alias("n_added_again"), count(second, "n_recorded").scalar().alias("n_recorded"))
+
+
+@query
+def saved_fingerprint(spark, d):
+    """New labels against the fingerprint that an earlier run saved."""
+    store = StateStore(spark, new_folder(spark, "fingerprint"))
+    store.save("prints", links.fingerprint(_snapshot(spark, d, 0)))
+    old = store.load("prints", "page_id bigint, label string, href string")
+    return links.diff(old, links.fingerprint(_snapshot(spark, d, 1))).where("change = 'added'").drop("change")
+
+
+@query
+def report_files(spark, d):
+    """Every program's HTML body, delivered as files and read back."""
+    at = new_folder(spark, "bodies")
+    report_tables.deliver_bodies(report_html(spark, d), at)
+    return report_tables.delivered(spark, at).select("program", F.md5("body").alias("seen"))
+
+
+@query
+def portal_cells(spark, d):
+    """A portal's cells as they are: with tags, entities, entities of entities and runs of blanks."""
+    cell = lambda c: F.concat(F.lit("<td class='c'>"), c, F.lit("</td>"))
+    key = F.col("o_orderkey").cast("string")
+    name = F.concat(F.lit("<b>Clinic</b>  "), key, F.lit("<br/>A &amp;amp; B &amp;quot;x&amp;quot; &quot;y&quot; &apos;s&nbsp;&nbsp;end "))
+    cells = [F.lit("1"), name, F.lit("<span>WI</span>"), F.lit("Plan &lt;"), F.lit(" 1,500 "), F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit(""), F.lit("Email"), F.lit("No")]
+    row = F.concat(F.lit('<tr data-ri="0">'), *[cell(c) for c in cells], F.lit("</tr><tr data-ri='1'><td>short</td></tr>"))
+    pages = table(spark, d, "orders").select(F.col("o_orderkey").alias("page"), row.alias("html"))
+    return filings.portal_rows(pages).select("page", "entity", "state", "individuals_affected", "submission_date", "total_listed")
+
+
+@query
+def labelled_blocks(spark, d):
+    """Two blocks a page, with labels missing, in another order or without a value; one without a date of incident is none."""
+    k, key = F.pmod("o_orderkey", F.lit(4)), F.col("o_orderkey").cast("string")
+    day = F.date_format("o_orderdate", "MMMM d, yyyy")
+    some = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    first = some("Company Name: Firm &amp; Sons ", key, " Date of Incident: 1/2/2003 ")
+    rest = (
+        F.when(k == 0, some("<p>Date Public Notified: ", day, "</p>Number of Individuals Affected: 1,234 Who is Affected: all"))
+        .when(k == 1, some("Number of Wisconsin Residents Affected: 12<br>Data Accessed: names"))
+        .when(k == 2, some("Number of Wisconsin Residents Affected: 7 Date Public Notified: ", day, " Number of Individuals Affected: "))
+        .otherwise(F.lit("Who and how to contact: nobody"))
+    )
+    page = some("<div>intro ", first, rest, " Company Name: Without Date Number of Individuals Affected: 5</div>")
+    return filings.from_blocks(table(spark, d, "orders").select(page.alias("html")), "blocks").select("entity", "reported", "breach_dates", F.trim("state_residents").alias("state_residents"), F.trim("total").alias("total"))
+
+
 @query
 def observed_gate(spark, d):
     """The gate over orders as sections; its figures are taken while the accepted ones are written."""

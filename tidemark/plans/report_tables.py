@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -108,6 +108,16 @@ def text_bodies(facts: DataFrame, ranked: DataFrame, words: Wording = Wording())
     return _put_together(lines, "\n\n")
 
 
+def deliver_bodies(bodies: DataFrame, folder: str) -> None:
+    """A folder of its own for each program's body, as files; what an earlier run left in ``folder`` goes."""
+    bodies.select("program", "body").write.mode("overwrite").partitionBy("program").text(folder)
+
+
+def delivered(spark: SparkSession, folder: str) -> DataFrame:
+    """(program, body) of what was delivered."""
+    return spark.read.text(folder, wholetext=True).select(F.col("program").cast("string").alias("program"), F.regexp_replace("value", r"\n\z", "").alias("body"))
+
+
 def _tag(name: str, inner: Column, style: str = "", way: Column | None = None) -> Column:
     """A tag with the style's declarations and, where a direction is given and not 0, its colour."""
     own = STYLE.get(style, "")

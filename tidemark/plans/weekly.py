@@ -19,7 +19,7 @@ ENROLLMENT = "program string, month string, county string, value bigint"
 MONTH_TOTAL = "program string, month string, total bigint, source string"
 PROBLEMS = "key string, detail string, first_seen string, last_seen string"
 PRINTS = "page_id string, label string, href string"
-NO_UPDATE, NO_DATA = "NO_UPDATE", "NO_DATA"
+NO_UPDATE, NO_DATA = ledger.NO_UPDATE, ledger.NO_DATA
 
 
 @dataclass
