@@ -26,7 +26,10 @@ def pages(spark, clash, n=40):
     return rows, clash(spark.createDataFrame(rows, "page_id long, url string, html string"))
 
 
-def test_matches_brute_force(spark, clash):
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_matches_brute_force(spark, clash, monkeypatch, most):
+    """Digests that repeat go to the pages, or, where they are many, pages and digests meet."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
     rows, df = pages(spark, clash)
     got = warc.archive(df.repartition(3), payload=True).collect()
     number = lambda x: None if x in (None, "null") else int(x)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut, join_hot, new_folder, open_fs
+from tidemark.llm.shared import BROADCAST_ROWS, cut, join_hot, new_folder, open_fs
 
 # Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -52,10 +52,13 @@ def with_revisits(pages: DataFrame, least: int = 1000, page_id: str = "page_id",
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     large = F.octet_length("html") >= least
-    spread = F.concat(F.lit("small-"), F.pmod(F.xxhash64("page_id", "url"), F.lit(100_000)).cast("string"))
-    rows = rows.withColumn("_key", F.when(large, F.col("digest")).otherwise(spread))
-    copies = rows.where(large).groupBy("_key").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    joined = join_hot(rows, copies, "_key", "_n", rows.count())
+    # Digests alone are counted; where few repeat, these go to the pages and no payload moves.
+    copies = cut(rows.where(large).groupBy(F.col("digest").alias("_key")).agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    if copies.count() <= BROADCAST_ROWS:
+        joined = rows.withColumn("_key", F.when(large, F.col("digest"))).join(F.broadcast(copies), "_key", "left")
+    else:
+        spread = F.concat(F.lit("small-"), F.pmod(F.xxhash64("page_id", "url"), F.lit(100_000)).cast("string"))
+        joined = join_hot(rows.withColumn("_key", F.when(large, F.col("digest")).otherwise(spread)), copies, "_key", "_n", rows.count())
     other = F.col("_last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last"))
     return joined.select("page_id", "url", "html", "digest", F.when(other, F.col("_last")).alias("refers_to"))
 
