@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemark.llm import substring
+from tidemark.llm import shared, substring
 from tidemark.llm.fm_index import FMIndex, repeated_windows
 
 
@@ -52,6 +52,29 @@ def test_crowded_passage(spark):
     assert sorted(map(tuple, got), key=str) == plain(rows, 35)
 
 
+@pytest.mark.parametrize("crowd", [1000, 3])
+def test_hot_anchors_and_segments_join_in_parts(spark, monkeypatch, crowd):
+    """Many copies of one text, a line that many texts hold, and others: every key of two rows counts as hot."""
+    monkeypatch.setattr(shared, "FEW_ROWS", 0)
+    r = random.Random(8)
+    line = " ".join(f"l{i}" for i in range(40))
+    own = lambda n: " ".join(f"{r.choice('abcde')}{r.randrange(9)}" for _ in range(n))
+    copied = own(60)
+    rows = [(i, copied) for i in range(90)] + [(100 + i, f"{own(8)} {line} {own(5)} {line}") for i in range(60)] + [(200 + i, own(50)) for i in range(9)]
+    got = substring.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect()
+    assert sorted(map(tuple, got), key=str) == plain(rows, 35)
+
+
+def test_join_in_parts_equals_a_join(spark, monkeypatch):
+    monkeypatch.setattr(shared, "FEW_ROWS", 0)
+    left = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(3000)], "k long, v long")
+    right = spark.createDataFrame([(k, f"n{k}") for k in range(1, 6)] + [(0, "hot"), (0, "too")], "k long, name string")
+    hot = shared.hot_keys(left.groupBy("k").count(), ["k"], "count", 3000, hot_share=3)
+    assert [r.k for r in hot.collect()] == [0] and hot.first()["_parts"] == 2
+    got = shared.join_spread(left, right, ["k"], hot, ["v"])
+    assert got.columns == ["k", "v", "name"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+
+
 def test_kept_text_and_empty(docs, no_docs):
     got = substring.without_repeats(docs, keep_text=True).collect()
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)

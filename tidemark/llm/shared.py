@@ -37,6 +37,29 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
     return calm.unionByName(busy)
 
 
+def hot_keys(counts: DataFrame, on: list[str], weight: str, total: int, hot_share: int = 1000) -> DataFrame | None:
+    """The keys of ``counts`` with more than ``total / hot_share`` rows, ``hot_share`` at most as their ``weight`` sums to
+    ``total``, with ``_parts``, the parts that share their rows; None where no task could be large."""
+    if total <= FEW_ROWS:
+        return None
+    most = max(1, total // hot_share)
+    return counts.where(F.col(weight) > most).select(*on, F.ceil(F.col(weight) / most).cast("int").alias("_parts"))
+
+
+def join_spread(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None, by: list[str]) -> DataFrame:
+    """``left`` join ``right`` on ``on``, where ``right`` has few rows a key.
+
+    The left rows of ``hot`` keys (see :func:`hot_keys`) are dealt to parts by their values of ``by``, and the right rows
+    of these keys go to every part.  Unlike :func:`join_hot` it reads the left side once, so what makes it runs once.
+    """
+    if hot is None:
+        return left.join(right, on)
+    hot, parts = F.broadcast(hot), F.coalesce("_parts", F.lit(1))
+    dealt = left.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("_parts")
+    held = right.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(held, [*on, "_part"]).drop("_part")
+
+
 #: What a broadcast table may have: rows, of a few numbers each.
 BROADCAST_ROWS = 200_000
 

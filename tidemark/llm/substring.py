@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.fm_index import FMIndex, repeated_windows
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, hot_keys, join_spread
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -246,11 +246,14 @@ def repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words: int = 1
     """(rows, stretches): the documents as (d1, d2, key, text), and (d1, d2, first, more, found): what repeats in them, as
     stretches ``found`` of word numbers counted from ``first`` and from each place in ``more``.
 
-    A shard holds about ``shard_words`` words, and no more than ``crowd`` segments of one anchor.
+    A shard holds about ``shard_words`` words, and no more than ``crowd`` segments of one anchor.  Anchors and segments
+    that very many rows have are joined in parts.
     """
     rows = _rows(docs, text, key)
-    often = _anchor_counts(rows, width, run).where("n > 1").select("anchor")
-    found = cut(_members(rows, width, run).join(often, "anchor"))
+    often = cut(_anchor_counts(rows, width, run).where("n > 1"))
+    row = ["d1", "d2", "first"]
+    hot = hot_keys(often, ["anchor"], "n", often.agg(F.sum("n")).first()[0] or 0)
+    found = cut(join_spread(_members(rows, width, run), often.select("anchor"), ["anchor"], hot, row))
     of, out, level = ["anchor", "w1", "w2"], None, 0
     times = F.coalesce(F.octet_length("more") / 4, F.lit(0)).cast("long") + 1
     place = F.struct("d1", "d2", "first", "last")
@@ -259,24 +262,28 @@ def repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words: int = 1
         twice = F.least("m", F.lit(2))
         load = classes.groupBy("anchor").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("g"), F.sum(twice).alias("c"))
         load = cut(load.where("n > 1"))
+        total, kinds = (x or 0 for x in load.agg(F.sum("n"), F.sum("g")).first())
+        loaded = join_spread(classes, load, ["anchor"], hot_keys(load, ["anchor"], "g", kinds), ["w1", "w2"])
         # Where all segments of an anchor are equal there is nothing to search for: each repeats the others whole.
         whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("low.last") - F.col("low.first") + width).alias("b"))).alias("found")
-        alone = classes.join(load.where("g = 1").select("anchor"), "anchor").select(*of, whole)
+        alone = loaded.where("g = 1").select(*of, whole)
         # Parts of one place hold equal windows alone: two segments, whatever their number.
         most = crowd if width - run + 1 > 1 << level else max(crowd, 2)
-        calm = classes.join(load.where((F.col("g") > 1) & (F.col("c") <= most)).select("anchor"), "anchor")
+        calm = loaded.where((F.col("g") > 1) & (F.col("c") <= most))
         # The least of a class asks; a copy of its own stands beside it where the class has more than one.
         asks = F.array(F.struct(F.lit(True).alias("query"), F.col("low").alias("p")), F.struct(F.lit(False).alias("query"), F.col("high").alias("p")))
         wanted = calm.select(*of, F.explode(F.slice(asks, F.lit(1), twice.cast("int"))).alias("x")).select(*of, "x.query", "x.p.*")
         words = calm.agg(F.sum((F.col("low.last") - F.col("low.first") + width) * twice)).first()[0] or 0
         shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // shard_words))
-        hits = found.join(_search(_texts(rows, wanted, width), width, shards).unionByName(alone), of).select("d1", "d2", "first", "more", "found")
+        told = _search(_texts(rows, wanted, width), width, shards).unionByName(alone)
+        hits = join_spread(found, told, of, hot_keys(classes, of, "m", total), row).select("d1", "d2", "first", "more", "found")
         out = hits if out is None else out.unionByName(hits)
         busy = load.where(F.col("c") > most).select("anchor")
         if busy.isEmpty():
             return rows, out
         level += 1
-        found = cut(_split(rows, found.join(busy, "anchor"), width, run, level))
+        crowded = join_spread(found, busy, ["anchor"], hot_keys(load, ["anchor"], "n", total), row)
+        found = cut(_split(rows, crowded, width, run, level))
 
 
 def without_repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words: int = 1_500_000, crowd: int = 1000, text: str = "text", key: str = "doc_id", keep_text: bool = False) -> DataFrame:
