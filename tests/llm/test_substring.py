@@ -43,8 +43,11 @@ def test_words_that_weak_hashes_confuse(spark, crowd):
     assert [r.n_removed for r in got] == [0, 0] and sorted(map(tuple, got)) == plain(rows, 35)
 
 
-def test_crowded_passage(spark):
-    """A passage in many documents, between words that some of them share: every level of the split is needed."""
+@pytest.mark.parametrize("carried", [substring.CARRIED, 1])
+def test_crowded_passage(spark, monkeypatch, carried):
+    """A passage in many documents, between words that some of them share: every level of the split is needed, with words
+    that come along or, where no anchor is frequent enough, out of the texts."""
+    monkeypatch.setattr(substring, "CARRIED", carried)
     r = random.Random(3)
     passage = [f"p{i}" for i in range(50)]
     rows = [(i, " ".join([*[f"{r.choice('ab')}{k}" for k in range(6)], *passage[r.randint(0, 9) :], *[f"{r.choice('cd')}{k}" for k in range(6)]])) for i in range(300)]

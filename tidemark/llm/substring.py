@@ -8,7 +8,8 @@ from the index, word by word.
 
 Copies of a segment (equal in a 128-bit BLAKE2b digest of their words) go into the index twice, and what it finds
 for the first holds for all; an anchor that has copies of one segment alone is not searched.  An anchor with very many different segments is split by the words that all windows of
-one block of places have in common, then by smaller blocks, until each part fits a shard.
+one block of places have in common, then by smaller blocks, until each part fits a shard.  Segments of anchors that are so
+frequent take their words along from the first pass, so the texts do not move again for any of this.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.fm_index import FMIndex, repeated_windows
-from tidemark.llm.shared import cut, hot_keys, join_spread
+from tidemark.llm.shared import BROADCAST_ROWS, cut, hot_keys, join_spread
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -97,18 +98,20 @@ def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 #: A segment of a row: its anchor, the digest of its words, its first and last window, its anchor's place, and the first
-#: windows of the equal segments that follow in the same text.
-_MEMBER = pa.schema([("anchor", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("pos", pa.int32()), ("more", pa.binary())])
-_MEMBER_SQL = "anchor long, w1 long, w2 long, d1 long, d2 long, first int, last int, pos int, more binary"
+#: windows of the equal segments that follow in the same text; its words, where it takes them along.
+_MEMBER = pa.schema([("anchor", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("pos", pa.int32()), ("more", pa.binary()), ("words", pa.binary())])
+_MEMBER_SQL = "anchor long, w1 long, w2 long, d1 long, d2 long, first int, last int, pos int, more binary, words binary"
+#: Anchors whose segments take their words along: so many at most, those of more than a share of all segments.
+CARRIED = BROADCAST_ROWS
 
 
 def _grouped(found: list[tuple], d1: int, d2: int) -> list[tuple]:
-    """(anchor, w1, w2, first, last, pos) of one text to members, equal segments in one row: a line that a text repeats a
-    thousand times is a row."""
+    """(anchor, w1, w2, first, last, pos, words) of one text to members, equal segments in one row: a line that a text
+    repeats a thousand times is a row."""
     of: dict = {}
-    for anchor, w1, w2, first, last, pos in found:
-        of.setdefault((anchor, w1, w2, last - first, pos - first), []).append(first)
-    return [(a, w1, w2, d1, d2, f[0], f[0] + n, f[0] + p, np.array(f[1:], "<i4").tobytes() if f[1:] else None) for (a, w1, w2, n, p), f in of.items()]
+    for anchor, w1, w2, first, last, pos, words in found:
+        of.setdefault((anchor, w1, w2, last - first, pos - first, words), []).append(first)
+    return [(a, w1, w2, d1, d2, f[0], f[0] + n, f[0] + p, np.array(f[1:], "<i4").tobytes() if f[1:] else None, w) for (a, w1, w2, n, p, w), f in of.items()]
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -127,8 +130,8 @@ def _anchor_counts(rows: DataFrame, width: int, run: int) -> DataFrame:
     return rows.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-def _members(rows: DataFrame, width: int, run: int) -> DataFrame:
-    """The segments of every text."""
+def _members(rows: DataFrame, width: int, run: int, many: np.ndarray) -> DataFrame:
+    """The segments of every text; those of the anchors ``many`` (sorted) with their words."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,8 +140,9 @@ def _members(rows: DataFrame, width: int, run: int) -> DataFrame:
                 joined = b" ".join(t.as_py().encode().split())
                 data, begin, end = bounds(joined)
                 cuts = anchors(word_hashes(data, begin, end), width, run)
-                some = zip(*(x.tolist() for x in (*cuts, begin[cuts[1]], end[cuts[2] + width - 1])))
-                out += _grouped([(a, *_digest(joined[b:e]), first, last, pos) for a, first, last, pos, b, e in some], d1.as_py(), d2.as_py())
+                carry = many.take(np.searchsorted(many, cuts[0]), mode="clip") == cuts[0] if many.size else np.zeros(cuts[0].size, bool)
+                some = zip(*(x.tolist() for x in (*cuts, begin[cuts[1]], end[cuts[2] + width - 1], carry)))
+                out += _grouped([(a, *_digest(joined[b:e]), first, last, pos, joined[b:e] if c else None) for a, first, last, pos, b, e, c in some], d1.as_py(), d2.as_py())
                 if len(out) > 20_000:
                     yield _batch(out, _MEMBER)
                     out = []
@@ -154,8 +158,8 @@ def _with_texts(rows: DataFrame, listed: DataFrame) -> DataFrame:
     return rows.join(listed.hint("shuffle_hash"), ["d1", "d2"]).select("d1", "d2", "key", "text", "segments")
 
 
-def _split(rows: DataFrame, members: DataFrame, width: int, run: int, level: int) -> DataFrame:
-    """Members taken apart by the place of the anchor in the window, in 2^level blocks of places.
+def _split(members: DataFrame, width: int, run: int, level: int) -> DataFrame:
+    """Members, with their words, taken apart by the place of the anchor in the window, in 2^level blocks of places.
 
     All windows of a block have the words from the block's lowest to its highest place on in common, so equal windows
     agree in the digest of those, which is the part's anchor.  A block of one place has whole windows in common.
@@ -166,47 +170,50 @@ def _split(rows: DataFrame, members: DataFrame, width: int, run: int, level: int
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list = []
-            for d1, d2, t, segments in zip(*(batch.column(i) for i in (0, 1, 3, 4)), strict=True):
-                words, found = t.as_py().encode().split(), []
-                for s in segments.as_py():
-                    for first in [s["first"], *np.frombuffer(s["more"] or b"", "<i4").tolist()]:
-                        last, pos = first + s["last"] - s["first"], first + s["pos"] - s["first"]
-                        for low in range(0, span, step):
-                            high = min(low + step, span) - 1
-                            a, b = max(first, pos - high), min(last, pos - low)
-                            if a <= b:
-                                common = b" ".join(words[pos - low : pos - high + width])
-                                key = _digest(b"%d %d %d " % (s["anchor"], level, low) + common)[0]
-                                found.append((key, *_digest(b" ".join(words[a : b + width])), a, b, pos))
-                out += _grouped(found, d1.as_py(), d2.as_py())
-                if len(out) > 20_000:
+            for s in batch.to_pylist():
+                words, first, more = s["words"].split(), s["first"], np.frombuffer(s["more"] or b"", "<i4")
+                # Word numbers within the segment.
+                last, pos = s["last"] - first, s["pos"] - first
+                for low in range(0, span, step):
+                    high = min(low + step, span) - 1
+                    a, b = max(0, pos - high), min(last, pos - low)
+                    if a <= b:
+                        common = b" ".join(words[pos - low : pos - high + width])
+                        key = _digest(b"%d %d %d " % (s["anchor"], level, low) + common)[0]
+                        own = b" ".join(words[a : b + width])
+                        out.append((key, *_digest(own), s["d1"], s["d2"], first + a, first + b, first + pos, (more + a).astype("<i4").tobytes() if more.size else None, own))
+                if len(out) > 5_000:
                     yield _batch(out, _MEMBER)
                     out = []
             if out:
                 yield _batch(out, _MEMBER)
 
-    listed = members.groupBy("d1", "d2").agg(F.collect_list(F.struct("anchor", "first", "last", "pos", "more")).alias("segments"))
-    return _with_texts(rows, listed).mapInArrow(part, _MEMBER_SQL)
+    return members.select(*_MEMBER.names).mapInArrow(part, _MEMBER_SQL)
+
+
+_ASKED = pa.schema([("anchor", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("query", pa.bool_()), ("words", pa.binary())])
+_ASKED_SQL = "anchor long, w1 long, w2 long, query boolean, words binary"
 
 
-def _texts(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(anchor, w1, w2, query, words): the wanted segments with their words, joined by a space."""
-    listed = wanted.groupBy("d1", "d2").agg(F.collect_list(F.struct("anchor", "w1", "w2", "query", "first", "last")).alias("segments"))
-    kinds = pa.schema([("anchor", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("query", pa.bool_()), ("words", pa.binary())])
+def _worded(rows: DataFrame, wanted: DataFrame, width: int, kinds: pa.Schema, sql: str) -> DataFrame:
+    """The wanted segments (d1, d2, first, last and the columns of ``kinds``) with their words, joined by a space, out of
+    the texts: the columns of ``kinds``."""
+    plain = [c for c in kinds.names if c != "words"]
+    listed = wanted.groupBy("d1", "d2").agg(F.collect_list(F.struct(*dict.fromkeys([*plain, "first", "last"]))).alias("segments"))
 
     def slice_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list = []
             for t, segments in zip(batch.column(3), batch.column(4), strict=True):
                 words = t.as_py().encode().split()
-                out += [(s["anchor"], s["w1"], s["w2"], s["query"], b" ".join(words[s["first"] : s["last"] + width])) for s in segments.as_py()]
+                out += [(*(s[c] for c in plain), b" ".join(words[s["first"] : s["last"] + width])) for s in segments.as_py()]
                 if len(out) > 5_000:
                     yield _batch(out, kinds)
                     out = []
             if out:
                 yield _batch(out, kinds)
 
-    return _with_texts(rows, listed).mapInArrow(slice_out, "anchor long, w1 long, w2 long, query boolean, words binary")
+    return _with_texts(rows, listed).mapInArrow(slice_out, sql)
 
 
 def _search(segments: DataFrame, width: int, shards: int) -> DataFrame:
@@ -251,14 +258,16 @@ def repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words: int = 1
     """
     rows = _rows(docs, text, key)
     often = cut(_anchor_counts(rows, width, run).where("n > 1"))
-    row = ["d1", "d2", "first"]
-    hot = hot_keys(often, ["anchor"], "n", often.agg(F.sum("n")).first()[0] or 0)
-    found = cut(join_spread(_members(rows, width, run), often.select("anchor"), ["anchor"], hot, row))
+    row, total = ["d1", "d2", "first"], often.agg(F.sum("n")).first()[0] or 0
+    # Fewer than CARRIED anchors can have more than that share of all segments.
+    many = often.where(F.col("n") > max(crowd, total // CARRIED)).select("anchor").collect()
+    many = np.sort(np.array([r.anchor for r in many], np.int64))
+    found = cut(join_spread(_members(rows, width, run, many), often.select("anchor"), ["anchor"], hot_keys(often, ["anchor"], "n", total), row))
     of, out, level = ["anchor", "w1", "w2"], None, 0
     times = F.coalesce(F.octet_length("more") / 4, F.lit(0)).cast("long") + 1
     place = F.struct("d1", "d2", "first", "last")
     while True:
-        classes = cut(found.groupBy(*of).agg(F.sum(times).alias("m"), F.min(place).alias("low"), F.max(place).alias("high")))
+        classes = cut(found.groupBy(*of).agg(F.sum(times).alias("m"), F.min(place).alias("low"), F.max(place).alias("high"), F.min("words").alias("words")))
         twice = F.least("m", F.lit(2))
         load = classes.groupBy("anchor").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("g"), F.sum(twice).alias("c"))
         load = cut(load.where("n > 1"))
@@ -272,10 +281,13 @@ def repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words: int = 1
         calm = loaded.where((F.col("g") > 1) & (F.col("c") <= most))
         # The least of a class asks; a copy of its own stands beside it where the class has more than one.
         asks = F.array(F.struct(F.lit(True).alias("query"), F.col("low").alias("p")), F.struct(F.lit(False).alias("query"), F.col("high").alias("p")))
-        wanted = calm.select(*of, F.explode(F.slice(asks, F.lit(1), twice.cast("int"))).alias("x")).select(*of, "x.query", "x.p.*")
+        wanted = calm.select(*of, "words", F.explode(F.slice(asks, F.lit(1), twice.cast("int"))).alias("x")).select(*of, "x.query", "x.p.*", "words")
         words = calm.agg(F.sum((F.col("low.last") - F.col("low.first") + width) * twice)).first()[0] or 0
         shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // shard_words))
-        told = _search(_texts(rows, wanted, width), width, shards).unionByName(alone)
+        asked = wanted.where("words is not null").select(*_ASKED.names)
+        if level == 0:
+            asked = asked.unionByName(_worded(rows, wanted.where("words is null"), width, _ASKED, _ASKED_SQL))
+        told = _search(asked, width, shards).unionByName(alone)
         hits = join_spread(found, told, of, hot_keys(classes, of, "m", total), row).select("d1", "d2", "first", "more", "found")
         out = hits if out is None else out.unionByName(hits)
         busy = load.where(F.col("c") > most).select("anchor")
@@ -283,7 +295,12 @@ def repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words: int = 1
             return rows, out
         level += 1
         crowded = join_spread(found, busy, ["anchor"], hot_keys(load, ["anchor"], "n", total), row)
-        found = cut(_split(rows, crowded, width, run, level))
+        if level == 1:
+            # Crowded, but not among the most frequent anchors of all: their words come out of the texts.
+            bare = cut(crowded.where("words is null"))
+            if not bare.isEmpty():
+                crowded = crowded.where("words is not null").select(*_MEMBER.names).unionByName(_worded(rows, bare, width, _MEMBER, _MEMBER_SQL))
+        found = cut(_split(crowded, width, run, level))
 
 
 def without_repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words: int = 1_500_000, crowd: int = 1000, text: str = "text", key: str = "doc_id", keep_text: bool = False) -> DataFrame:
