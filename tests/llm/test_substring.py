@@ -55,10 +55,12 @@ def test_crowded_passage(spark, monkeypatch, carried):
     assert sorted(map(tuple, got), key=str) == plain(rows, 35)
 
 
-@pytest.mark.parametrize("crowd", [1000, 3])
-def test_hot_anchors_and_segments_join_in_parts(spark, monkeypatch, crowd):
-    """Many copies of one text, a line that many texts hold, and others: every key of two rows counts as hot."""
+@pytest.mark.parametrize(("crowd", "broadcast"), [(1000, shared.BROADCAST_ROWS), (3, shared.BROADCAST_ROWS), (3, 0)])
+def test_hot_anchors_and_segments_join_in_parts(spark, monkeypatch, crowd, broadcast):
+    """Many copies of one text, a line that many texts hold, and others: every key of two rows counts as hot.  Crowded
+    anchors are told to the segments by a broadcast or, where there are too many, by a join in parts."""
     monkeypatch.setattr(shared, "FEW_ROWS", 0)
+    monkeypatch.setattr(substring, "BROADCAST_ROWS", broadcast)
     r = random.Random(8)
     line = " ".join(f"l{i}" for i in range(40))
     own = lambda n: " ".join(f"{r.choice('abcde')}{r.randrange(9)}" for _ in range(n))

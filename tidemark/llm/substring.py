@@ -291,10 +291,15 @@ def repeats(docs: DataFrame, width: int = 35, run: int = 8, shard_words: int = 1
         hits = join_spread(found, told, of, hot_keys(classes, of, "m", total), row).select("d1", "d2", "first", "more", "found")
         out = hits if out is None else out.unionByName(hits)
         busy = load.where(F.col("c") > most).select("anchor")
-        if busy.isEmpty():
+        few = busy.limit(BROADCAST_ROWS + 1).count()
+        if not few:
             return rows, out
         level += 1
-        crowded = join_spread(found, busy, ["anchor"], hot_keys(load, ["anchor"], "n", total), row)
+        # Segments stay where they are while the crowded anchors are few enough to broadcast.
+        if few <= BROADCAST_ROWS:
+            crowded = found.join(F.broadcast(busy), ["anchor"])
+        else:
+            crowded = join_spread(found, busy, ["anchor"], hot_keys(load, ["anchor"], "n", total), row)
         if level == 1:
             # Crowded, but not among the most frequent anchors of all: their words come out of the texts.
             bare = cut(crowded.where("words is null"))
