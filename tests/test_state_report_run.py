@@ -78,7 +78,7 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 21
 
 
-def test_landing(spark, tmp_path):
+def test_landing(spark, tmp_path, monkeypatch):
     blocks = spark.createDataFrame([(" S \n\nSubj\n(3)\nMon\nfirst\nsecond",), ("S\nSubj\nTue",), ("",), (None,)], "text string")
     got = [tuple(r) for r in landing.mail_items(blocks).collect()]
     assert got == [("S", "Subj", 3, "Mon", "first second"), ("S", "Subj", 1, "Tue", "")]
@@ -98,6 +98,13 @@ def test_landing(spark, tmp_path):
     rows = spark.createDataFrame([(0, "a"), (1, "b"), (3, "c")], "page int, x string")
     pages = spark.createDataFrame([(0,), (1,), (2,), (3,)], "page int")
     assert [r.x for r in landing.pages_until_empty(pages, rows, 9).collect()] == ["a", "b"]
+    many = [("x", 0, 9, 1), ("x", 0, 9, 1), ("x", 1, 9, 2), ("x", 3, 9, 3), ("y", 1, 9, 4), (None, 0, None, 5), (None, 1, None, 6), ("z", 0, 0, 7), ("z", 1, 5, 8), ("z", None, 5, 9), ("w", 0, 2, 10), ("w", 1, 2, 11), ("w", 2, 2, 12), ("v", -1, 3, 13)]
+    for bound in (landing.MOST_LISTINGS, 0):
+        monkeypatch.setattr(landing, "MOST_LISTINGS", bound)
+        many_rows = spark.createDataFrame(many, "listing string, page int, most int, x int")
+        got = landing.listings_until_empty(many_rows, "listing")
+        assert sorted(r.x for r in got.collect()) == [1, 1, 2, 5, 7, 10, 11] and got.columns == ["listing", "page", "most", "x"]
+        assert landing.listings_until_empty(many_rows.limit(0), "listing").isEmpty()
     found, failed = landing.readers({"a": lambda: rows, "b": lambda: rows.limit(0)}, ["a", "b", "zz"])
     assert set(found) == {"a"} and set(failed) == {"b", "zz"}
 
@@ -117,6 +124,12 @@ def test_filings(spark):
         pass
     else:
         raise AssertionError
+    rows = spark.createDataFrame([("a", "2024-01-01", 1), ("a", "2024-02-01", 2), ("b", "2024-02-01", 3), (None, "2024-02-01", 4), ("c", "2024-02-01", 5), ("a", "", 6), ("a", None, 7), ("d", "2024-02-01", 8)], "source_key string, reported string, x int")
+    asked = spark.createDataFrame([("a", "2024-02-01"), ("a", "2024-01-15"), ("b", "2024-1-1"), ("b", "2024-01-01"), (None, "2024-02-01"), ("c", None), ("c", None), ("e", "2024-02-01\n")], "source_key string, since string")
+    kept, refused = filings.since_by_source(rows, asked)
+    assert sorted(r.x for r in kept.collect()) == [2, 4] and kept.columns == rows.columns
+    assert {(r.source_key, r.since) for r in refused.collect()} == {("b", "2024-1-1"), ("c", None), ("e", "2024-02-01\n")} and refused.count() == 3
+    assert filings.since_by_source(rows, asked.limit(0))[0].isEmpty()
     typed = filings.typed(spark.createDataFrame([("s", "e", "2024-13-01", None, None, "1,234", None)], filings.FILING)).first()
     assert typed.reported_date is None and typed.total_n == 1234
 

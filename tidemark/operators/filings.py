@@ -16,9 +16,15 @@ FILING = "source string, entity string, reported string, breach_dates string, st
 PORTAL = ("entity", "state", "entity_type", "individuals_affected", "submission_date", "breach_type", "location", "business_associate_present")
 
 
+#: What a stated date must look like.
+SINCE = r"\d{4}-\d{2}-\d{2}"
+#: The dates of so many sources are broadcast.
+MOST_SOURCES = 100_000
+
+
 def check_since(since: str) -> str:
     """ValueError unless it is a YYYY-MM-DD."""
-    if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", since or ""):
+    if not re.fullmatch(SINCE, since or ""):
         raise ValueError("since must be YYYY-MM-DD")
     return since
 
@@ -107,6 +113,21 @@ def since_filter(rows: DataFrame, since: str) -> DataFrame:
     return rows.where(F.col("reported") >= F.lit(check_since(since)))
 
 
+def since_by_source(rows: DataFrame, asked: DataFrame, by: str = "source_key") -> tuple[DataFrame, DataFrame]:
+    """(kept, refused): :func:`since_filter` with a date for each source, ``asked`` as (``by``, since).
+
+    One source's bad date stops that source alone: it gives no rows and one of ``refused``, (``by``, since, problem), a
+    bad date.  Of several good dates the earliest counts; a source that is not asked for gives no rows.  A null date is a
+    bad one, a null source a source.
+    """
+    bad = ~F.coalesce(F.col("since").rlike(rf"\A{SINCE}\z"), F.lit(False))
+    refused = asked.where(bad).select(by, "since").distinct()
+    refused = refused.withColumn("problem", F.concat(F.lit("since must be YYYY-MM-DD, not "), F.coalesce("since", F.lit("empty"))))
+    firsts = asked.groupBy(F.col(by).alias("_by")).agg(F.min("since").alias("_since"), F.bool_or(bad).alias("_bad")).where("not _bad").drop("_bad")
+    firsts = F.broadcast(firsts) if firsts.count() <= MOST_SOURCES else firsts
+    return rows.join(firsts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("reported") >= F.col("_since")), "left_semi"), refused
+
+
 def lookback(rows: DataFrame, last_run: str | None, today: str, overlap: int = 2, baseline: int = 30) -> DataFrame:
     """Rows reported from ``overlap`` days before the last run to today, or in the last ``baseline`` days where there was
     none; for a search that looks back four days, ``overlap`` is 4."""

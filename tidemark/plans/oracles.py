@@ -289,6 +289,10 @@ ORACLES = {
     "naming_known": r"""WITH a AS (SELECT c_custkey, 'Supplier#' || lpad(c_custkey::VARCHAR, 9, '0') || CASE WHEN c_custkey % 3 = 0 THEN ' Inc.' ELSE '' END AS award FROM customer)
         SELECT c_custkey FROM a WHERE regexp_replace(lower(award), '[^a-z]', '', 'g') IN (SELECT regexp_replace(lower(s_name), '[^a-z]', '', 'g') FROM supplier WHERE s_suppkey % 2 = 1)""",
     "since_filter": f"WITH {_FILINGS} SELECT source, entity, reported FROM f WHERE reported >= '2000-06-01'",
+    "since_by_source": f"""WITH {_FILINGS}, a AS (SELECT o_orderpriority AS source, strftime(min(o_orderdate) + INTERVAL 200 DAY, '%Y-%m-%d') AS since FROM orders GROUP BY 1)
+        SELECT source, entity, reported FROM f JOIN a USING (source) WHERE reported >= since AND source NOT LIKE '1%'""",
+    "since_refused": """SELECT o_orderpriority AS source_key, strftime(min(o_orderdate) + INTERVAL 200 DAY, '%d.%m.%Y') AS since, 'since must be YYYY-MM-DD, not ' || strftime(min(o_orderdate) + INTERVAL 200 DAY, '%d.%m.%Y') AS problem
+        FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1""",
     "newest_per_source": f"WITH {_FILINGS} SELECT source AS source_key, max(nullif(reported, '')) AS newest FROM f GROUP BY source",
     "filings_sorted": f"WITH {_FILINGS} SELECT source, entity, reported FROM f WHERE reported >= '2001-07-01' ORDER BY reported DESC, source, entity",
     "lookback_window": f"WITH {_FILINGS} SELECT entity, reported FROM f WHERE reported BETWEEN '2000-03-01' AND '2000-03-31'",
@@ -303,6 +307,8 @@ ORACLES = {
     "landed_pages": """SELECT page_id::VARCHAR AS source_id, md5(CASE WHEN page_id % 7 = 0 THEN substr(url || ': Timeout: ' || repeat('slow ', 60), 1, 200)
         WHEN page_id % 2 = 0 THEN html || chr(65533) ELSE html END) AS seen FROM pages""",
     "pages_read": "SELECT (o_orderkey // 100)::INT AS page, o_orderkey FROM orders WHERE o_orderkey // 100 < least(50, (SELECT min(i) FROM range(60) r(i) WHERE i = 40 OR i NOT IN (SELECT o_orderkey // 100 FROM orders)))",
+    "listings_read": """WITH r AS (SELECT strftime(o_orderdate, '%Y-%m') AS listing, (day(o_orderdate) - 1)::INT AS page, (month(o_orderdate) + 12)::INT AS most, o_orderkey FROM orders WHERE o_orderkey % 5 < 3)
+        SELECT listing, page, most, o_orderkey FROM r WHERE page < most AND (SELECT count(DISTINCT b.page) FROM r b WHERE b.listing = r.listing AND b.page <= r.page) = page + 1""",
     "reference_file": "SELECT p_partkey, p_name, p_size FROM part",
     "json_rows": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS value FROM nation""",
     "state_versions": "SELECT n_nationkey, 3::INT AS n FROM nation",

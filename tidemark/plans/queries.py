@@ -503,6 +503,24 @@ def since_filter(spark, d):
     return filings.since_filter(_filings(spark, d), "2000-06-01").select("source", "entity", "reported")
 
 
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """For each source, the day after 200 days of its orders; the urgent ones' in a form that is refused."""
+    first = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("source_key")).agg(F.date_add(F.min("o_orderdate"), 200).alias("first"))
+    return first.select("source_key", F.when(F.col("source_key").startswith("1"), F.date_format("first", "dd.MM.yyyy")).otherwise(F.date_format("first", "yyyy-MM-dd")).alias("since"))
+
+
+@query
+def since_by_source(spark, d):
+    """Filings since a date of their source's own; a source with a bad date has none."""
+    return filings.since_by_source(_filings(spark, d), _asked(spark, d))[0].select("source", "entity", "reported")
+
+
+@query
+def since_refused(spark, d):
+    """Sources whose date is none."""
+    return filings.since_by_source(_filings(spark, d), _asked(spark, d))[1]
+
+
 @query
 def newest_per_source(spark, d):
     return filings.newest(_filings(spark, d))
@@ -591,6 +609,15 @@ def pages_read(spark, d):
     return landing.pages_until_empty(spark.range(60).select(F.col("id").cast("int").alias("page")), rows, 50)
 
 
+@query
+def listings_read(spark, d):
+    """A listing for each month of orders, a page for each day; a listing ends at its limit or at a day without orders."""
+    rows = table(spark, d, "orders").where("o_orderkey % 5 < 3").select(
+        F.date_format("o_orderdate", "yyyy-MM").alias("listing"), (F.dayofmonth("o_orderdate") - 1).alias("page"), (F.month("o_orderdate") + 12).alias("most"), "o_orderkey"
+    )
+    return landing.listings_until_empty(rows, "listing")
+
+
 @query
 def reference_file(spark, d):
     """Reference data written as CSV and read by a stated schema."""

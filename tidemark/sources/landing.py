@@ -8,11 +8,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.sources.scratch import cut
+
 RAW_PAGE = "source_id string, url string, fetched_at timestamp, body binary, error string"
+#: The ends of so many listings are broadcast.
+MOST_LISTINGS = 100_000
 MAIL = "sender string, subject string, count int, date string, snippet string"
 
 
@@ -143,6 +147,25 @@ def pages_until_empty(pages: DataFrame, rows: DataFrame, limit: int, page: str =
     return rows.where(F.col(page) < last)
 
 
+def listings_until_empty(rows: DataFrame, listing: str, page: str = "page", most: str = "most") -> DataFrame:
+    """Rows of many paged listings at once, by :func:`pages_until_empty`'s rule for each: pages count from 0, ``most`` (the
+    least that a listing's rows state; null or under one: one page) limits them, and none comes from the first page
+    without rows on.  A null listing is a listing; rows without a page are on none; repeated rows stay.
+
+    Only distinct pages below the limit are put in order, so no window is longer than a listing's limit.
+    """
+    if {listing, page, most} & {"_listing", "_most", "_end"}:
+        raise ValueError("a column's name is taken")
+    limits = rows.groupBy(F.col(listing).alias("_listing")).agg(F.greatest(F.coalesce(F.min(most), F.lit(1)), F.lit(1)).alias("_most"))
+    seen = rows.where(F.col(page) >= 0).select(F.col(listing).alias("_listing"), F.col(page).alias("_page")).distinct()
+    seen = seen.alias("s").join(limits.alias("m"), F.col("s._listing").eqNullSafe(F.col("m._listing")) & (F.col("_page") < F.col("_most"))).select("s._listing", "_page")
+    # Without a gap before it, a page's number is its place.
+    place = F.row_number().over(Window.partitionBy("_listing").orderBy("_page")) - 1
+    ends = cut(seen.withColumn("_place", place).where("_place = _page").groupBy("_listing").agg(F.max("_page").alias("_end")))
+    small = F.broadcast(ends) if ends.count() <= MOST_LISTINGS else ends
+    return rows.join(small, F.col(listing).eqNullSafe(F.col("_listing")) & F.col(page).between(0, F.col("_end")), "left_semi")
+
+
 def readers(table: dict[str, Callable[[], DataFrame]], wanted: Sequence[str]) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """(rows by key, failures by key): unknown keys and readers that fail end up among the failures, in 200 characters."""
     rows, failed = {}, {}
