@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import cut, join_hot
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(a, b) links to (node, root): root is the smallest node that ``node`` reaches.  Nodes without links are absent.
 
     Large and small stars in turn: every node links its larger neighbours, then its smaller ones, to the least node
-    that it knows, until nothing changes.  Each round moves one row a link, and is cut so that lineage stays short.
+    that it knows, until nothing changes: at most about the square of the logarithm of a component's size in rounds, and
+    no limit ends them earlier.  Each round moves one row a link, and is cut so that lineage stays short.
     Every step aggregates before it joins, and nodes with very many links join by broadcast of their one row, so a hub's
     links stay where they are.
     """
     now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     ends, seen = 2 * now.count(), None
-    for _ in range(most_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("c"))
         large = join_hot(both, least, "u", "c", ends).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -29,4 +30,3 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         ends, seen = 2 * state[0], state
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
