@@ -88,6 +88,29 @@ def test_near_names_match_brute_force(spark, closeness):
     assert got == {p: x for p, x in want.items() if x[0] <= closeness}
 
 
+def near(spark, probes, ids, closeness):
+    found = resolve.near_names(spark.createDataFrame([(p,) for p in probes], "p string"), spark.createDataFrame(list(ids.items()), "q string, id string"), closeness)
+    return {x.p: (x.best.edits, x.best.id) for x in found.collect()}
+
+
+def test_names_that_share_their_pieces_do_not_meet_one_by_one(spark, monkeypatch):
+    """All of a numbered stock shares two pieces; the nearest within one edit are found without a comparison of names."""
+    monkeypatch.setattr(resolve.F, "levenshtein", lambda *x: resolve.F.raise_error(resolve.F.lit("names met")).cast("int"))
+    ids = {f"supplier{i:09d}": f"i{i}" for i in range(400)}
+    got = near(spark, [q + "x" for q in ids] + ["other" + q for q in ids], ids, 2)
+    assert got == {q + "x": (1, i) for q, i in ids.items()}
+
+
+@pytest.mark.parametrize("closeness", [1, 2, 3])
+def test_crowds_match_brute_force(spark, monkeypatch, closeness):
+    monkeypatch.setattr(resolve, "CROWD", 3)
+    r = random.Random(closeness)
+    ids = {f"sup*lier{i:05d}": f"i{i}" for i in r.sample(range(500), 60)}
+    probes = {damaged(r, q, r.randint(0, closeness + 1)) for q in ids}
+    want = {p: min((edits(p, q), i) for q, i in ids.items()) for p in probes}
+    assert near(spark, probes, ids, closeness) == {p: x for p, x in want.items() if x[0] <= closeness}
+
+
 def test_cascade_with_repeated_and_null_ids(spark):
     """Rows are told apart by themselves, not by their ids, and each comes out once."""
     known = spark.createDataFrame([("c", "u1", "clinic", 1), ("c", "u1", "clinic", 0), (None, "u9", "lost clinic", 1), ("d", "", "", 1)], "id string, url string, name string, amount int")

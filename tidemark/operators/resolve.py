@@ -9,11 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import expand_ligatures, norm
+from tidemark.sources.scratch import cut
 
 #: A dimension of up to so many names is broadcast; a larger one is joined by keys.
 SMALL_DIMENSION = 100_000
 #: Up to so many names, all that have a letter are tried for a label; more are met by three letters.
 SMALL_THETA = 2_000
+#: Names of up to so many characters are looked for by forms, whose bytes grow with the square of a name's length (one edit).
+SHORT_NAME = 64
+#: More short names than this do not meet one by one where they share two pieces.
+CROWD = 256
 
 
 def _near(dim: DataFrame, size: int | None) -> DataFrame:
@@ -111,15 +116,53 @@ def _fits(length: Column, found: Column, i: Column, n: int, shift: Column) -> Co
     return (F.floor(i * length / n) + shift >= 0) & (F.floor((i + 1) * length / n) + shift <= found)
 
 
+def _forms(word: Column, marks: int) -> Column:
+    """(s, holes, d): all that up to ``marks`` marks make of a word, where a mark leaves a hole for a character or drops it
+    (``d`` are dropped).  Two words within k edits have a form in common whose holes and drops are k at most, and no others have."""
+    form = lambda s, holes, d, at: F.struct(s.alias("s"), holes.alias("holes"), d.alias("d"), at.alias("at"))
+    last = F.array(form(word, F.array().cast("array<int>"), F.lit(0), F.lit(1)))
+    every = [last]
+
+    def marked(f: Column) -> Column:
+        def at(i: Column) -> Column:
+            before, after = F.substring(f["s"], F.lit(1), i - 1), F.substring(f["s"], i + 1, F.length(f["s"]))
+            return F.array(form(F.concat(before, F.lit("*"), after), F.concat(f["holes"], F.array(i)), f["d"], i + 1), form(F.concat(before, after), f["holes"], f["d"] + 1, i))
+
+        places = F.when(f["at"] <= F.length(f["s"]), F.sequence(f["at"], F.length(f["s"]))).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(places, at))
+
+    for _ in range(marks):
+        last = F.flatten(F.transform(last, marked))
+        every.append(last)
+    return F.array_distinct(F.transform(F.concat(*every), lambda f: F.struct(f["s"].alias("s"), f["holes"].alias("holes"), f["d"].alias("d"))))
+
+
+def _by_forms(probes: DataFrame, stock: DataFrame, closeness: int) -> DataFrame:
+    """(p, best), as :func:`near_names`: each form keeps the least id of the stock, so no names meet one by one."""
+    listed = stock.select("id", F.explode(_forms(F.col("q"), closeness)).alias("f")).groupBy("f.s", "f.holes", F.col("f.d").alias("theirs")).agg(F.min("id").alias("id"))
+    sought = probes.select("p", F.explode(_forms(F.col("p"), closeness)).alias("f")).select("p", "f.s", "f.holes", "f.d")
+    met = sought.join(listed, ["s", "holes"]).select("p", "id", (F.size("holes") + F.col("d") + F.col("theirs")).alias("edits"))
+    return met.where(F.col("edits") <= closeness).groupBy("p").agg(F.min(F.struct("edits", "id")).alias("best"))
+
+
 def near_names(probes: DataFrame, stock: DataFrame, closeness: int) -> DataFrame:
     """(p, best): for each name ``p`` the least (edits, id) among the names ``q`` of ``stock`` within ``closeness`` edits.
 
-    A name is cut into ``closeness`` + 2 pieces of even length.  So many edits leave two pieces as they are, and move each
-    by no more characters than there are edits before it.  Every name of the stock is listed under each two of its pieces
-    and its length, and is looked for under what a probe has at those places, moved as far as edits allow.  Rows and bytes
-    are in proportion to a name's length, whatever the alphabet; names that meet are compared.  Both tables have a row for
-    each different name.
+    Names of up to ``SHORT_NAME`` characters are looked for within one edit first, by forms (:func:`_forms`).  What is left is
+    met by pieces.  A name is cut into ``closeness`` + 2 pieces of even length.  So many edits leave two pieces as they are,
+    and move each by no more characters than there are edits before it.  Every name of the stock is listed under each two of
+    its pieces and its length, and is looked for under what a probe has at those places, moved as far as edits allow.  Rows
+    and bytes are in proportion to a name's length, whatever the alphabet; names that meet are compared.  Two pieces that
+    over ``CROWD`` names share bring none of them together: short names that meet there meet by forms of up to
+    ``closeness`` marks instead.  Both tables have a row for each different name.
     """
+    short = F.length("p") <= SHORT_NAME
+    by_one = min(closeness, 1)
+    found = cut(_by_forms(probes.where(short), stock.where(F.length("q") <= SHORT_NAME + by_one), by_one))
+    left = probes.join(found.select("p"), "p", "left_anti")
+    left = cut(left if closeness > 1 else left.where(~short))
+    if left.isEmpty():
+        return found
     n, k = closeness + 2, closeness
     pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
     moves = [(a + b + c, a, a + b) for a in range(-k, k + 1) for b in range(-k, k + 1) for c in range(-k, k + 1) if abs(a) + abs(b) + abs(c) <= k]
@@ -130,10 +173,18 @@ def near_names(probes: DataFrame, stock: DataFrame, closeness: int) -> DataFrame
     listed = stock.select("q", "id", F.explode(places).alias("at")).select("q", "id", F.xxhash64(size, i, j, _piece(F.col("q"), size, i, n, none), _piece(F.col("q"), size, j, n, none)).alias("under"))
     long, x, y = F.length("p"), F.col("at.x"), F.col("at.y")
     size = long - F.col("at.d")
-    sought = probes.select("p", F.explode(asked).alias("at")).where((size > 0) & _fits(size, long, i, n, x) & _fits(size, long, j, n, y))
+    sought = left.select("p", F.explode(asked).alias("at")).where((size > 0) & _fits(size, long, i, n, x) & _fits(size, long, j, n, y))
     sought = sought.select("p", F.xxhash64(size, i, j, _piece(F.col("p"), size, i, n, x), _piece(F.col("p"), size, j, n, y)).alias("under"))
-    met = sought.join(listed, "under").select("p", "q", "id").distinct()
-    return met.withColumn("edits", F.levenshtein("p", "q", k)).where("edits >= 0").groupBy("p").agg(F.min(F.struct("edits", "id")).alias("best"))
+    may = listed.join(sought.where(short).select("under").distinct(), "under", "left_semi")
+    crowds = cut(may.groupBy("under").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("under"))
+    calm = sought.where(~short).unionByName(sought.where(short).join(crowds, "under", "left_anti"))
+    met = calm.join(listed, "under").select("p", "q", "id").distinct()
+    near = [met.withColumn("edits", F.levenshtein("p", "q", k)).where("edits >= 0").groupBy("p").agg(F.min(F.struct("edits", "id")).alias("best"))]
+    if not crowds.isEmpty():
+        those = lambda t, *c: t.join(crowds, "under", "left_semi").select(*c).distinct()
+        near.append(_by_forms(those(sought.where(short), "p"), those(listed.where(F.length("q") <= SHORT_NAME + k), "q", "id"), k))
+    rest = reduce(DataFrame.unionByName, near).groupBy("p").agg(F.min("best").alias("best"))
+    return found.unionByName(rest)
 
 
 def match_cascade(items: DataFrame, ledger: DataFrame, material: Sequence[str], closeness: int = 2, item_id: str = "id", url: str = "url", name: str = "name") -> DataFrame:
@@ -159,7 +210,7 @@ def match_cascade(items: DataFrame, ledger: DataFrame, material: Sequence[str],
     named = least("_plain", "_by_name")
     item = item.join(ids, item_id, "left").join(least(url, "_by_url"), url, "left").join(named, "_plain", "left")
     open_ = item.where(F.coalesce("_by_id", "_by_url", "_by_name").isNull() & (F.length("_plain") > 0))
-    near = near_names(open_.select(F.col("_plain").alias("p")).distinct(), named.select(F.col("_plain").alias("q"), F.col("_by_name").alias("id")), closeness)
+    near = near_names(cut(open_.select(F.col("_plain").alias("p")).distinct()), named.select(F.col("_plain").alias("q"), F.col("_by_name").alias("id")), closeness)
     item = item.join(near.select(F.col("p").alias("_plain"), F.col("best.id").alias("_by_near")), "_plain", "left")
     matched = F.coalesce("_by_id", "_by_url", "_by_name", "_by_near")
     by = F.when(F.col("_by_id").isNotNull(), "id").when(F.col("_by_url").isNotNull(), "url").when(F.coalesce("_by_name", "_by_near").isNotNull(), "name")
