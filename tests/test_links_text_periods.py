@@ -53,6 +53,11 @@ def test_period_hint(spark, url, hint):
     assert value(spark, url, periods.period_hint) == hint
 
 
+@pytest.mark.parametrize(("url", "hint"), [("/x/200103-7.pdf", "200103"), ("/x/082026.pdf", "202608"), ("/x/199503-200103.pdf", None), ("/x/report-200103.pdf", None), ("/x/2001031.pdf", None), ("/200103/7.pdf", None), (None, None)])
+def test_leading_hint(spark, url, hint):
+    assert value(spark, url, periods.leading_hint) == hint
+
+
 @pytest.mark.parametrize(("text", "key"), [("August 2026", "2026-08"), (" january 2026", "2026-01"), ("", None), ("Nonsense", None), ("2026-08", None), ("Smarch 2020", None), (None, None)])
 def test_period_key(spark, text, key):
     assert value(spark, text, periods.period_key) == key

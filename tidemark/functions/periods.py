@@ -82,6 +82,13 @@ def period_hint(url: Column) -> Column:
     return F.coalesce(F.nullif(first, F.lit("")), F.nullif(F.regexp_extract(name, r"20\d{2}(?:0[1-9]|1[0-2])", 0), F.lit("")))
 
 
+def leading_hint(url: Column) -> Column:
+    """The YYYYMM that a file's name begins with as a number of its own (YYYYMM or MMYYYY), else null: for links whose
+    names have other numbers, any of which may look like a month."""
+    lead = F.regexp_extract(F.substring_index(url, "/", -1), r"^\d+", 0)
+    return F.when(F.length(lead) == 6, period_hint(lead))
+
+
 def hint_key(hint: Column) -> Column:
     """YYYYMM to YYYY-MM."""
     return F.concat_ws("-", F.substring(hint, 1, 4), F.substring(hint, 5, 2))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.periods import hint_key, period_hint, period_key, with_period
@@ -44,12 +45,12 @@ def told(rows: DataFrame, column: str, order: list[str]) -> list[str]:
     return [*first, f"and {n - MOST_TOLD:,} more"] if n > MOST_TOLD else first
 
 
-def wanted_links(found: DataFrame, months: DataFrame, program: str) -> DataFrame:
+def wanted_links(found: DataFrame, months: DataFrame, program: str, hint: Callable[[Column], Column] = period_hint) -> DataFrame:
     """Links (url, label) with their ``month``, text before file name, without those whose month is recorded.
 
-    Links without a month are kept, as their documents may tell it.
+    ``hint`` reads a month from a file's name.  Links without a month are kept, as their documents may tell it.
     """
-    dated = with_period(found, "label", "_stated").withColumn("month", F.nullif(hint_key(F.coalesce("_stated", period_hint(F.col("url")))), F.lit("")))
+    dated = with_period(found, "label", "_stated").withColumn("month", F.nullif(hint_key(F.coalesce("_stated", hint(F.col("url")))), F.lit("")))
     known = months.where(F.col("program") == program).select("month").distinct()
     return dated.drop("_stated").join(known, "month", "left_anti")
 
