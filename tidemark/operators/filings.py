@@ -89,8 +89,9 @@ def from_blocks(pages: DataFrame, source: str, html: str = "html") -> DataFrame:
 def portal_rows(pages: DataFrame, html: str = "html", page: str = "page") -> DataFrame:
     """(page, pos, …): a portal's numbered rows of nine cells or more, the first cell left out; and its stated total."""
     total = F.nullif(F.regexp_extract(F.col(html), r"Displaying [\d,]+ - [\d,]+ of ([\d,]+)", 1), F.lit(""))
-    rows = pages.select(page, total.alias("total_listed"), F.posexplode(table_rows(F.col(html), numbered=True, clean=clean_portal)).alias("pos", "c")).where(F.size("c") >= 9)
-    return rows.select(page, "pos", "total_listed", *[F.get("c", F.lit(i + 1)).alias(n) for i, n in enumerate(PORTAL)])
+    rows = pages.select(page, total.alias("total_listed"), F.posexplode(table_rows(F.col(html), numbered=True, clean=lambda c: c)).alias("pos", "c")).where(F.size("c") >= 9)
+    # Cells are cleaned once they are columns, so those that nobody reads, and those of other rows, are not.
+    return rows.select(page, "pos", "total_listed", *[clean_portal(F.get("c", F.lit(i + 1))).alias(n) for i, n in enumerate(PORTAL)])
 
 
 def portal_summary(rows: DataFrame, page: str = "page") -> DataFrame:

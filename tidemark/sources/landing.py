@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +17,8 @@ from tidemark.sources.scratch import cut
 RAW_PAGE = "source_id string, url string, fetched_at timestamp, body binary, error string"
 #: The ends of so many listings are broadcast.
 MOST_LISTINGS = 100_000
+#: Characters of extracted texts that a task holds at a time, beside the document it reads.
+TEXT_HELD = 4_000_000
 MAIL = "sender string, subject string, count int, date string, snippet string"
 
 
@@ -41,17 +43,23 @@ def _extracted(files: DataFrame, extractor: Callable[[bytes], str] | None) -> Da
     if extractor is None:
         raise ExtractorUnavailable("no extractor for laid-out documents was given")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for p, at, n, content in zip(*(batch[c] for c in ("path", "modificationTime", "length", "content")), strict=True):
+            begin, load, texts, errors = 0, 0, [], []
+            for i, content in enumerate(batch.column(3)):
                 try:
-                    rows.append((p, at, n, extractor(bytes(content)), None))
+                    texts.append(extractor(content.as_py()))
+                    errors.append(None)
                 except Exception as e:  # noqa: BLE001  a document's failure is a row, not the job's end
-                    rows.append((p, at, n, None, f"{type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame(rows, columns=["path", "modified", "length", "text", "error"])
-
-    return files.select("path", "modificationTime", "length", "content").mapInPandas(run, "path string, modified timestamp, length long, text string, error string")
+                    texts.append(None)
+                    errors.append(f"{type(e).__name__}: {e}"[:200])
+                load += len(texts[-1] or "")
+                if load > TEXT_HELD or i == len(batch) - 1:
+                    told = [c.slice(begin, i + 1 - begin) for c in batch.columns[:3]]
+                    yield pa.RecordBatch.from_arrays([*told, pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "modified", "length", "text", "error"])
+                    begin, load, texts, errors = i + 1, 0, [], []
+
+    return files.select("path", "modificationTime", "length", "content").mapInArrow(run, "path string, modified timestamp, length long, text string, error string")
 
 
 def extract_documents(spark: SparkSession, path: str, extractor: Callable[[bytes], str] | None, glob: str = "*.pdf") -> DataFrame:

@@ -122,6 +122,17 @@ def run_items(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str]
     return _tick(stream.groupBy(*keys).transformWithState(state, kinds, "Update", "None"), path, checkpoint)
 
 
+def run_first(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]) -> StreamingQuery:
+    """One tick of a ledger whose rows stay as they enter: each key's least row by ``order``, of which the first column
+    tells the delivery, so that no later delivery replaces a row.  A null key is a key, and null comes first in the order.
+
+    Without material fields, Spark's own streaming aggregate keeps the state, and no row goes through Python.
+    """
+    rest = [c for c in stream.columns if c not in (*keys, *order)]
+    least = stream.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_least"))
+    return _tick(least.select(*keys, "_least.*"), path, checkpoint)
+
+
 def run_problems(stream: DataFrame, path: str, checkpoint: str, quiet_days: float, late: str = "1 day") -> StreamingQuery:
     """One tick of the registry, from sightings (key, detail, seen TIMESTAMP).
 
