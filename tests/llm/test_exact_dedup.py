@@ -66,3 +66,19 @@ def test_names_are_dense_ranks(spark, parts):
     got, n = named(spark.createDataFrame(rows, "s string, k int, i long").repartition(parts), ["s", "k"], ["i"], ["i", "s", "k"])
     order = {x: i + 1 for i, x in enumerate(sorted({x[:2] for x in rows}))}
     assert n == len(order) and {(x.i, x.name) for x in got.collect()} == {(i, order[s, k]) for s, k, i in rows}
+
+
+def test_long_rows_go_to_python_in_small_batches(spark):
+    from tidemark.llm import shared
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], ["id"])
+
+    before = {k: spark.conf.get(k, None) for k in shared.SMALL_BATCH}
+    with shared.small_batches(spark):
+        got = [r.id for r in spark.range(0, 2500, 1, 1).mapInArrow(sizes, "id long").collect()]
+    assert max(got) == 1000 and sum(got) == 2500
+    assert {k: spark.conf.get(k, None) for k in shared.SMALL_BATCH} == before

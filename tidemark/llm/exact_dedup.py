@@ -23,7 +23,7 @@ from tidemark.llm.shared import cut, join_hot
 #: ASCII white space, which does not count.
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Bytes of texts that a task holds as blocks at a time.
-_HELD = 4 << 20
+_HELD = 1 << 20
 
 
 def _blocks(docs: DataFrame, size: int, text: str, key: str) -> DataFrame:
@@ -54,6 +54,7 @@ def _blocks(docs: DataFrame, size: int, text: str, key: str) -> DataFrame:
                 if load > _HELD or i == len(batch) - 1:
                     yield block_batch(batch.column(0)[begin : i + 1], batch.column(1)[begin : i + 1], held)
                     held, begin, load = [], i + 1, 0
+            pa.default_memory_pool().release_unused()
 
     return slim.mapInArrow(cut_up, f"row long, pos long, n long, about struct<key: {kind}, chars: bigint, sha: string>, block binary")
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, small_batches
 
 
 def named(df: DataFrame, keys: list[str], ties: list[str], keep: list[str]) -> tuple[DataFrame, int]:
@@ -50,11 +50,14 @@ def named(df: DataFrame, keys: list[str], ties: list[str], keep: list[str]) -> t
             ranks = n + np.cumsum(new)
             n = int(ranks[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns[n_keys:], pa.array(np.full(len(batch), part, np.int32)), pa.array(ranks), pa.nulls(len(batch), schema[-1])], names)
+            del batch, cols
+            pa.default_memory_pool().release_unused()
         if schema is not None:
             edge = {"first": {f"key{i}": x for i, x in enumerate(first)}, "last": {f"key{i}": x for i, x in enumerate(last)}, "n": n}
             yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in schema[: len(keep)]], pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([edge], schema[-1])], names)
 
-    ranked = cut(dealt.mapInArrow(rank, f"{kinds}, part int, rank long, edge {edge_kind}"))
+    with small_batches(spark):
+        ranked = cut(dealt.mapInArrow(rank, f"{kinds}, part int, rank long, edge {edge_kind}"))
     edges = ranked.where("edge IS NOT NULL").select("part", "edge.*")
     sizes = dict(sorted(tuple(r) for r in edges.select("part", "n").collect()))
     parts = list(sizes)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import cut, new_folder, shared_folder  # noqa: F401  the operators take them from here
@@ -64,6 +65,23 @@ def join_spread(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame
 BROADCAST_ROWS = 200_000
 
 
+#: Rows and bytes of a batch between Spark and Python where rows are long: each task holds several copies of one.
+SMALL_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """What is planned and run inside hands rows to Python in small batches."""
+    before = {k: spark.conf.get(k, None) for k in SMALL_BATCH}
+    for k, v in SMALL_BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A narrow table as the small side of a join: broadcast if it has no more than ``most`` rows, shuffled otherwise."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("shuffle_hash")
