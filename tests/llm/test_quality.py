@@ -106,3 +106,69 @@ def test_fit_does_not_depend_on_the_order_of_rows(spark):
     one = quality.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), marks, per_class=60)
     two = quality.fit(spark.createDataFrame(rows[::-1], "doc_id long, text string").coalesce(1), marks, per_class=60)
     assert one == two
+
+
+def test_every_label_counts(spark):
+    """Over 2000 documents of each class: one bad kind of which no hash picks many, and its label moves the ranking."""
+    r = random.Random(4)
+    rows, labels = [], []
+    for i in range(9000):
+        good = i % 2
+        rows.append((i, " ".join(r.choice(["tide", "mark", "river", "stone"]) + ("" if good or r.random() < 0.5 else "#") for _ in range(r.randint(3, 9)))))
+        labels.append((i, good))
+    docs, learn = spark.createDataFrame(rows, "doc_id long, text string"), [i for i, _ in labels if zlib.crc32(str(i).encode()) % 5]
+    by_hash = [x.id for x in spark.createDataFrame([(i,) for i in learn], "id long").orderBy(F.xxhash64("id")).collect()]
+    late = {i for i in by_hash[-300:]}
+    whole = quality.fit(docs, spark.createDataFrame(labels, KIND))
+    other = quality.fit(docs, spark.createDataFrame([(i, 1 - y if i in late else y) for i, y in labels], KIND))
+    assert max(abs(a - b) for a, b in zip(whole.weights, other.weights)) > 0.01
+
+
+def test_blocks_give_the_weights_of_one_descent_and_the_best_cut(spark, monkeypatch):
+    rows, labels = sample(300)
+    monkeypatch.setattr(quality, "BLOCK", 1000)
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, KIND)
+    got = quality.fit(docs, marks)
+    known = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5]
+    hashed = {x.id: x.h for x in spark.createDataFrame(known, "id long, y int").withColumn("h", F.xxhash64("id")).collect()}
+    known.sort(key=lambda k: hashed[k[0]])
+    texts = dict(rows)
+    x, y = quality.np.array([quality.features(texts[i]) for i, _ in known]), quality.np.array([y for _, y in known])
+    spread = quality.np.where(x.std(0) > 1e-12, x.std(0), 1.0)
+    weights = quality.bradley_terry(quality.np.concatenate(list(quality._pairs(x / spread, y, 8))), 0.01) / spread
+    assert got.weights == pytest.approx(weights, rel=1e-6, abs=1e-9)
+    s = x @ quality.np.array(got.weights)
+    best = max((s[y == 1] >= c).mean() + (s[y == 0] < c).mean() for c in s)
+    at = math.log(0.3 / 0.7) - got.bias
+    assert (s[y == 1] >= at).mean() + (s[y == 0] < at).mean() == pytest.approx(best)
+
+
+def test_a_rare_class_meets_every_block(spark, monkeypatch):
+    rows, labels = sample(300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bad = [k for k in labels if not k[1] and zlib.crc32(str(k[0]).encode()) % 5][:3]
+    marks = spark.createDataFrame([k for k in labels if k[1]] + bad, KIND)
+    monkeypatch.setattr(quality, "BLOCK", 16)
+    small = quality.fit(docs, marks)
+    again = quality.fit(docs.repartition(5), marks.repartition(3))
+    got = {r.doc_id: r.predicted for r in quality.score(docs, small, ["doc_id"]).collect()}
+    assert small == again and sum(got[i] == y for i, y in labels) / len(labels) > 0.97
+
+
+def test_many_labels_meet_the_features(spark, monkeypatch):
+    rows, labels = sample(200)
+    rows += [(i, t + " again") for i, t in rows[:20]] + [(None, "no key")]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels + MORE, KIND)
+    few = quality.fit(docs, marks)
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 10)
+    assert quality.fit(docs, marks) == few
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_best_cut_is_that_of_all_scores(spark, seed):
+    r = random.Random(seed)
+    rows = [(float(r.randint(0, 40)), r.randint(0, 1)) for _ in range(200)]
+    good, bad = [s for s, y in rows if y], [s for s, y in rows if not y]
+    gain = lambda c: sum(s >= c for s in good) * len(bad) + sum(s < c for s in bad) * len(good)
+    at = quality._best_cut(spark.createDataFrame(rows, "s double, y int").repartition(4), 3, len(good), len(bad))
+    assert gain(at) == max(gain(c) for c, _ in rows)

@@ -6,15 +6,18 @@ features, so a document has a score of its own; documents pass if it reaches a q
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from tidemark.llm.shared import BROADCAST_ROWS, cut
+
 #: Classes of bytes whose shares are features; a letter of another script counts as "other".
 CLASSES = ("lower", "upper", "digit", "space", "newline", "stop", "bar", "symbol", "quote", "control", "other")
 _OF = np.full(256, CLASSES.index("other"), np.uint8)
@@ -100,53 +103,157 @@ def held_out(key: str, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(folds)) == 0
 
 
-def bradley_terry(pairs: np.ndarray, reg: float, steps: int = 50) -> np.ndarray:
-    """Weights by Newton steps on the mean logistic loss of the preferred's features less the other's, with an L2 term."""
-    w = np.zeros(pairs.shape[1])
+def _slope(pairs: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over pairs (the preferred's features less the other's): the gradient and the Hessian of the logistic loss."""
+    p = 1 / (1 + np.exp(np.clip(pairs @ w, -50, 50)))
+    return -(pairs.T @ p), (pairs * (p * (1 - p))[:, None]).T @ pairs
+
+
+def _newton(slope: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], size: int, n: int, reg: float, steps: int) -> np.ndarray:
+    """Weights that minimize the mean loss of ``n`` pairs, whose sums ``slope`` gives, with an L2 term."""
+    w = np.zeros(size)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(pairs @ w, -50, 50)))
-        gradient = reg * w - pairs.T @ p / len(pairs)
-        hessian = (pairs * (p * (1 - p))[:, None]).T @ pairs / len(pairs) + reg * np.eye(w.size)
-        move = np.linalg.solve(hessian, gradient)
+        g, h = slope(w)
+        move = np.linalg.solve(h / n + reg * np.eye(size), reg * w + g / n)
         w = w - move
         if np.abs(move).max() < 1e-9:
             break
     return w
 
 
+def bradley_terry(pairs: np.ndarray, reg: float, steps: int = 50) -> np.ndarray:
+    """Weights by Newton steps on the mean logistic loss of the preferred's features less the other's, with an L2 term."""
+    return _newton(lambda w: _slope(pairs, w), pairs.shape[1], len(pairs), reg, steps)
+
+
+def _block(table: pa.Table) -> pa.Table:
+    """One row for a block: the features and marks of its documents in one order, and which of them are at home here."""
+    table = table.sort_by([("h", "ascending"), ("id", "ascending")])
+    x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    y, home = (table.column(c).to_numpy().astype(np.int8) for c in ("y", "home"))
+    return pa.table({"block": table.column("block").slice(0, 1), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in (("x", x), ("y", y), ("home", home))}})
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            y, home = np.frombuffer(r["y"], np.int8), np.frombuffer(r["home"], np.int8) == 1
+            yield r["block"], np.frombuffer(r["x"]).reshape(-1, len(FEATURES)), y, home
+
+
+def _sums(blocks: DataFrame, of: Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]) -> list[list[np.ndarray]]:
+    """What ``of`` makes of each block, a few numbers, in the order of the blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, x, y, home in _opened(batches):
+            parts = [np.asarray(v, float).ravel().tolist() for v in of(x, y, home)]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([parts], pa.list_(pa.list_(pa.float64())))], ["block", "parts"])
+
+    found = blocks.mapInArrow(run, "block int, parts array<array<double>>").collect()
+    return [[np.array(v) for v in r.parts] for r in sorted(found, key=lambda r: r.block)]
+
+
+def _pairs(x: np.ndarray, y: np.ndarray, each: int) -> Iterator[np.ndarray]:
+    """``each`` times, a pair for every document of a block: good ones' features less bad ones'."""
+    good, bad = x[y == 1], x[y == 0]
+    if len(good) and len(bad):
+        i, step = np.arange(max(len(good), len(bad))), max(1, len(good) // each)
+        for k in range(each):
+            yield good[(i + k * step) % len(good)] - bad[i % len(bad)]
+
+
+def _best_cut(scores: DataFrame, parts: int, n_good: int, n_bad: int) -> float:
+    """Where the scores (s, y) part the classes best, by the sum of both classes' shares on their own side: midway between
+    the least score accepted and the greatest below it.  Of equal cuts the lowest."""
+    by = scores.groupBy("s").agg(F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad"))
+    # By number, so that a range of scores stays one partition; its sums then give the counts below each score.
+    by = cut(by.repartitionByRange(parts, "s").withColumn("part", F.spark_partition_id()))
+    rows, good, bad, last = [], 0, 0, None
+    for r in by.groupBy("part").agg(F.min("s").alias("s"), F.max("s").alias("last"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).orderBy("s").collect():
+        rows.append((r.part, good, bad, last))
+        good, bad, last = good + r.good, bad + r.bad, r.last
+    before = by.sparkSession.createDataFrame(rows, "part int, good_before long, bad_before long, last double")
+    of = W.partitionBy("part").orderBy("s")
+    upto = of.rowsBetween(W.unboundedPreceding, W.currentRow)
+    below = [F.col(f"{c}_before") + F.sum(c).over(upto) - F.col(c) for c in ("good", "bad")]
+    gain = below[1] * n_good + (F.lit(n_good) - below[0]) * n_bad
+    cuts = by.join(F.broadcast(before), "part").select("s", gain.alias("gain"), F.coalesce(F.lag("s").over(of), "last", "s").alias("under"))
+    best = cuts.agg(F.max(F.struct("gain", (-F.col("s")).alias("low"), "under")).alias("best")).first().best
+    return (best.under - best.low) / 2
+
+
+#: Labelled documents of the larger class go by blocks of about so many, which meet at least ``MEET`` of the smaller class.
+BLOCK, MEET = 8192, 64
+
+
+def _learnable(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, per_class: int | None) -> DataFrame:
+    """_id, y, x: the labelled documents that may be learned from, one row an id."""
+    usable = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key)).select(F.col(key).alias("_id"), F.col(label).cast("int").alias("y"))
+    usable = usable.groupBy("_id").agg(F.min("y").alias("y"), F.max("y").alias("_z")).where("y = _z").drop("_z")
+    if per_class is not None:
+        picked = [usable.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
+        usable = picked[0].unionByName(picked[1])
+    own = docs.where(F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
+    # Texts stay where they are: few labels go to them, many meet the features instead.
+    if usable.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        rows = with_features(own.join(F.broadcast(usable), "_id"), ["_id", "_h", "y"], "_text")
+    else:
+        rows = with_features(own, ["_id", "_h"], "_text").join(usable, "_id")
+    # Of several texts of one key the one of the least hash is used.
+    return rows.groupBy("_id").agg(F.min("y").alias("y"), F.min(F.struct("_h", "x"))["x"].alias("x"))
+
+
 def fit(
-    docs: DataFrame, labels: DataFrame, per_class: int = 2000, pairs_each: int = 8, accept: float = 0.3, reg: float = 0.01, text: str = "text", key: str = "doc_id", label: str = "quality"
+    docs: DataFrame, labels: DataFrame, per_class: int | None = None, pairs_each: int = 8, accept: float = 0.3, reg: float = 0.01, text: str = "text", key: str = "doc_id", label: str = "quality"
 ) -> Ranking:
     """Learn weights from preference pairs, and the score quantile that parts the classes best.
 
-    At most ``per_class`` labelled documents of each class are used, those first by a hash of their key, out of the
-    rows that :func:`held_out` leaves; of several texts of one key the one of the least hash is used, so the order and the
-    partitions of the rows don't matter; each bad one is paired with ``pairs_each`` good ones.  Spark picks
-    the sample and computes its features; these few rows, bounded by ``per_class``, are fitted on the driver.  Rows
-    with a null key or label are not used.  If a class is missing, nothing is learned and every document scores ``accept``.
+    All labelled documents are used that :func:`held_out` leaves (with ``per_class``, so many of each class, those first
+    by a hash of their key); of several texts of one key the one of the least hash, so the order and the partitions of
+    the rows don't matter.  They are dealt to blocks by a hash of their key, where each is in ``pairs_each`` pairs or
+    more; the smaller class goes to several blocks if it is rare.  Tasks keep the blocks' features and sum each Newton
+    step's gradient and Hessian, so the driver gets a few hundred numbers a block; the cut is the best of all scores'.
+    Rows with a null key or label are not used.  If a class is missing, nothing is learned and every document scores
+    ``accept``.
     """
-    usable = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key)).select(F.col(key).alias("_id"), F.col(label).cast("int").alias("y"))
-    usable = usable.groupBy("_id").agg(F.min("y").alias("y"), F.max("y").alias("_z")).where("y = _z").drop("_z")
-    picked = [usable.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
-    sample = F.broadcast(picked[0].unionByName(picked[1]))
-    own = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).join(sample, "_id")
-    # Of several texts of one key the one of the least hash is read, before its features are: map-side first, so copies cost nothing.
-    own = own.groupBy("_id").agg(F.min("y").alias("y"), F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t")))["t"].alias("_text"))
-    rows = with_features(own, ["_id", "y"], "_text").orderBy(F.xxhash64("_id"), "_id").collect()
-    x, y = np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.array([r.y for r in rows])
-    if not (y == 0).any() or not (y == 1).any():
-        return Ranking((0.0,) * len(FEATURES), float(np.log(accept / (1 - accept))), accept)
-    spread = np.where(x.std(0) > 1e-12, x.std(0), 1.0)
-    good, bad = x[y == 1] / spread, x[y == 0] / spread
-    step = max(1, len(good) // pairs_each)
-    pairs = np.concatenate([good[(np.arange(len(bad)) + k * step) % len(good)] - bad for k in range(pairs_each)])
-    weights = bradley_terry(pairs, reg) / spread
-    s = x @ weights
-    cuts = np.quantile(s, np.linspace(0, 1, 401))
-    balanced = [((s[y == 1] >= c).mean() + (s[y == 0] < c).mean()) / 2 for c in cuts]
-    best = np.flatnonzero(np.isclose(balanced, max(balanced)))
-    at = float(cuts[best[len(best) // 2]])
-    return Ranking(tuple(weights.tolist()), float(np.log(accept / (1 - accept)) - at), accept)
+    rows = cut(_learnable(docs, labels, text, key, label, per_class))
+    n = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    logit = float(np.log(accept / (1 - accept)))
+    if len(n) < 2:
+        return Ranking((0.0,) * len(FEATURES), logit, accept)
+    rare, parts = min(n, key=lambda y: (n[y], y)), -(-max(n.values()) // BLOCK)
+    copies = min(parts, -(-MEET * parts // n[rare]))
+    dealt = rows.withColumn("h", F.xxhash64("_id")).withColumn("i", F.explode(F.sequence(F.lit(0), F.when(F.col("y") == rare, copies - 1).otherwise(0))))
+    dealt = dealt.select(F.pmod(F.pmod("h", F.lit(parts)) + F.col("i"), F.lit(parts)).cast("int").alias("block"), "h", F.col("_id").cast("string").alias("id"), "y", (F.col("i") == 0).cast("int").alias("home"), "x")
+    blocks = cut(dealt.groupBy("block").applyInArrow(lambda table: _block(table), "block int, x binary, y binary, home binary"))
+
+    size, total = len(FEATURES), sum(n.values())
+    mean = sum(s for (s,) in _sums(blocks, lambda x, y, home: [x[home].sum(0)])) / total
+    counted = _sums(blocks, lambda x, y, home: [((x[home] - mean) ** 2).sum(0), [sum(map(len, _pairs(x, y, pairs_each)))]])
+    spread = np.sqrt(sum(v for v, _ in counted) / total)
+    spread = np.where(spread > 1e-12, spread, 1.0)
+
+    def slope(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def of(x, y, home):
+            g, h = np.zeros(size), np.zeros((size, size))
+            for pairs in _pairs(x / spread, y, pairs_each):
+                more = _slope(pairs, w)
+                g, h = g + more[0], h + more[1]
+            return [g, h]
+
+        found = _sums(blocks, of)
+        return sum(g for g, _ in found), sum(h for _, h in found).reshape(size, size)
+
+    # Digits past the tenth are the machine's.
+    short = lambda v: float(f"{v:.10g}")
+    weights = np.array([short(v) for v in _newton(slope, size, int(sum(c[0] for _, c in counted)), reg, 50) / spread])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x, y, home in _opened(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.round(x[home] @ weights, 9)), pa.array(y[home].astype(np.int32))], ["s", "y"])
+
+    at = short(_best_cut(blocks.mapInArrow(scored, "s double, y int"), parts, n[1], n[0]))
+    return Ranking(tuple(weights.tolist()), logit - at, accept)
 
 
 def score(docs: DataFrame, ranking: Ranking, keep: list[str], text: str = "text") -> DataFrame:
