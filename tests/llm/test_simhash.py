@@ -99,3 +99,28 @@ def test_one_of_each_keeps_one_row_of_a_group(docs, corpus):
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     parts = plain_components([r[0] if r[0] is not None else 10**9 for r in corpus], [plain_fingerprint(t) for _, t, *_ in corpus])
     assert sorted(10**9 if i is None else i for i in ids) == sorted(set(parts))
+
+
+def jobs_of(spark, name, work):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        got = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_few_links_take_no_rounds_and_give_the_same(spark, monkeypatch):
+    from tidemark.llm import components as module
+
+    r = random.Random(8)
+    links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5), (-7, 3)] + [(r.randint(2000, 2400), r.randint(2000, 2400)) for _ in range(250)]
+    rows = spark.createDataFrame(links, "a long, b long").repartition(7)
+    few, jobs = jobs_of(spark, "few links", lambda: sorted(map(tuple, components(rows).collect())))
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    many, more = jobs_of(spark, "many links", lambda: sorted(map(tuple, components(rows).collect())))
+    assert few == many and len(few) == len({node for node, _ in few}) and jobs <= 12 < more
+
+
+def test_no_links_have_no_components(spark):
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0

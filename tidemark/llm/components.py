@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut, join_hot
+from tidemark.llm.shared import BROADCAST_ROWS, cut, join_hot
+
+
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) to (node, root), by following them one after another."""
+    up: dict = {}
+
+    def top(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = top(u), top(v)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    for at in range(0, len(nodes), 10_000):
+        some = nodes[at : at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some, kind), pa.array([top(x) for x in some], kind)], ["node", "root"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,9 +41,15 @@ def components(links: DataFrame) -> DataFrame:
     no limit ends them earlier.  Each round moves one row a link, and is cut so that lineage stays short.
     Every step aggregates before it joins, and nodes with very many links join by broadcast of their one row, so a hub's
     links stay where they are.
+
+    Links so few that they could go by broadcast are followed in one task instead: a round costs the driver a dozen
+    jobs, whatever the number of links.
     """
     now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     ends, seen = 2 * now.count(), None
+    if ends <= 2 * BROADCAST_ROWS:
+        kind = now.schema["u"].dataType.simpleString()
+        return cut(now.coalesce(1).mapInArrow(_followed, f"node {kind}, root {kind}"))
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("c"))

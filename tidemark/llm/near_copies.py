@@ -218,7 +218,8 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, distan
     rest = cut(placed.join(mixed, "token").join(slim, "sid"))
     pairs = cut(_pairs(rest, similarity))
     if not pairs.isEmpty():
-        root = components(links.unionByName(_verified(texts, heads, pairs, width, similarity)))
+        # What is known to be connected goes on as one link a set.
+        root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(texts, heads, pairs, width, similarity)))
 
     named = heads.join(root, heads["sid"] == root["node"], "left").select(F.col("least"), F.coalesce("root", "sid").alias("root"))
     stay = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.h").alias("h"))
